@@ -2,7 +2,8 @@
 
 Each class has a mean and a covariance, shrunk towards the pooled one and towards its diagonal. The
 Cholesky factor of each is inverted once; a document's score is the logistic of the difference of
-two Mahalanobis log densities plus the log prior odds.
+two Mahalanobis log densities plus the log prior odds, shifted so that 0.5 parts the labelled rows
+with the fewest errors.
 
 The model is fitted on a bounded sample of labelled rows (``SAMPLE``, the first by a hash of the
 id); all documents are scored. Statistics are of whole texts.
@@ -107,13 +108,26 @@ class Discriminant:
             cov = (1 - to_diagonal) * cov + to_diagonal * np.diag(np.diag(cov)) + 1e-3 * np.eye(len(cov))
             lower = np.linalg.cholesky(cov)
             self.parts.append((g.mean(0), np.linalg.inv(lower).T.copy(), -np.log(np.diag(lower)).sum() + np.log(len(g) / len(z))))
+        self.cut = self._cut(self._odds(x), y)
+
+    @staticmethod
+    def _cut(odds: np.ndarray, y: np.ndarray) -> float:
+        """The log odds that part the labelled rows with the fewest errors, in the middle of their gap."""
+        order = np.argsort(odds, kind="stable")
+        odds, y = odds[order], y[order]
+        errors = np.concatenate([[0], np.cumsum(y == 1)]) + np.concatenate([np.cumsum((y == 0)[::-1])[::-1], [0]])
+        k = int(np.argmin(errors))
+        return float((odds[max(k - 1, 0)] + odds[min(k, len(odds) - 1)]) / 2)
+
+    def _odds(self, x: np.ndarray) -> np.ndarray:
+        z = np.clip((x - self.centre) / self.scale, -8, 8)
+        low, high = (bias - 0.5 * (((z - mean) @ inverse) ** 2).sum(1) for mean, inverse, bias in self.parts)
+        return high - low
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(x), self.constant)
-        z = np.clip((x - self.centre) / self.scale, -8, 8)
-        low, high = (bias - 0.5 * (((z - mean) @ inverse) ** 2).sum(1) for mean, inverse, bias in self.parts)
-        return 1 / (1 + np.exp(-np.clip(high - low, -500, 500) / 2))
+        return 1 / (1 + np.exp(-np.clip(self._odds(x) - self.cut, -100, 100) / 4))
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
