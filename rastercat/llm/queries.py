@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rastercat.llm import decontaminate, exact_dedup, mixing, quality
+from rastercat.llm import decontaminate, exact_dedup, minhash, mixing, quality
 
 
 def queries() -> dict:
     return {
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op6_minhash": minhash.op6_minhash,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_mix": mixing.op8_mix,
         "op10_quality": quality.op10_quality,
@@ -15,4 +16,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontaminate.ORACLE_SQL, "op7_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {"op4_decontaminate": decontaminate.ORACLE_SQL, "op6_minhash": minhash.ORACLE_SQL, "op7_exact_dedup": exact_dedup.ORACLE_SQL}
