@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from rastercat.llm import decontaminate, exact_dedup, minhash, mixing, quality
+from rastercat.llm import decontaminate, exact_dedup, minhash, mixing, quality, repeats
 
 
 def queries() -> dict:
     return {
+        "op3_repeats": repeats.op3_repeats,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op6_minhash": minhash.op6_minhash,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
