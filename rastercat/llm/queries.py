@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from rastercat.llm import decontaminate, exact_dedup, minhash, mixing, quality, repeats
+from rastercat.llm import decontaminate, exact_dedup, minhash, mixing, quality, repeats, toxicity
 
 
 def queries() -> dict:
     return {
         "op3_repeats": repeats.op3_repeats,
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_minhash": minhash.op6_minhash,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_mix": mixing.op8_mix,
