@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from rastercat.llm import decontaminate, exact_dedup, minhash, mixing, quality, repeats, toxicity
+from rastercat.llm import decontaminate, exact_dedup, minhash, mixing, pii, quality, repeats, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_pii": pii.op1_pii,
         "op3_repeats": repeats.op3_repeats,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_toxicity": toxicity.op5_toxicity,
