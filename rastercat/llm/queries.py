@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from rastercat.llm import decontaminate, exact_dedup, minhash, mixing, pii, quality, repeats, toxicity
+from rastercat.llm import decontaminate, exact_dedup, licences, minhash, mixing, pii, quality, repeats, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_pii": pii.op1_pii,
+        "op2_url_filter": url_filter.op2_url_filter,
         "op3_repeats": repeats.op3_repeats,
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_minhash": minhash.op6_minhash,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_mix": mixing.op8_mix,
+        "op9_licences": licences.op9_licences,
         "op10_quality": quality.op10_quality,
     }
 
