@@ -50,7 +50,7 @@ def run_summary(delta: DataFrame, mip_groups: DataFrame, patches: DataFrame, rep
 
 def matches_table(matches: DataFrame) -> DataFrame:
     """The columns of the match report; diff with three decimals, or empty."""
-    diff = F.when(F.col("diff").isNull(), F.lit("")).otherwise(F.format_string("%.3f", F.col("diff")))
+    diff = F.when(F.col("diff").isNull(), F.lit("")).otherwise(F.format_string("%.3f", F.bround("diff", 3)))
     return matches.select("low_name", "low_w", "low_h", "high_name", "high_w", "high_h", "hamming", diff.alias("diff"))
 
 
