@@ -8,13 +8,14 @@ Links inside a bucket are found without making its pairs:
 
 1. Every member is checked against one hub, the bucket's most central member (the one that sits in
    the most and largest buckets), and components are formed.
-2. Only buckets that still hold several components go on. Members outside the bucket's largest
-   component are compared with all its members, signature against signature, inside tasks that
-   each take a block of bounded size. Agreements of at least ``AGREE`` minima (4 standard
-   deviations below the threshold) are candidates; the best for each other component is checked
-   first, the rest only if it still joins two components.
+2. Only buckets that still hold several components go on. Inside tasks that each take a block of
+   bounded size, members outside the bucket's largest component meet the members of other
+   components: first their signatures (one byte of each minimum; at least ``AGREE`` must agree,
+   4 standard deviations below the threshold), then their sets. Each link that is found joins two
+   components inside the block at once, so a block returns fewer links than it has components.
 
-Every link is confirmed on the two full shingle sets. The outcome is each row's class component.
+Every link is confirmed on the two full shingle sets; blocks carry sets of 32-bit hashes, and if a
+confirmation ever fails the blocks are run again with 64 bits. The outcome is each row's component.
 
 Defined cases: a null or empty text, or one without words, has no shingles and no links; one word
 is one shingle; a null doc_id gets component_id null and is kept; repeated rows share a component,
@@ -37,7 +38,8 @@ from rastercat.llm.storage import stored
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
 AGREE = 84
-BLOCK = 2048
+#: Shingles of a bucket's members that one block holds, about, and rows that are compared with them.
+BLOCK, BLOCK_ROWS = 1 << 20, 2048
 PERCENT, SHINGLE = 80, 2
 
 _rng = np.random.default_rng(6)
@@ -68,42 +70,36 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32)
 
 
+def bucket_keys(least: np.ndarray) -> np.ndarray:
+    """A key for each band of a signature."""
+    values = least.reshape(BANDS, ROWS).astype(np.uint64)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for r in range(ROWS):
+        key = tb.mixed(key + values[:, r])
+    return key.view(np.int64)
+
+
 def features(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, f1 and f2 (the set's fingerprint), signature."""
+    """doc_id, n_shingles, f1 and f2 (the set's fingerprint), keys (of its buckets), signature (a byte of each minimum)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = tb.buffers(batch.column(1))
-            sizes, one, two, signatures = [], [], [], []
+            sizes, one, two, keys, signatures = [], [], [], [], []
             for _, _, part, at in tb.pieces(data, offsets):
                 for own in shingle_sets(part, at, words):
                     sizes.append(len(own))
                     one.append(int(tb.mixed(own).sum().view(np.int64)))
                     two.append(int(tb.mixed(own ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64)))
-                    signatures.append(minima(own).tobytes() if len(own) else None)
+                    least = minima(own)
+                    keys.append(bucket_keys(least) if len(own) else None)
+                    signatures.append((least & np.uint32(255)).astype(np.uint8).tobytes() if len(own) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(signatures, pa.binary())],
-                names=["doc_id", "n_shingles", "f1", "f2", "signature"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(signatures, pa.binary())],
+                names=["doc_id", "n_shingles", "f1", "f2", "keys", "signature"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n_shingles long, f1 long, f2 long, signature binary")
-
-
-def _bucket_keys(reps: DataFrame) -> DataFrame:
-    """(key, id): the buckets of each representative."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band = np.arange(1, BANDS + 1, dtype=np.uint64)
-        for batch in batches:
-            data, _ = tb.buffers(batch.column(1))
-            values = data.copy().view(np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            key = band * np.uint64(0x9E3779B97F4A7C15)
-            for r in range(ROWS):
-                key = tb.mixed(key + values[:, :, r])
-            ids = np.repeat(batch.column(0).to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(ids)], names=["key", "id"])
-
-    return reps.select("id", "signature").mapInArrow(work, "key long, id long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, n_shingles long, f1 long, f2 long, keys array<long>, signature binary")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -150,31 +146,71 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
-def _agreeing(blocks: DataFrame, agree: int) -> DataFrame:
-    """(a, b, component, same): members a outside the largest component and b of another one, with ``same`` equal minima."""
+def packed_sets(texts: DataFrame, words: int, bits: int) -> DataFrame:
+    """(id, n, packed): each text's shingle set as hashes of 32 or 64 bits."""
+    kind = np.uint32 if bits == 32 else np.uint64
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = tb.buffers(batch.column(1))
+            sets = [own for _, _, part, at in tb.pieces(data, offsets) for own in shingle_sets(part, at, words)]
+            packed = pa.array([(own >> np.uint64(64 - bits)).astype(kind).tobytes() for own in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), packed], names=["id", "n", "packed"])
+
+    return texts.select("id", "text").mapInArrow(work, "id long, n long, packed binary")
+
+
+def _block_links(ids, comps, sizes, as_row, signatures, sets, agree: int, percent: int) -> list[tuple[int, int]]:
+    """Links (a, b) of a block that join components: a forest, found in the order of the rows."""
+    rows, columns = np.flatnonzero(as_row), np.flatnonzero(~as_row)
+    _, root = np.unique(comps, return_inverse=True)
+    if len(rows) == 0 or len(columns) == 0:
+        return []
+    columns_signatures = signatures[columns]
+    known, codes, starts, links = None, None, None, []
+    for i in rows.tolist():
+        apart = root[columns] != root[i]
+        if not apart.any():
+            continue
+        near = np.flatnonzero(apart)
+        near = near[(columns_signatures[near] == signatures[i]).sum(1) >= agree]
+        if not len(near):
+            continue
+        if known is None:
+            known, codes = np.unique(np.concatenate([sets[c] for c in columns.tolist()]), return_inverse=True)
+            starts = np.concatenate([[0], np.cumsum([len(sets[c]) for c in columns.tolist()])])
+            marked = np.zeros(len(known), np.int32)
+        at = np.minimum(np.searchsorted(known, sets[i]), len(known) - 1)
+        at = at[known[at] == sets[i]]
+        marked[at] = 1
+        both = np.array([marked[codes[starts[c] : starts[c + 1]]].sum() for c in near.tolist()]) if len(near) < len(columns) // 4 else np.add.reduceat(marked[codes], starts[:-1])[near]
+        marked[at] = 0
+        hit = near[100 * both >= percent * (sizes[i] + sizes[columns[near]] - both)]
+        for c in columns[hit].tolist():
+            if root[c] != root[i]:
+                links.append((int(ids[i]), int(ids[c])))
+                root[root == root[c]] = root[i]
+    return links
+
+
+def _linking(blocks: DataFrame, agree: int, percent: int, bits: int) -> DataFrame:
+    """(a, b): the links that the blocks find; blocks are dealt and sorted by (key, row, column)."""
+    kind = np.uint32 if bits == 32 else np.uint64
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches):
-            key, row, column, ids, comps, as_row = (table.column(k).to_numpy() for k in range(6))
-            data, _ = tb.buffers(table.column(6))
-            signatures = data.reshape(-1, HASHES * 4).copy().view(np.uint32)
+            key, row, column, ids, comps, sizes, as_row = (table.column(k).to_numpy() for k in range(7))
+            signatures = tb.buffers(table.column(7))[0].reshape(-1, HASHES)
+            packed, at = tb.buffers(table.column(8))
+            sets = [packed[a:b].copy().view(kind) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (column[1:] != column[:-1])) + 1
-            out_a, out_b, out_c, out_s = [], [], [], []
+            links: list[tuple[int, int]] = []
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
-                others = lo + np.flatnonzero(~as_row[lo:hi])
-                for i in lo + np.flatnonzero(as_row[lo:hi]):
-                    apart = others[comps[others] != comps[i]]
-                    same = (signatures[apart] == signatures[i]).sum(1)
-                    hit = same >= agree
-                    if hit.any():
-                        out_a.append(np.full(int(hit.sum()), ids[i]))
-                        out_b.append(ids[apart[hit]])
-                        out_c.append(comps[apart[hit]])
-                        out_s.append(same[hit])
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_a, out_b, out_c, out_s)], names=["a", "b", "component", "same"])
-
-    return blocks.mapInArrow(work, "a long, b long, component long, same long")
+                links += _block_links(ids[lo:hi], comps[lo:hi], sizes[lo:hi], as_row[lo:hi], signatures[lo:hi], sets[lo:hi], agree, percent)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return blocks.mapInArrow(work, "a long, b long")
 
 
 def _with_components(members: DataFrame, comps: DataFrame) -> DataFrame:
@@ -191,9 +227,9 @@ def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     return stored(nodes.join(joined, nodes["component"] == joined["old"], "left").select("id", F.coalesce("new", "component").alias("component")), "components")
 
 
-def link_components(reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int = SHINGLE, percent: int = PERCENT, agree: int = AGREE, block: int = BLOCK) -> DataFrame:
-    """(id, component) of all representatives (id, signature) that have a link; ``texts_of`` gives (id, text) of given ids."""
-    keys = stored(_bucket_keys(reps), "bucket-keys")
+def link_components(reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int = SHINGLE, percent: int = PERCENT, agree: int = AGREE, block: int = BLOCK, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, component) of all representatives (id, keys, signature) that have a link; ``texts_of`` gives (id, text) of given ids."""
+    keys = stored(reps.select(F.explode("keys").alias("key"), "id"), "bucket-keys")
     buckets = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     sized = stored(keys.join(buckets, "key").select("key", "id", "n"), "members")
     central = sized.groupBy("id").agg(F.sum("n").alias("central"))
@@ -210,33 +246,37 @@ def link_components(reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     comps = stored(components(stored(links, "links")), "components")
 
     # 2. What is left: buckets with several components, by blocks.
+    for bits in (32, 64):
+        found = stored(_linking(_blocks(members, comps, reps, packed_sets(texts, words, bits), block, block_rows), agree, percent, bits).distinct(), "found")
+        links = stored(confirmed(found, texts, words, percent).distinct(), "links")
+        comps = _merged(comps, links)
+        if bits == 64 or links.count() == found.count():
+            return comps
+
+
+def _blocks(members: DataFrame, comps: DataFrame, reps: DataFrame, sets: DataFrame, block: int, block_rows: int) -> DataFrame:
+    """Buckets with several components: members outside the largest as rows, all as columns, dealt to a grid of blocks."""
     named = _with_components(members.select("key", "id"), comps)
     shares = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-    split = shares.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "component"))["component"].alias("main"), F.max("n").alias("most")).filter("parts > 1")
-    split = split.withColumn("rows", F.ceil((F.col("n") - F.col("most")) / block)).withColumn("columns", F.ceil(F.col("n") / block)).drop("parts", "n", "most")
-    left = named.join(split, "key").join(reps.select("id", "signature"), "id")
+    split = shares.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("many"), F.max(F.struct("n", "component"))["component"].alias("main"), F.max("n").alias("most")).filter("parts > 1")
+    sizes = sets.select("id", "n")
+    left = stored(named.join(split, "key").join(sizes, "id"), "left")
+    columns = left.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / block)).alias("columns"))
+    left = left.join(columns, "key").withColumn("rows", F.greatest(F.lit(1), F.ceil((F.col("many") - F.col("most")) / block_rows)))
     slot = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    as_rows = left.filter("component <> main").select("key", slot("rows").alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"), "id", "component", F.lit(True).alias("as_row"), "signature")
-    as_columns = left.select("key", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), slot("columns").alias("column"), "id", "component", F.lit(False).alias("as_row"), "signature")
-    blocks = as_rows.select("key", F.col("row").cast("long"), F.col("column").cast("long"), "id", "component", "as_row", "signature").union(
-        as_columns.select("key", F.col("row").cast("long"), F.col("column").cast("long"), "id", "component", "as_row", "signature")
-    )
-    near = _agreeing(blocks.repartition("key", "row", "column").sortWithinPartitions("key", "row", "column"), agree)
-    near = stored(near.groupBy("a", "b").agg(F.max("component").alias("component"), F.max("same").alias("same")), "agreeing")
-    first = near.groupBy("a", "component").agg(F.max(F.struct("same", "b"))["b"].alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    comps = _merged(comps, confirmed(first, texts, words, percent))
-    of = lambda end: comps.select(F.col("id").alias(end), F.col("component").alias(f"c_{end}"))
-    rest = near.join(of("a"), "a", "left").join(of("b"), "b", "left").filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b"))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = rest.join(stored(first, "first"), ["a", "b"], "left_anti")
-    return _merged(comps, confirmed(rest, texts, words, percent))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    as_rows = left.filter("component <> main").select("key", slot("rows").cast("long").alias("row"), every("columns").alias("column"), "id", "component", F.lit(True).alias("as_row"))
+    as_columns = left.select("key", every("rows").alias("row"), slot("columns").cast("long").alias("column"), "id", "component", F.lit(False).alias("as_row"))
+    payload = sets.join(reps.select("id", "signature").dropDuplicates(["id"]), "id")
+    blocks = as_rows.union(as_columns).join(payload, "id").select("key", "row", "column", "id", "component", "n", "as_row", "signature", "packed")
+    return blocks.repartition("key", "row", "column").sortWithinPartitions("key", "row", "column")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, **options) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_shingles, component_id, kept."""
     rows = stored(features(docs, words), "features")
     classes = stored(rows.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
-    reps = rows.join(classes.withColumnRenamed("id", "doc_id"), ["f1", "f2", "n_shingles", "doc_id"]).select(F.col("doc_id").alias("id"), "signature")
+    reps = rows.join(classes.withColumnRenamed("id", "doc_id"), ["f1", "f2", "n_shingles", "doc_id"]).select(F.col("doc_id").alias("id"), "keys", "signature")
 
     def texts_of(ids: DataFrame) -> DataFrame:
         return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
