@@ -5,6 +5,9 @@ A manifest that is missing, broken or of an unknown version is an empty one.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +18,20 @@ _MIP = "version int, groups map<string, struct<base: string, base_mtime_ns: bigi
 _HASH = "version int, entries map<string, struct<mtime_ns: bigint, size: bigint, hash: string, hash_size: int>>"
 
 
+def _visible(spark: SparkSession, path: str) -> str:
+    """A path that Spark's readers list: they pass over hidden files, so a hidden one is copied, file to file."""
+    if not path.rstrip("/").rpartition("/")[2].startswith((".", "_")):
+        return path
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    source, copy = hadoop.Path(path), hadoop.Path(f"{folder.rstrip('/')}/manifest-{uuid.uuid4().hex}.json")
+    hadoop.FileUtil.copy(source.getFileSystem(conf), source, copy.getFileSystem(conf), copy, False, conf)
+    return copy.toString()
+
+
 def _documents(spark: SparkSession, path: str, schema: str, versions: tuple[int, ...]) -> DataFrame:
     """Manifests as one row each; from_json makes a broken one null."""
-    text = spark.read.text(path, wholetext=True)
+    text = spark.read.text(_visible(spark, path), wholetext=True)
     return text.select(F.from_json("value", schema).alias("x")).select("x.*").filter(F.col("version").isin(*versions))
 
 

@@ -1,0 +1,167 @@
+"""Catalogue operators on literal rows: each decision that could go either way."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rastercat.functions import paths
+from rastercat.jobs.incremental import run_incremental
+from rastercat.operators import delta, mips, replace, report, similarity
+
+
+def catalog(spark, rows):
+    """Rows of (rel_path, mtime_ns, size)."""
+    df = paths.with_path_parts(spark.createDataFrame(rows, "rel_path string, mtime_ns bigint, size bigint"))
+    return df.select("rel_path", "dir", "name", "stem", "ext", "mtime_ns", "size")
+
+
+def hashed(spark, rows):
+    """Rows of (rel_path, width, height, word)."""
+    df = spark.createDataFrame([(p, w, h, [x, 0]) for p, w, h, x in rows], "rel_path string, width int, height int, hash_words array<bigint>")
+    df = paths.with_path_parts(df).withColumn("id_key", paths.id_key(F.col("stem")))
+    return similarity.with_dims(df)
+
+
+def pairs(df, *columns):
+    return sorted(tuple(r[c] for c in columns) for r in df.collect())
+
+
+def test_delta_statuses(spark):
+    src = catalog(spark, [("a-1-x.png", 5, 1), ("a-1-y.PNG", 5, 1), ("a-1-z.png", 5, 1), ("plain.png", 5, 1), ("a-1-t.txt", 5, 1), ("a-1-n.png", 5, 1)])
+    mid = catalog(spark, [("a-1-x.png", 5, 1), ("a-1-y.PNG", 4, 1), ("a-1-z.png", 6, 1), ("a-1-n.png", None, 1)])
+    got = delta.classify_delta(src, mid)
+    assert pairs(got, "rel_path", "status") == [("a-1-n.png", "updated"), ("a-1-x.png", "up_to_date"), ("a-1-y.PNG", "updated"), ("a-1-z.png", "up_to_date"), ("plain.png", "ineligible")]
+    assert tuple(delta.stage_counts(got).first()) == (0, 2, 2, 1, 2)
+    assert pairs(delta.pending_union(src, mid), "rel_path") == pairs(delta.stage_pending(got), "rel_path")
+
+
+def test_sync_copies_what_differs_not_what_is_newer(spark):
+    mid = catalog(spark, [("a", 5, 1), ("b", 4, 1), ("c", 5, 2), ("d", 5, 1), ("x/.mipcache.json", 1, 1)])
+    dst = catalog(spark, [("a", 5, 1), ("b", 5, 1), ("c", 5, 1), ("extra", 1, 1)])
+    assert pairs(delta.copy_changed_plan(mid, dst), "dst_path", "reason") == [("b", "copy_changed"), ("d", "copy_new")]
+    assert pairs(delta.copy_changed_plan(mid, dst, compare="mtime+size"), "dst_path") == [("b",), ("c",), ("d",)]
+    assert pairs(delta.mirror_plan(mid), "dst_path") == [("a",), ("b",), ("c",), ("d",)]
+    assert pairs(delta.extra_files(mid, dst), "rel_path") == [("extra",)]
+    with pytest.raises(ValueError):
+        delta.copy_changed_plan(mid, dst, compare="hash")
+
+
+def test_mip_groups_bases_and_gaps(spark):
+    files = catalog(spark, [
+        ("d/t.png", 1, 1), ("d/t-mip1.png", 1, 1), ("d/t-mip3.png", 1, 1),
+        ("d/u-mip0.png", 1, 1), ("d/u-mip00.png", 1, 1), ("d/u-mip2.png", 1, 1),
+        ("d/V.PNG", 1, 1), ("d/V-mip1.PNG", 1, 1), ("d/V-mip2.PNG", 1, 1),
+        ("e/a__-mip1b.png", 1, 1), ("e/a-mip1__b.png", 1, 1),
+    ])
+    members = mips.dedupe_mips(mips.mip_members(files))
+    groups = mips.mip_base(mips.mip_groups(members), files)
+    assert pairs(groups, "base_name", "base") == [
+        ("V.png", "d/V-mip1.PNG"),  # the wanted name has a lower-case extension and isn't there
+        ("a__b.png", "e/a-mip1__b.png"), ("a__b.png", "e/a__-mip1b.png"),  # one key, two groups
+        ("t.png", "d/t.png"), ("u.png", "d/u-mip00.png"),  # of -mip0 and -mip00 the last scanned
+    ]
+    gaps = mips.mip_gaps(groups)
+    assert sorted((r["base_name"], tuple(r["missing"])) for r in gaps.collect()) == [("t.png", (2,)), ("u.png", (1,))]
+    assert ("d/t-mip1.png", "d/t.png") in pairs(mips.mip_patch_plan(groups), "dst_path", "src_path")
+    assert "d/u-mip00.png" not in [r[0] for r in pairs(mips.mip_patch_plan(groups), "dst_path")]
+
+
+def state_of(spark, files):
+    members = mips.dedupe_mips(mips.mip_members(files))
+    return mips.with_state(mips.mip_base(mips.mip_groups(members), files), members, files)
+
+
+@pytest.mark.parametrize("change, skip", [("", True), ("base_mtime = base_mtime + 1", False), ("base_size = 9", False), ("base = cast(null as string)", False), ("mips = slice(mips, 1, 1)", False), ("mips = slice(mips, 1, 0)", False), ("base = 'elsewhere'", True)])
+def test_manifest_skips(spark, change, skip):
+    state = state_of(spark, catalog(spark, [("t.png", 1, 1), ("t-mip1.png", 2, 1), ("t-mip2.png", 3, 1)]))
+    manifest = state.select("gid", "base", "base_mtime", "base_size", "mips")
+    if change:
+        name, _, value = change.partition(" = ")
+        manifest = manifest.withColumn(name, F.expr(value))
+    assert mips.mip_skip(state, manifest).first()["skip"] is skip
+    assert mips.mip_skip(state, manifest, dry_run=True).first()["skip"] is False
+
+
+def test_best_large_ties(spark):
+    rows = [
+        ("a-1-s.png", 64, 64, 0), ("b-1-near.png", 256, 256, 1), ("c-1-bigger.png", 512, 512, 2),  # distance 1 both: the larger
+        ("a-2-s.png", 64, 64, 0), ("b-2-same.png", 256, 256, 0), ("c-2-same.png", 512, 512, 0),  # distance 0: the first scanned
+        ("a-3-s.png", 64, 64, 0), ("a-4-l.png", 256, 256, 0),  # no partner
+    ]
+    df = hashed(spark, rows)
+    want = [("a-1-s.png", "c-1-bigger.png", 1), ("a-2-s.png", "b-2-same.png", 0)]
+    assert pairs(similarity.best_large(similarity.id_candidates(df)), "small_path", "large_path", "hamming") == want
+    assert pairs(similarity.best_large_of_distinct(df), "small_path", "large_path", "hamming") == want
+    plan = replace.id_replace_plan(df, threshold=0)
+    assert pairs(plan, "dst_path", "replaced") == [("a-1-s.png", False), ("a-2-s.png", True)]
+    assert tuple(replace.replacement_summary(plan).first()) == (1, 1)
+
+
+def test_overlapping_thresholds_have_no_self_pairs(spark):
+    df = hashed(spark, [("a-1-x.png", 300, 300, 0), ("b-1-y.png", 300, 300, 3)])
+    assert pairs(replace.id_replace_plan(df, small=512, large=256), "dst_path", "src_path") == [("a-1-x.png", "b-1-y.png"), ("b-1-y.png", "a-1-x.png")]
+
+
+def test_nearest_high_ties_and_limit(spark):
+    df = hashed(spark, [("l/a.png", 10, 10, 0), ("l/b.png", 10, 10, 255), ("h/z.png", 1024, 1, 1), ("h/y.png", 2048, 1, 2), ("h/x.png", 2048, 1, 4), ("m-mip1.png", 2048, 1, 0)])
+    assert pairs(similarity.nearest_high(df, threshold=1), "low_path", "high_path", "hamming") == [("l/a.png", "h/x.png", 1)]
+    assert pairs(similarity.top_k_high(df, 2), "low_path", "rank", "high_path") == [("l/a.png", 1, "h/x.png"), ("l/a.png", 2, "h/y.png"), ("l/b.png", 1, "h/x.png"), ("l/b.png", 2, "h/y.png")]
+    assert pairs(similarity.top_k_high(df, 2, block=1), "low_path", "rank", "high_path") == pairs(similarity.top_k_high(df, 2), "low_path", "rank", "high_path")
+    assert similarity.nearest_high(df, threshold=64, limit=1).count() == 1
+    assert similarity.top_k_high(df, 0).count() == 0
+    for wrong in (lambda: similarity.top_k_high(df, -1), lambda: similarity.ordered_lows(df, -1)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+@pytest.mark.parametrize("hash_size, threshold", [(8, 0), (8, 3), (8, 20), (4, 9), (16, 12)])
+def test_bands_equal_brute_force(spark, hash_size, threshold):
+    rng = np.random.default_rng(threshold)
+    n = (hash_size * hash_size + 31) // 32
+    top = min(1 << 32, 1 << (hash_size * hash_size))
+    base = rng.integers(0, top, (40, n))
+    flipped = base ^ (np.uint64(1) << rng.integers(0, min(32, hash_size**2), (40, n)).astype(np.uint64)).astype(np.int64)
+    left, right = (spark.createDataFrame([(x.tolist(),) for x in side], "hash_words array<bigint>") for side in (base, flipped))
+    want = {(tuple(a), tuple(b), int(np.bitwise_count(a ^ b).sum())) for a in base.tolist() for b in flipped.tolist() for a, b in [(np.array(a), np.array(b))] if np.bitwise_count(a ^ b).sum() <= threshold}
+    got = {(tuple(r["l_words"]), tuple(r["r_words"]), r["hamming"]) for r in similarity.hamming_join(left, right, threshold, hash_size).collect()}
+    assert got == {(tuple(int(v) for v in a), tuple(int(v) for v in b), d) for a, b, d in want}
+
+
+def test_replacements_read_the_snapshot_and_keep_times(spark):
+    contents = spark.createDataFrame([("a", 1, "A"), ("b", 2, "B"), ("c", 3, "C")], "rel_path string, mtime bigint, content string")
+    plan = spark.createDataFrame([("a", "b", "id_replace"), ("b", "c", "id_replace"), ("c", "gone", "id_replace")], "dst_path string, src_path string, reason string")
+    assert pairs(replace.apply_replacements(contents, plan), "rel_path", "mtime", "content") == [("a", 1, "B"), ("b", 2, "C"), ("c", 3, "C")]
+
+
+def test_two_plans_compose_to_one_move(spark):
+    schema = "dst_path string, src_path string, reason string"
+    first = spark.createDataFrame([("base", "large", "id_replace"), ("other", "large2", "id_replace")], schema)
+    then = spark.createDataFrame([("mip1", "base", "mip_patch")], schema)
+    assert pairs(replace.composed_sources(first, then), "dst_path", "src_path") == [("base", "large"), ("mip1", "large"), ("other", "large2")]
+
+
+def test_hash_reuse(spark):
+    files = catalog(spark, [("a", 1, 1), ("b", 2, 1), ("c", 1, 1), ("d", 1, 1), ("e", 1, 1)])
+    manifest = spark.createDataFrame([("a", 1, 1, "f", 8), ("b", 1, 1, "f", 8), ("c", 1, 1, "f", 16), ("d", 1, 1, "zz", 8), ("old", 1, 1, "f", 8)], "rel_path string, mtime_ns bigint, size bigint, hash string, hash_size int")
+    hits, misses = replace.split_hashes(files, manifest)
+    assert pairs(hits, "rel_path") == [("a",)] and pairs(misses, "rel_path") == [("b",), ("c",), ("d",), ("e",)]
+
+
+def test_second_run_does_nothing(spark):
+    src = catalog(spark, [("a-1-x.png", 5, 1), ("a-1-x-mip1.png", 5, 1), ("plain.png", 5, 1)])
+    none = src.limit(0)
+    one = run_incremental(src, none, none)
+    assert one.summary.first().asDict() == {"new": 2, "updated": 0, "groups_skipped": 0, "groups_with_gaps": 0, "mips_patched": 1, "ids_replaced": 0, "files_copied": 2, "errors": 0}
+    two = run_incremental(src, one.mid, one.mid, manifest=one.groups.select("gid", "base", "base_mtime", "base_size", "mips"))
+    assert two.summary.first().asDict() == {"new": 0, "updated": 0, "groups_skipped": 1, "groups_with_gaps": 0, "mips_patched": 0, "ids_replaced": 0, "files_copied": 0, "errors": 0}
+    assert run_incremental(src, one.mid, one.mid, clean=True).summary.first()["files_copied"] == 2
+
+
+def test_run_status_and_quarantine(spark):
+    lines = spark.createDataFrame([(1, "fine"), (1, "decode failed"), (2, "fine"), (3, "error")], "run_id int, line string")
+    codes = spark.createDataFrame([(3, 7)], "run_id int, code int")
+    assert pairs(report.run_status(lines, codes), "run_id", "n_errors", "status") == [(1, 1, 1), (2, 0, 0), (3, 1, 7)]
+    failed = spark.createDataFrame([("a", "bad")], "rel_path string, message string")
+    both = report.quarantine(read=failed, write=failed.limit(0))
+    assert report.final_status(both).first()["status"] == "completed with errors"
+    assert report.final_status(both.limit(0)).first()["status"] == "completed"
