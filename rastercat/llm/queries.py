@@ -21,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontaminate.ORACLE_SQL, "op6_minhash": minhash.ORACLE_SQL, "op7_exact_dedup": exact_dedup.ORACLE_SQL}
+    return {
+        "op3_repeats": repeats.ORACLE_SQL,
+        "op4_decontaminate": decontaminate.ORACLE_SQL,
+        "op6_minhash": minhash.ORACLE_SQL,
+        "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+    }

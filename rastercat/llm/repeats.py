@@ -300,3 +300,19 @@ def op3_repeats(spark, sf_dir: str) -> DataFrame:
     """Every document without the bytes of repeated 200-byte passages."""
     out = without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every window's digest, those that start more than once, and their unions; positions are bytes, two hex digits each.
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT row, p, md5(substr(h, 2 * p + 1, 400)) AS k FROM (SELECT row, h, unnest(range(0, length(h) // 2 - 199)) AS p FROM d WHERE length(h) >= 400)),
+r AS (SELECT row, p FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+i AS (SELECT row, p, CASE WHEN p <= lag(p) OVER (PARTITION BY row ORDER BY p) + 200 THEN 0 ELSE 1 END AS fresh FROM r),
+g AS (SELECT row, p, sum(fresh) OVER (PARTITION BY row ORDER BY p) AS g FROM i),
+s AS (SELECT row, min(p) AS a, max(p) + 200 AS b FROM g GROUP BY row, g),
+e AS (SELECT s.row, a, b, coalesce(lag(b) OVER (PARTITION BY s.row ORDER BY a), 0) AS prior, h FROM s JOIN d ON d.row = s.row),
+k AS (SELECT row, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed,
+  string_agg(substr(h, 2 * prior + 1, 2 * (a - prior)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept FROM e GROUP BY row)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k ON k.row = d.row
+"""
