@@ -20,7 +20,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,11 +94,11 @@ def own_licences(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPL
     frequency = {r["term"]: r["n"] for r in counted.collect()}  # of the templates' terms only
     shared = files.sparkSession.sparkContext.broadcast((templates, frequency, snippets.count()))
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(*shared.value)
         for batch in batches:
             names, scores, sizes = [], [], []
-            for lines in batch["__lines"]:
+            for lines in batch.column(batch.num_columns - 1).to_pylist():
                 name, top, size = None, 0.0, 0
                 for line in lines:
                     found = terms(line)
@@ -110,13 +110,14 @@ def own_licences(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPL
                 names.append(name)
                 scores.append(top)
                 sizes.append(size)
-            yield batch.drop(columns="__lines").assign(own_licence=names, own_score=scores, __size=sizes)
+            new = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], "own_licence", "own_score", "__size"])
 
     kept = [c for c in files.columns if c != "text"]
     n_words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}0-9]+"), lambda x: x != ""))
     rows = narrow.select(*kept, F.when(F.size("__lines") > 0, n_words).otherwise(0).alias("__n_words"), "__lines")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__lines")
-    out = rows.mapInPandas(judge, f"{fields}, own_licence string, own_score double, __size long")
+    out = rows.mapInArrow(judge, f"{fields}, own_licence string, own_score double, __size long")
     speaks = F.col("own_licence").isNotNull() & F.col("path").isNotNull() & (F.col("path").rlike(FILE_NAME) | (2 * F.col("__size") >= F.col("__n_words")))
     return out.withColumn("declares", F.coalesce(speaks, F.lit(False))).drop("__n_words", "__size")
 

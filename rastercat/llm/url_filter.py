@@ -20,7 +20,7 @@ import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,27 +123,28 @@ def judged(pages: DataFrame, rules=RULES, lexicon_size: int = LEXICON, tokens: i
     parts = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     kind = pages.schema["page_id"].dataType.simpleString()
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitting, segmenter = Rules(shared.value[0]).fitting, Segmenter(shared.value[1])
         for batch in batches:
-            both = list(zip(batch["host"], batch["path"], strict=True))
+            both = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
             found = [fitting(h, p) for h, p in both]
-            yield batch.assign(rule=[f[0] for f in found], ruled=[f[1] for f in found], tokens=[segmenter.tokens(h, p) for h, p in both])
+            new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), pa.array([segmenter.tokens(h, p) for h, p in both], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=["page_id", "host", "path", "rule", "ruled", "tokens"])
 
-    rows = stored(parts.mapInPandas(split, f"page_id {kind}, host string, path string, rule string, ruled string, tokens array<string>"), "urls")
+    rows = stored(parts.mapInArrow(split, f"page_id {kind}, host string, path string, rule string, ruled string, tokens array<string>"), "urls")
     allow, block = (F.count_if(F.col("ruled") == v) for v in ("allow", "block"))
     pages_of = rows.agg(allow.alias("a"), block.alias("b")).first()
     each = rows.filter("ruled is not null").select("ruled", F.explode("tokens").alias("token")).groupBy("token").agg(allow.alias("a"), block.alias("b"))
     top = each.orderBy((F.col("a") + F.col("b")).desc(), "token").limit(tokens).collect()
     model = spark.sparkContext.broadcast(NaiveBayes([tuple(r) for r in top], pages_of["a"], pages_of["b"]))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.value.score(t) for t in batch["tokens"]]
-            verdict = [r or ("allow" if s >= 0.5 else "block") for r, s in zip(batch["ruled"], scores, strict=True)]
-            yield batch.drop(columns=["ruled", "tokens"]).assign(verdict=verdict, score=scores)
+            scores = [model.value.score(t) for t in batch.column(5).to_pylist()]
+            verdict = [r or ("allow" if s >= 0.5 else "block") for r, s in zip(batch.column(4).to_pylist(), scores, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdict, pa.string()), pa.array(scores, pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "score"])
 
-    return rows.mapInPandas(score, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
+    return rows.mapInArrow(score, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
 
 
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:
