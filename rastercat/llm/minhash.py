@@ -230,7 +230,8 @@ def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
 def link_components(reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int = SHINGLE, percent: int = PERCENT, agree: int = AGREE, block: int = BLOCK, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, component) of all representatives (id, keys, signature) that have a link; ``texts_of`` gives (id, text) of given ids."""
     keys = stored(reps.select(F.explode("keys").alias("key"), "id"), "bucket-keys")
-    buckets = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # What is counted by key is stored before it is joined, so that a hot bucket's rows can be split over tasks.
+    buckets = stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
     sized = stored(keys.join(buckets, "key").select("key", "id", "n"), "members")
     central = sized.groupBy("id").agg(F.sum("n").alias("central"))
     texts = stored(texts_of(central.select("id")), "candidate-texts")
@@ -238,7 +239,7 @@ def link_components(reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
 
     # 1. One hub for each member: of its buckets' most central members the one that it meets most often.
     hub = F.struct("central", (-F.col("id")).alias("less"))
-    hubs = members.groupBy("key").agg((-F.max(hub)["less"]).alias("hub"))
+    hubs = stored(members.groupBy("key").agg((-F.max(hub)["less"]).alias("hub")), "hubs")
     met = members.join(hubs, "key").filter("hub <> id").groupBy("id", "hub").agg(F.count("*").alias("n"))
     best = met.groupBy("id").agg(F.max(F.struct("n", (-F.col("hub")).alias("less"))).alias("best"))
     pairs = best.select(F.col("id").alias("a"), (-F.col("best.less")).alias("b"))
@@ -259,9 +260,10 @@ def _blocks(members: DataFrame, comps: DataFrame, reps: DataFrame, sets: DataFra
     named = _with_components(members.select("key", "id"), comps)
     shares = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     split = shares.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("many"), F.max(F.struct("n", "component"))["component"].alias("main"), F.max("n").alias("most")).filter("parts > 1")
+    split = stored(split, "split-buckets")
     sizes = sets.select("id", "n")
     left = stored(named.join(split, "key").join(sizes, "id"), "left")
-    columns = left.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / block)).alias("columns"))
+    columns = stored(left.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / block)).alias("columns")), "columns")
     left = left.join(columns, "key").withColumn("rows", F.greatest(F.lit(1), F.ceil((F.col("many") - F.col("most")) / block_rows)))
     slot = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))

@@ -229,13 +229,14 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     """(t1, t2, ranges): byte ranges (start << 32 | end) of each text, of which every byte is in a window that also starts elsewhere."""
     texts = _tagged(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).filter(F.octet_length("text") >= window)
     rows = _anchor_rows(texts, window, gram)
-    met = rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    # Counts are stored before they are joined, so that a hot anchor's rows can be split over tasks.
+    met = stored(rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "anchors-met")
     rows = stored(rows.join(met, "h", "left_semi"), "anchors")
 
     classes = rows.groupBy("h", "context").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "place")).alias("first"))
     classes = stored(classes, "contexts")
-    kinds = classes.groupBy("h").agg(F.count("*").alias("kinds"))
-    classes = classes.join(kinds, "h").filter("n > 1 or kinds > 1")
+    kinds = stored(classes.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
+    classes = classes.join(kinds, "h", "left").fillna(1, ["kinds"]).filter("n > 1 or kinds > 1")
 
     # Digit 2: contexts with several rows are repeated throughout.
     p, left, right = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255), F.col("place").bitwiseAND(255)
