@@ -58,7 +58,7 @@ def run_incremental(
     empty = after.limit(0).select(F.col("rel_path").alias("dst_path"), F.col("rel_path").alias("src_path"), F.lit("id_replace").alias("reason"))
     replacements = empty
     if hashed is not None:
-        plan = replace.id_replace_plan(hashed, small, large, hash_size, threshold)
+        plan = replace.id_replace_plan(hashed, small, large, hash_size, threshold, near_only=True)
         replacements = plan.filter("replaced").select("dst_path", "src_path", "reason")
 
     members = mips.dedupe_mips(mips.mip_members(after))

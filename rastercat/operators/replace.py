@@ -9,10 +9,16 @@ from rastercat.functions import hashing
 from rastercat.operators import similarity
 
 
-def id_replace_plan(hashed: DataFrame, small: int = 256, large: int = 256, hash_size: int = 8, threshold: int = 6) -> DataFrame:
-    """Every small image with its best large one of its ID group: dst_path, src_path, hamming, replaced, reason."""
+def id_replace_plan(hashed: DataFrame, small: int = 256, large: int = 256, hash_size: int = 8, threshold: int = 6, near_only: bool = False) -> DataFrame:
+    """Every small image with its best large one of its ID group: dst_path, src_path, hamming, replaced, reason.
+
+    ``near_only`` leaves out those that are not replaced, and then never pairs all hashes of a group.
+    """
     hashing.check_threshold(threshold, hash_size)
-    best = similarity.best_large_of_distinct(hashed, small, large, hash_size)
+    if near_only:
+        best = similarity.best_large_near(hashed, small, large, hash_size, threshold)
+    else:
+        best = similarity.best_large_of_distinct(hashed, small, large, hash_size)
     return best.select(
         F.col("small_path").alias("dst_path"), F.col("large_path").alias("src_path"), "hamming", (F.col("hamming") <= threshold).alias("replaced"), F.lit("id_replace").alias("reason")
     )

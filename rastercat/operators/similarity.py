@@ -151,9 +151,28 @@ def best_large_of_distinct(hashed: DataFrame, small: int = 256, large: int = 256
     if small > large:
         return best_large(id_candidates(hashed, small, large, hash_size))
     s, l = _sides(hashed, small, large)
-    first = l.groupBy("id_key", "large_words").agg(F.min("large_path").alias("first_path"), F.min(F.struct((-F.col("area")).alias("less"), "large_path")).alias("largest"))
-    distinct = s.select("id_key", "small_words").distinct()
-    pairs = distinct.join(first, "id_key").withColumn("hamming", hashing.hamming(F.col("small_words"), F.col("large_words"), hash_size))
+    pairs = s.select("id_key", "small_words").distinct().join(_standing(l), "id_key")
+    return _expanded(s, pairs.withColumn("hamming", hashing.hamming(F.col("small_words"), F.col("large_words"), hash_size)))
+
+
+def best_large_near(hashed: DataFrame, small: int = 256, large: int = 256, hash_size: int = 8, threshold: int = 6) -> DataFrame:
+    """The best pairs that are within the threshold, by bands inside each ID group: for groups too large to pair all their hashes."""
+    if small > large:
+        return best_large(id_candidates(hashed, small, large, hash_size)).filter(F.col("hamming") <= threshold)
+    s, l = _sides(hashed, small, large)
+    stands = _standing(l)
+    near = hamming_join(s.select("id_key", F.col("small_words").alias("hash_words")), stands.select("id_key", F.col("large_words").alias("hash_words")), threshold, hash_size, by=("id_key",))
+    pairs = near.withColumnsRenamed({"l_words": "small_words", "r_words": "large_words"}).join(stands, ["id_key", "large_words"])
+    return _expanded(s, pairs)
+
+
+def _standing(l: DataFrame) -> DataFrame:
+    """Of each (id_key, hash) the two larges that can be best: the first scanned, and the largest."""
+    return l.groupBy("id_key", "large_words").agg(F.min("large_path").alias("first_path"), F.min(F.struct((-F.col("area")).alias("less"), "large_path")).alias("largest"))
+
+
+def _expanded(s: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The best of each small hash's pairs, for every small image that has the hash."""
     zero = F.col("hamming") == 0
     order = F.struct("hamming", F.when(zero, F.lit(0).cast("bigint")).otherwise(F.col("largest.less")).alias("less"), F.when(zero, F.col("first_path")).otherwise(F.col("largest.large_path")).alias("large_path"))
     best = pairs.groupBy("id_key", "small_words").agg(F.min(order).alias("best"))

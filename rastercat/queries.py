@@ -334,6 +334,11 @@ def j9_id_replace_plan(spark, d):
     return replace.id_replace_plan(fx.hashed(spark, d))
 
 
+@_query("j9_near_replacements", _PLAN + " WHERE hamming <= 6", fx.TEXTURES, _CANDIDATES)
+def j9_near_replacements(spark, d):
+    return replace.id_replace_plan(fx.hashed(spark, d), near_only=True)
+
+
 @_query("e2_consolidate_variants", _PLAN, fx.TEXTURES, _CANDIDATES)
 def e2_consolidate_variants(spark, d):
     return consolidate_variants(None, hashed=fx.hashed(spark, d))

@@ -92,6 +92,8 @@ def test_best_large_ties(spark):
     want = [("a-1-s.png", "c-1-bigger.png", 1), ("a-2-s.png", "b-2-same.png", 0)]
     assert pairs(similarity.best_large(similarity.id_candidates(df)), "small_path", "large_path", "hamming") == want
     assert pairs(similarity.best_large_of_distinct(df), "small_path", "large_path", "hamming") == want
+    assert pairs(similarity.best_large_near(df, threshold=1), "small_path", "large_path", "hamming") == want
+    assert pairs(similarity.best_large_near(df, threshold=0), "small_path", "large_path", "hamming") == want[1:]
     plan = replace.id_replace_plan(df, threshold=0)
     assert pairs(plan, "dst_path", "replaced") == [("a-1-s.png", False), ("a-2-s.png", True)]
     assert tuple(replace.replacement_summary(plan).first()) == (1, 1)
