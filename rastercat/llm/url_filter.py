@@ -100,7 +100,8 @@ def lexicon(pages: DataFrame, size: int = LEXICON) -> dict[str, int]:
     """The most frequent words of all pages' html with their counts."""
     words = pages.select(F.explode(F.split(F.translate(F.coalesce("html", F.lit("")), UPPER, LOWER), r"[^\p{L}]+")).alias("word"))
     counts = words.filter(F.length("word").between(2, LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n"))
-    return {r["word"]: r["n"] for r in counts.orderBy(F.col("n").desc(), "word").limit(size).collect()}
+    top = stored(counts.orderBy(F.col("n").desc(), "word").limit(size), "lexicon")  # so that only the final rows reach the driver
+    return {r["word"]: r["n"] for r in top.collect()}
 
 
 class NaiveBayes:
@@ -135,7 +136,7 @@ def judged(pages: DataFrame, rules=RULES, lexicon_size: int = LEXICON, tokens: i
     allow, block = (F.count_if(F.col("ruled") == v) for v in ("allow", "block"))
     pages_of = rows.agg(allow.alias("a"), block.alias("b")).first()
     each = rows.filter("ruled is not null").select("ruled", F.explode("tokens").alias("token")).groupBy("token").agg(allow.alias("a"), block.alias("b"))
-    top = each.orderBy((F.col("a") + F.col("b")).desc(), "token").limit(tokens).collect()
+    top = stored(each.orderBy((F.col("a") + F.col("b")).desc(), "token").limit(tokens), "tokens").collect()
     model = spark.sparkContext.broadcast(NaiveBayes([tuple(r) for r in top], pages_of["a"], pages_of["b"]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
