@@ -4,9 +4,12 @@ A unigram model of words is counted over all pages' html. Viterbi splits the let
 labels and path parts ('cheappills') into the most likely words; multinomial naive Bayes, trained on
 the pages that a rule judges, scores the words of the others.
 
-The two models that tasks get are bounded: the ``LEXICON`` most frequent words and the ``TOKENS``
-most frequent tokens (ties by the word), each counted over all pages. Longer texts than any word are
-split too; a run of over ``RUN`` letters is split in pieces of that length first.
+Both models are whole and stay tables: every word and every token counts, whatever its rank. The
+substrings of each distinct run of letters are joined with the words' counts, so a run's row carries
+the words that it needs; the odds of tokens are summed by part (a run in its place) and joined to
+pages by part. Keys that are frequent on the larger side of a join - the first ``HOT`` - are joined
+by a broadcast, all others by a shuffle; the results are the same for every ``HOT``. A run of any
+length is split whole.
 
 Defined cases: a null url, or one without '://', has empty host and path, fits no rule and is judged
 by the prior; without pages that a rule judges the verdict is allow; repeated rows are judged each;
@@ -16,6 +19,7 @@ a null html adds no words; empty tables give empty results.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -26,8 +30,11 @@ from pyspark.sql import functions as F
 
 from rastercat.llm.storage import stored
 
-LEXICON, TOKENS = 50_000, 50_000
-LONGEST_WORD, RUN = 24, 256
+#: Frequent keys that a join broadcasts; the others are joined by a shuffle.
+HOT = 50_000
+LONGEST_WORD = 24
+#: Rows of substrings in a batch, about.
+BATCH = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # The rules of the registered query, (host and path, verdict).
@@ -63,16 +70,17 @@ class Rules:
 
 
 class Segmenter:
-    """Unigram Viterbi: the split of a run of letters with the greatest product of word probabilities."""
+    """Unigram Viterbi: the split of a run of letters with the greatest product of word probabilities.
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = sum(counts.values()) + 1
+    ``counts`` may leave out words that no run holds, if ``total`` is the count of all words.
+    """
+
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        self.total = (sum(counts.values()) if total is None else total) + 1
         self.cost = {w: math.log(self.total / n) for w, n in counts.items()}
         self.split = functools.lru_cache(1 << 16)(self._split)
 
     def _split(self, run: str) -> tuple[str, ...]:
-        if len(run) > RUN:
-            return tuple(w for i in range(0, len(run), RUN) for w in self._split(run[i : i + RUN]))
         unknown = math.log(self.total)
         best = [(0.0, 0)]
         for end in range(1, len(run) + 1):
@@ -89,63 +97,105 @@ class Segmenter:
 
     def tokens(self, host: str, path: str) -> list[str]:
         """Words of the host as h:word, of the path as p:word; numbers as their length."""
-        out = []
-        for place, text in (("h", host), ("p", path.lower())):
-            for part in re.findall(r"[0-9]+|[^\W\d_]+", text):
-                out += [f"{place}:#{min(len(part), 9)}"] if part.isdigit() else [f"{place}:{w}" for w in self.split(part)]
-        return out
+        return [t for part in parts(host, path) for t in ([part] if part[2] == "#" else [part[:2] + w for w in self.split(part[2:])])]
+
+
+def parts(host: str, path: str) -> list[str]:
+    """Runs of letters of the host as h:run, of the path as p:run; numbers as their length, h:#4."""
+    found = ((place, x) for place, text in (("h", host), ("p", path.lower())) for x in re.findall(r"[0-9]+|[^\W\d_]+", text))
+    return [f"{place}:#{min(len(x), 9)}" if x.isdigit() else f"{place}:{x}" for place, x in found]
+
+
+def substrings(run: str) -> Iterator[str]:
+    """Every part of a run that can be a word; one that is repeated may come again."""
+    for first in range(0, len(run), BATCH // LONGEST_WORD):
+        starts = range(first, min(first + BATCH // LONGEST_WORD, len(run)))
+        yield from {run[i : i + k] for i in starts for k in range(2, min(LONGEST_WORD, len(run) - i) + 1)}
 
 
-def lexicon(pages: DataFrame, size: int = LEXICON) -> dict[str, int]:
-    """The most frequent words of all pages' html with their counts."""
+def lexicon(pages: DataFrame) -> DataFrame:
+    """word, n: every word of all pages' html with its count."""
     words = pages.select(F.explode(F.split(F.translate(F.coalesce("html", F.lit("")), UPPER, LOWER), r"[^\p{L}]+")).alias("word"))
-    counts = words.filter(F.length("word").between(2, LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n"))
-    top = stored(counts.orderBy(F.col("n").desc(), "word").limit(size), "lexicon")  # so that only the final rows reach the driver
-    return {r["word"]: r["n"] for r in top.collect()}
+    return stored(words.filter(F.length("word").between(2, LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n")), "lexicon")
 
 
-class NaiveBayes:
-    """Multinomial naive Bayes of allow against block, with add-one smoothing."""
+def looked_up(many: DataFrame, table: DataFrame, key: str, hot: int) -> DataFrame:
+    """The inner join with a table of distinct keys; the keys most frequent in ``many`` are joined by a broadcast, so none gathers in a task."""
+    top = stored(many.groupBy(key).agg(F.count("*").alias("__n")).orderBy(F.col("__n").desc(), key).limit(hot).select(key), "hot")
+    few = stored(table.join(F.broadcast(top), key, "left_semi"), "hot")
+    rest = many.join(F.broadcast(top), key, "left_anti").join(table, key)
+    return many.join(F.broadcast(few), key).unionByName(rest)
 
-    def __init__(self, rows: list[tuple[str, int, int]], allow_pages: int, block_pages: int):
-        allow, block = sum(r[1] for r in rows) + len(rows) + 1, sum(r[2] for r in rows) + len(rows) + 1
-        self.prior = math.log((allow_pages + 1) / (block_pages + 1)) if block_pages else 1.0
-        self.odds = {w: math.log((a + 1) / allow) - math.log((b + 1) / block) for w, a, b in rows}
 
-    def score(self, tokens: list[str]) -> float:
-        x = self.prior + sum(self.odds.get(t, 0.0) for t in tokens)
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
+def splits(runs: DataFrame, words: DataFrame, hot: int = HOT) -> DataFrame:
+    """run, words of each row of runs(run_id, run), split by the counts of words(word, n)."""
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = ((i, w) for batch in batches for i, run in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in substrings(run))
+        while some := list(itertools.islice(pairs, BATCH)):
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.string())], names=["run_id", "word"])
 
-def judged(pages: DataFrame, rules=RULES, lexicon_size: int = LEXICON, tokens: int = TOKENS) -> DataFrame:
-    """page_id, host, path, rule, verdict, score (the model's, of allow) of every row of pages(page_id, url, html)."""
-    spark = pages.sparkSession
-    shared = spark.sparkContext.broadcast((tuple(rules), lexicon(pages, lexicon_size)))
-    parts = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    kind = pages.schema["page_id"].dataType.simpleString()
+    total = words.agg(F.sum("n")).first()[0] or 0
+    known = looked_up(runs.select("run_id", "run").mapInArrow(cut, "run_id long, word string"), words, "word", hot)
+    known = known.groupBy("run_id").agg(F.collect_set(F.struct("word", "n")).alias("counts"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitting, segmenter = Rules(shared.value[0]).fitting, Segmenter(shared.value[1])
         for batch in batches:
-            both = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            found = [fitting(h, p) for h, p in both]
-            new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), pa.array([segmenter.tokens(h, p) for h, p in both], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=["page_id", "host", "path", "rule", "ruled", "tokens"])
+            both = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            out = [list(Segmenter({x["word"]: x["n"] for x in counts or ()}, total)._split(run)) for run, counts in both]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["run", "words"])
 
-    rows = stored(parts.mapInArrow(split, f"page_id {kind}, host string, path string, rule string, ruled string, tokens array<string>"), "urls")
+    return stored(runs.join(known, "run_id", "left").select("run", "counts").mapInArrow(split, "run string, words array<string>"), "splits")
+
+
+def part_odds(rows: DataFrame, words: DataFrame, hot: int = HOT) -> tuple[DataFrame, float]:
+    """(part, odds of every part; the prior): multinomial naive Bayes of allow against block, with add-one smoothing.
+
+    ``rows`` has ruled and parts; tokens that no ruled page has add nothing.
+    """
     allow, block = (F.count_if(F.col("ruled") == v) for v in ("allow", "block"))
-    pages_of = rows.agg(allow.alias("a"), block.alias("b")).first()
-    each = rows.filter("ruled is not null").select("ruled", F.explode("tokens").alias("token")).groupBy("token").agg(allow.alias("a"), block.alias("b"))
-    top = stored(each.orderBy((F.col("a") + F.col("b")).desc(), "token").limit(tokens), "tokens").collect()
-    model = spark.sparkContext.broadcast(NaiveBayes([tuple(r) for r in top], pages_of["a"], pages_of["b"]))
+    each = stored(rows.select("ruled", F.explode("parts").alias("part")).groupBy("part").agg(allow.alias("a"), block.alias("b")), "parts")
+    run = F.expr("substring(part, 3)")
+    letters = each.filter(~F.startswith(run, F.lit("#")))
+    runs = stored(letters.select(run.alias("run")).distinct().withColumn("run_id", F.monotonically_increasing_id()), "runs")
+    place = F.substring("part", 1, 2)
+    named = letters.withColumn("run", run).join(splits(runs, words, hot), "run").select("part", "a", "b", F.transform("words", lambda w: F.concat(place, w)).alias("tokens"))
+    named = stored(named.unionByName(each.filter(F.startswith(run, F.lit("#"))).withColumn("tokens", F.array("part"))), "named")
+    tokens = stored(named.filter("a + b > 0").select("a", "b", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "tokens")
+    pages, all_ = rows.agg(allow.alias("a"), block.alias("b")).first(), tokens.agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("*").alias("n")).first()
+    a, b = (all_["n"] + 1 + (all_[x] or 0) for x in "ab")
+    odds = tokens.select("token", (F.log((F.col("a") + 1) / a) - F.log((F.col("b") + 1) / b)).alias("odds"))
+    found = looked_up(named.select("part", F.posexplode("tokens").alias("at", "token")), odds, "token", hot)
+    return stored(found.groupBy("part").agg(_sum().alias("odds")), "odds"), math.log((pages["a"] + 1) / (pages["b"] + 1)) if pages["b"] else 1.0
+
+
+def _sum() -> Column:
+    """The group's odds added in the order of ``at``, so that equal inputs give equal sums."""
+    return F.aggregate(F.array_sort(F.collect_list(F.struct("at", "odds"))), F.lit(0.0), lambda s, x: s + x["odds"])
+
+
+def judged(pages: DataFrame, rules=RULES, hot: int = HOT) -> DataFrame:
+    """page_id, host, path, rule, verdict, score (the model's, of allow) of every row of pages(page_id, url, html)."""
+    shared = pages.sparkSession.sparkContext.broadcast(tuple(rules))
+    placed = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    kind = pages.schema["page_id"].dataType.simpleString()
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitting = Rules(shared.value).fitting
         for batch in batches:
-            scores = [model.value.score(t) for t in batch.column(5).to_pylist()]
-            verdict = [r or ("allow" if s >= 0.5 else "block") for r, s in zip(batch.column(4).to_pylist(), scores, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdict, pa.string()), pa.array(scores, pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "score"])
-
-    return rows.mapInArrow(score, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
+            both = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            found = [fitting(h, p) for h, p in both]
+            new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), pa.array([parts(h, p) for h, p in both], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=["page_id", "host", "path", "rule", "ruled", "parts"])
+
+    rows = placed.mapInArrow(read, f"page_id {kind}, host string, path string, rule string, ruled string, parts array<string>")
+    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "urls")
+    odds, prior = part_odds(rows, lexicon(pages), hot)
+    sums = looked_up(rows.select("row", F.posexplode("parts").alias("at", "part")), odds, "part", hot).groupBy("row").agg(_sum().alias("x"))
+    x = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.lit(prior) + F.coalesce("x", F.lit(0.0))))
+    score = 1 / (1 + F.exp(-x))
+    verdict = F.coalesce("ruled", F.when(score >= 0.5, "allow").otherwise("block"))
+    return rows.join(sums, "row", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), score.alias("score"))
 
 
 def op2_url_filter(spark, sf_dir: str) -> DataFrame:

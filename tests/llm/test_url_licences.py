@@ -1,3 +1,10 @@
+import itertools
+import math
+import re
+from collections import Counter
+
+import pytest
+
 from rastercat.llm import licences, url_filter
 from tests.llm.helpers import odd_rows
 
@@ -35,6 +42,44 @@ def test_segments():
     assert s.tokens("spamfarm.net", "/A12") == ["h:spam", "h:farm", *(f"h:{w}" for w in s.split("net")), "p:a", "p:#2"]
 
 
+def brute(rows, got):
+    """Scores of judged rows by whole counts of words and tokens, in plain Python."""
+    counts = Counter(w for _, _, html in rows for w in re.split(r"[^a-zé]+", (html or "").lower()) if 2 <= len(w) <= 24)
+    segmenter, rules = url_filter.Segmenter(counts), dict(url_filter.RULES)
+    pages, tokens = Counter(), {"allow": Counter(), "block": Counter()}
+    for r in got:
+        if r["rule"]:
+            pages[rules[r["rule"]]] += 1
+            tokens[rules[r["rule"]]].update(segmenter.tokens(r["host"], r["path"]))
+    known = set(tokens["allow"]) | set(tokens["block"])
+    a, b = (sum(tokens[v].values()) + len(known) + 1 for v in ("allow", "block"))
+    odds = {t: math.log((tokens["allow"][t] + 1) / a) - math.log((tokens["block"][t] + 1) / b) for t in known}
+    prior = math.log((pages["allow"] + 1) / (pages["block"] + 1)) if pages["block"] else 1.0
+    return [1 / (1 + math.exp(-prior - sum(odds.get(t, 0.0) for t in segmenter.tokens(r["host"], r["path"])))) for r in got]
+
+
+def test_rare_words_and_tokens_count(spark):
+    """Over 50,000 words are more frequent than those of the url, and over 50,000 tokens come first."""
+    often = ["q" + "".join(x) for x in itertools.islice(itertools.product("abcdefghij", repeat=5), 50_001)]
+    rows = [(0, "http://a.org/" + "/".join(often), " ".join(often + often)), *((i, "http://x.com/de/zcheap/zpills", "zcheap zpills" if i == 1 else "") for i in (1, 2)), (3, "http://n.net/zcheapzpills", "")]
+    got = judged(spark, rows).collect()
+    assert len(got) == 4 and [r["score"] for r in got] == pytest.approx(brute(rows, got), rel=1e-9)
+
+
+@pytest.mark.parametrize("hot", [1, 3, 50_000])
+def test_scores_equal_brute_force(spark, hot):
+    """However many keys are joined by a broadcast."""
+    rows = [*URLS, (12, "http://cheapfarm.com/de/pillscheap/" + "cheappills" * 60, "cheap farm"), (13, None, "")]
+    got = url_filter.judged(spark.createDataFrame(rows, "page_id long, url string, html string"), hot=hot).collect()
+    assert len(got) == len(rows) and [r["score"] for r in got] == pytest.approx(brute(rows, got), rel=1e-9)
+
+
+def test_long_runs_are_split_whole():
+    s = url_filter.Segmenter({"cheap": 50, "pills": 40})
+    assert s.split("cheappills" * 100) == ("cheap", "pills") * 100
+    assert set(url_filter.substrings("abc" * 3000)) == {("abc" * 10)[i : i + k] for i in range(3) for k in range(2, 25)}
+
+
 def test_no_pages(spark):
     assert judged(spark, []).count() == 0
 
