@@ -1,9 +1,13 @@
-"""Licence scans: sparse TF-IDF cosine of licence lines to templates, then inheritance from the nearest directory.
+"""Licence scans: sparse TF-IDF cosine of licence passages to templates, then inheritance from the nearest directory.
 
-Every line of every whole text that has a licence cue is a snippet (long ones are cut into
-overlapping windows of words). Inverse document frequencies are counted over all snippets. A
+A text is one sequence of words; line ends and comment marks are not words. Around every cue of every
+whole text the windows that lay a template's cue on it, each as long as that template, are snippets,
+and so is every line with a cue (long ones are cut into overlapping windows of words). Templates are
+wordings (``TEMPLATES``) and whole headers and licence texts (``TEXTS``). Inverse document frequencies
+are counted over all windows of ``WORDS`` words, in steps of half of that, that hold a cue. A
 snippet's licence is the template of greatest cosine, if it is at least ``SURE``; a file's own
-licence is that of its best snippet. A licence file - one with a licence name, or one whose licence
+licence is that of its best snippet, or of one at most ``CLOSE`` below that fits a template of twice
+the words or more: licences share first sentences. A licence file - one with a licence name, or one whose licence
 lines are at least half of its words - also declares its directory's licence. A file without its own
 licence takes that of the nearest ancestor directory that has one, by an equi-join of directories
 with their exploded ancestors.
@@ -15,6 +19,7 @@ repeated rows are judged each; empty tables give empty results. Only path and te
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -24,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SURE = 0.55
+SURE, CLOSE = 0.55, 0.05
 WORDS = 60
-CUE = r"(?i)licen[cs]|copyright|spdx|redistribut|permission is hereby|public domain"
+CUE = r"(?i)licen[cs]|copyright|spdx|redistribut|permission[^\p{L}0-9]+is[^\p{L}0-9]+hereby|public[^\p{L}0-9]+domain"
 FILE_NAME = r"(?i)(?:^|/)(?:un)?(?:licen[cs]e|copying|notice)(?:[.-][^/]*)?$"
 
 # Wordings of licence headers, by SPDX name.
@@ -46,23 +51,124 @@ TEMPLATES = {
 }
 
 
+# Whole headers, licence texts, or the opening of those of many pages.
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+TEXTS = {
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+        "See the License for the specific language governing permissions and limitations under the License.",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    ),
+    "BSD-2-Clause": (_BSD + _BSD_END,),
+    "BSD-3-Clause": (_BSD + _BSD_NAMES + _BSD_END,),
+    "GPL-2.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    ),
+    "GPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation.",
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    ),
+    "LGPL-3.0": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",
+    ),
+    "MIT": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. "
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.",
+    ),
+}
+
+
 def terms(text: str) -> list[str]:
     return re.findall(r"[0-9]+(?:\.[0-9]+)?|[^\W\d_]+", text.lower())
 
 
+_ONE = re.compile("licen[cs]|copyright|spdx|redistribut")
+
+
+def cues(words: list[str]) -> list[tuple[int, str]]:
+    """Positions of words that a cue begins in, with the kind of cue; the words of a phrase may lie in two lines."""
+    one = {w: m[0][:5] for w in set(words) if (m := _ONE.search(w))} | {"permission": "", "public": ""}
+    kinds = ((i, one[w] or ("permission" if words[i + 1 : i + 3] == ["is", "hereby"] else "public" if words[i : i + 2] == ["public", "domain"] else "")) for i, w in enumerate(words) if w in one)
+    return [(i, kind) for i, kind in kinds if kind]
+
+
 class Templates:
     """TF-IDF vectors of the templates; ``frequency`` has how many of n snippets hold a term."""
 
-    def __init__(self, templates: dict[str, tuple[str, ...]], frequency: dict[str, int], n: int):
-        self.idf = {t: math.log((1 + n) / (1 + frequency.get(t, 0))) + 1 for x in templates.values() for y in x for t in terms(y)}
+    def __init__(self, templates: dict[str, tuple[str, ...]], frequency: dict[str, int], n: int, texts: dict[str, tuple[str, ...]] | None = None):
+        whole = [(name, terms(text)) for some in (templates, texts or {}) for name, x in sorted(some.items()) for text in x]
+        self.idf = {t: math.log((1 + n) / (1 + frequency.get(t, 0))) + 1 for _, x in whole for t in x}
         self.other = math.log(1 + n) + 1
-        self.vectors = [(name, self._vector(Counter(terms(text)))) for name, texts in sorted(templates.items()) for text in texts]
+        self.vectors = [(name, self._vector(Counter(terms(text)))) for name, x in sorted(templates.items()) for text in x]
+        self.aligned = sorted(((name, len(x), cues(x), self._vector(Counter(x))) for name, x in whole), key=lambda t: t[0])
+        self.cosine = functools.lru_cache(1 << 14)(self._cosine)
 
     def _vector(self, counts: Counter) -> dict[str, float]:
         raw = {t: (1 + math.log(c)) * self.idf.get(t, self.other) for t, c in counts.items()}
         norm = math.sqrt(sum(v * v for v in raw.values())) or 1.0
         return {t: v / norm for t, v in raw.items()}
 
+    def _cosine(self, template: int, words: tuple[str, ...]) -> float:
+        other = self.aligned[template][3]
+        vector = self._vector(Counter(words))
+        return sum(v * vector.get(t, 0.0) for t, v in other.items())
+
+    def found(self, text: str, sure: float) -> Iterator[tuple[str, float, int, int, int]]:
+        """(licence, cosine, words of its template, first word, end) of every snippet of a text that fits one."""
+        words, at = [], 0
+        for line in text.split("\n"):
+            some = terms(line)
+            words += some
+            if _ONE.search(line.lower()) or cues(some):
+                for i in range(0, max(len(some) - WORDS // 2, 1), WORDS // 2):
+                    name, top = self.best(some[i : i + WORDS])
+                    if name and top >= sure:
+                        yield name, top, len(some), at + i, at + min(i + WORDS, len(some))
+            at += len(some)
+        places = cues(words)
+        for k, (name, size, own, _) in enumerate(self.aligned):
+            for start in sorted({i - j for i, kind in places for j, same in own if kind == same}):
+                first, end = max(start, 0), min(start + size, len(words))
+                cosine = self.cosine(k, tuple(words[first:end]))
+                if cosine >= sure:
+                    yield name, cosine, size, first, end
+
+    def judged(self, text: str, sure: float) -> tuple[str | None, float, int, int]:
+        """(licence, cosine, words inside snippets that fit, all words) of a text."""
+        snippets = list(self.found(text, sure))
+        n = len(terms(text))
+        if not snippets:
+            return None, 0.0, 0, n
+        best = _first(snippets)
+        longer = [x for x in snippets if x[2] >= 2 * best[2] and x[1] >= best[1] - CLOSE]
+        best = _first(longer) if longer else best
+        inside = bytearray(n)
+        for _, _, _, first, end in snippets:
+            inside[first:end] = b"\x01" * (end - first)
+        return best[0], best[1], sum(inside), n
+
     def best(self, words: list[str]) -> tuple[str | None, float]:
         """The closest template to any window of a snippet's words."""
         name, top = None, 0.0
@@ -75,49 +181,51 @@ class Templates:
         return name, top
 
 
-def _lines(text: Column) -> Column:
-    some = F.filter(F.split(text, "\n"), lambda x: x.rlike(CUE))
-    return F.when(text.rlike(CUE), some).otherwise(F.array().cast("array<string>"))
+def _first(snippets: list[tuple[str, float, int, int, int]]) -> tuple[str, float, int, int, int]:
+    """The snippet of greatest cosine; of equal ones the first template by name, the longer one of a name."""
+    top = max(x[1] for x in snippets)
+    return min((x for x in snippets if x[1] >= top - 1e-12), key=lambda x: (x[0], -x[2]))
+
+
+def counted(texts: DataFrame, vocabulary: set[str]) -> DataFrame:
+    """term, n: how many windows that hold a cue have a term of the vocabulary; the term '' has the number of windows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = terms(text)
+                last = max(-(-(len(words) - WORDS) // (WORDS // 2)), 0)
+                at = {min(w, last) for i, _ in cues(words) for w in (i // (WORDS // 2) - 1, i // (WORDS // 2)) if w >= 0}
+                for w in at:
+                    n.update(vocabulary.intersection(words[w * (WORDS // 2) : w * (WORDS // 2) + WORDS]))
+                n[""] += len(at)
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
+
+    return texts.mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def _parent(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, r"(?s)/[^/]*\z", "")).when(path.isNotNull(), F.lit(""))
 
 
-def own_licences(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, sure: float = SURE) -> DataFrame:
+def own_licences(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, sure: float = SURE, texts: dict[str, tuple[str, ...]] = TEXTS) -> DataFrame:
     """files(path, text, more) without text, with own_licence, own_score and declares (whether it speaks for its directory)."""
-    vocabulary = sorted({t for x in templates.values() for y in x for t in terms(y)})
-    narrow = files.withColumn("__lines", _lines(F.coalesce("text", F.lit(""))))
-    words = F.filter(F.array_distinct(F.split(F.lower(F.col("line")), r"[^\p{L}0-9.]+|\.(?![0-9])|(?<![0-9])\.")), lambda x: x != "")
-    snippets = narrow.select(F.explode("__lines").alias("line")).select(words.alias("terms"))
-    counted = snippets.select(F.explode("terms").alias("term")).filter(F.col("term").isin(vocabulary)).groupBy("term").agg(F.count("*").alias("n"))
-    frequency = {r["term"]: r["n"] for r in counted.collect()}  # of the templates' terms only
-    shared = files.sparkSession.sparkContext.broadcast((templates, frequency, snippets.count()))
+    vocabulary = {t for some in (templates, texts) for x in some.values() for y in x for t in terms(y)}
+    frequency = {r["term"]: r["n"] for r in counted(files.select("text").filter(F.col("text").rlike(CUE)), vocabulary).collect()}  # of the templates' terms only
+    shared = files.sparkSession.sparkContext.broadcast((templates, frequency, frequency.pop("", 0), texts))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(*shared.value)
         for batch in batches:
-            names, scores, sizes = [], [], []
-            for lines in batch.column(batch.num_columns - 1).to_pylist():
-                name, top, size = None, 0.0, 0
-                for line in lines:
-                    found = terms(line)
-                    licence, cosine = known.best(found)
-                    if cosine >= sure:
-                        size += len(found)
-                        if cosine > top:
-                            name, top = licence, cosine
-                names.append(name)
-                scores.append(top)
-                sizes.append(size)
-            new = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], "own_licence", "own_score", "__size"])
+            found = [known.judged(text, sure) if text else (None, 0.0, 0, 0) for text in batch.column(batch.num_columns - 1).to_pylist()]
+            new = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], "own_licence", "own_score", "__size", "__n_words"])
 
     kept = [c for c in files.columns if c != "text"]
-    n_words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[^\p{L}0-9]+"), lambda x: x != ""))
-    rows = narrow.select(*kept, F.when(F.size("__lines") > 0, n_words).otherwise(0).alias("__n_words"), "__lines")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__lines")
-    out = rows.mapInArrow(judge, f"{fields}, own_licence string, own_score double, __size long")
+    rows = files.select(*kept, F.when(F.col("text").rlike(CUE), F.col("text")).alias("__text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
+    out = rows.mapInArrow(judge, f"{fields}, own_licence string, own_score double, __size long, __n_words long")
     speaks = F.col("own_licence").isNotNull() & F.col("path").isNotNull() & (F.col("path").rlike(FILE_NAME) | (2 * F.col("__size") >= F.col("__n_words")))
     return out.withColumn("declares", F.coalesce(speaks, F.lit(False))).drop("__n_words", "__size")
 

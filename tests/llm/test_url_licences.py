@@ -114,6 +114,62 @@ def test_every_template_finds_itself(spark):
             assert known.best(licences.terms(text.upper()))[0] == name
 
 
+GNU = """
+ * This program is free software{} you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version {} of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+WRAPPED = {
+    "MPL-2.0": """
+/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */
+""",
+    "Apache-2.0": """
+# Licensed under the Apache
+# License, Version 2.0 (the "License"); you may not use this
+# file except in compliance with the License. You may obtain a copy of
+# the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+""",
+    "GPL-2.0": GNU.format(";", 2),
+    "GPL-3.0": GNU.format(":", 3),
+    "LGPL-3.0": GNU.format(":", 3).replace("GNU General", "GNU Lesser General").replace("program", "library"),
+    "MIT": """
+Permission is
+hereby granted, free of charge, to any person
+obtaining a copy of this software and associated documentation
+""",
+}
+
+
+def test_wrapped_headers(spark):
+    code = "int main(void) { return value + other; }\n" * 40
+    rows = [(f"{name}/x.c", code + text + code) for name, text in WRAPPED.items()]
+    rows += [(f"{name}/LICENSE", "Copyright (c) 2020 A. Person\nAll rights reserved.\n\n" + "\n".join(re.findall(r"(?:\S+\s+){1,9}", licences.TEXTS[name][0] + " "))) for name in ("BSD-2-Clause", "BSD-3-Clause")]
+    got = {r["path"]: r["own_licence"] for r in scanned(spark, rows).collect()}
+    assert got == {path: path.split("/")[0] for path, _ in rows}
+
+
+def test_wrapped_name_and_version(spark):
+    rows = [(f"GPL-{v}.0/x", f"This work is licensed under the GNU General Public License,\nversion {v}\n" + "plain words " * 90) for v in (2, 3)]
+    assert {r["path"]: r["own_licence"] for r in scanned(spark, rows).collect()} == {f"GPL-{v}.0/x": f"GPL-{v}.0" for v in (2, 3)}
+
+
+def test_every_text_finds_itself():
+    known = licences.Templates(licences.TEMPLATES, {}, 0, licences.TEXTS)
+    for name, texts in licences.TEXTS.items():
+        for text in texts:
+            got, score, inside, n = known.judged(text.replace(" ", "\n// "), licences.SURE)
+            assert got == name and score > 0.99 and 2 * inside >= n
+
+
 def test_odd_texts_and_no_files(spark):
     rows = [(f"d/{i}", r[1]) for i, r in enumerate(odd_rows())]
     assert scanned(spark, rows).filter("licence is not null").count() == 0
