@@ -153,6 +153,17 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, slice_bytes: in
     return _recounted(recounted.select("d.doc_id", "d.text", "r.n_words", "r.items", "r.spans"))
 
 
+def _merged(text: bytes | None, spans: list[int]) -> tuple[int, list[int]]:
+    """(words inside the spans, the spans of runs of such words) of a text."""
+    data = tb.LOWER[np.frombuffer(text or b"", np.uint8)]
+    starts, ends = tb.word_spans(data, np.array([0, len(data)]), WORD)
+    hit = np.zeros(len(starts), bool)
+    for a, b in zip(spans[::2], spans[1::2], strict=True):
+        hit |= (starts >= a) & (ends <= b)
+    edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
+    return int(hit.sum()), [int(x) for a, b in zip(edges[::2], edges[1::2], strict=True) for x in (starts[a], ends[b - 1])]
+
+
 def _recounted(rows: DataFrame) -> DataFrame:
     """Spans of several slices merged, and the words inside them counted."""
 
@@ -161,14 +172,9 @@ def _recounted(rows: DataFrame) -> DataFrame:
             n_hit, merged = [], []
             texts = batch.column(1).cast(pa.binary())
             for text, spans in zip(texts.to_pylist(), batch.column(4).to_pylist(), strict=True):
-                data = tb.LOWER[np.frombuffer(text or b"", np.uint8)]
-                starts, ends = tb.word_spans(data, np.array([0, len(data)]), WORD)
-                hit = np.zeros(len(starts), bool)
-                for a, b in zip(spans[::2], spans[1::2], strict=True):
-                    hit |= (starts >= a) & (ends <= b)
-                edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
-                n_hit.append(int(hit.sum()))
-                merged.append([int(x) for a, b in zip(edges[::2], edges[1::2], strict=True) for x in (starts[a], ends[b - 1])])
+                found, joined = _merged(text, spans)
+                n_hit.append(found)
+                merged.append(joined)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_hit, pa.int64()), batch.column(3), pa.array(merged, pa.list_(pa.int64()))], names=["doc_id", "n_words", "n_hit", "items", "spans"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -179,14 +185,30 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, remove: str
     """docs without contaminated documents, or (remove='spans') with the hit words cut out of their texts."""
     if remove not in ("documents", "spans"):
         raise ValueError("remove must be 'documents' or 'spans'")
-    out, columns = docs, docs.columns
-    for some in list(_slices(benchmark, slice_bytes)):
-        out = _scanned(out, some, n)
-        if remove == "documents":
-            out = out.filter("size(__items) = 0").select(*columns)
-        else:
-            out = out.withColumn("text", _cut(F.col("text"), F.col("__spans"))).select(*columns)
-    return out
+    out, columns, slices = docs, docs.columns, list(_slices(benchmark, slice_bytes))
+    if remove == "documents":
+        for some in slices:
+            out = _scanned(out, some, n).filter("size(__items) = 0").select(*columns)
+        return out
+    out = out.withColumn("__all", F.array().cast("array<long>"))
+    for some in slices:  # each on the whole input text
+        out = _scanned(out, some, n).withColumn("__all", F.concat("__all", "__spans")).select(*columns, "__all")
+    if len(slices) > 1:
+        out = _joined(out)
+    return out.withColumn("text", _cut(F.col("text"), F.col("__all"))).select(*columns)
+
+
+def _joined(rows: DataFrame) -> DataFrame:
+    """rows with the spans of several slices in __all, the last column, merged."""
+    at = rows.columns.index("text")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, spans = batch.column(at).cast(pa.binary()), batch.column(batch.num_columns - 1)
+            merged = [_merged(texts[i].as_py(), x)[1] if x else [] for i, x in enumerate(spans.to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(merged, pa.list_(pa.int64()))], names=batch.schema.names)
+
+    return rows.mapInArrow(join, ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema))
 
 
 def _cut(text, spans):

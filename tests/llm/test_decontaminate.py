@@ -54,6 +54,18 @@ def test_spans_are_cut(spark):
     assert got == {1: "Äh one , four! five", 2: "clean"}
 
 
+@pytest.mark.parametrize("size", [1 << 20, 40, 1])
+def test_spans_of_all_slices_are_cut_at_once(spark, size):
+    """Items whose windows overlap, touch, or occur only after a cut, in one slice and in several."""
+    text = " ".join(f"w{k}" for k in range(40))
+    items = [" ".join(f"w{k}" for k in range(a, a + 10)) for a in (5, 10, 20)] + ["w4 w30 " + " ".join(f"w{k}" for k in range(31, 39))]
+    docs = documents(spark, [(1, text, *[None] * 6), (1, text, *[None] * 6), (2, "clean", *[None] * 6), (3, None, *[None] * 6)])
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in op.cleaned(docs, benchmark, remove="spans", slice_bytes=size).collect() if r["doc_id"] != 3)
+    kept = "w0 w1 w2 w3 w4  " + " ".join(f"w{k}" for k in range(30, 40))
+    assert got == [(1, kept), (1, kept), (2, "clean")]
+
+
 def test_empty_tables(spark):
     benchmark = spark.createDataFrame([], "item_id long, text string")
     assert op.hits(documents(spark, []), benchmark).count() == 0
