@@ -1,7 +1,7 @@
-"""Repeated passages by a depth-limited radix sort of suffixes: order only through the threshold, by most-significant digits.
+"""Repeated passages by grouping windows on hashes, in place of a depth-limited radix sort of suffixes.
 
-Suffixes of whole texts (UTF-8 bytes) are sorted only as deep as ``WINDOW`` bytes, and only where they
-can meet an equal one. The digits of a window, most significant first, are
+Suffixes of whole texts (UTF-8 bytes) are told apart only as deep as ``WINDOW`` bytes, and only where
+they can meet an equal one. None is ordered by its leading bytes; the digits that group a window are
 
 1. its anchor: the ``GRAM`` bytes with the least hash in it. Equal windows have equal anchors at
    equal places, so a window whose anchor occurs once is alone. About one position in 85 is an anchor.
