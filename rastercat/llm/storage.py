@@ -1,4 +1,4 @@
-"""Where results between passes are kept, and how lineage is cut."""
+"""Where results between passes are kept, how lineage is cut, and names for columns inside."""
 
 from __future__ import annotations
 
@@ -15,8 +15,17 @@ def _own_folder() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one where it names none, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
+    """The folder that the cluster names in spark.checkpoint.dir.
+
+    Where it names none, a session in one process (a local master, as in tests) gets a local one; a
+    cluster's executors would not share that, so there it is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_folder()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -24,4 +33,36 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more: what was made of them is stored itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it clash with no column of df, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = "__" + name
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def fields(df: DataFrame) -> str:
+    """The columns of df as a schema string."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def column(name: str) -> str:
+    """A column's name as a reference, whatever characters it has."""
+    return f"`{name.replace('`', '``')}`"
