@@ -11,15 +11,21 @@ Links inside a bucket are found without making its pairs:
 2. Only buckets that still hold several components go on. Inside tasks that each take a block of
    bounded size, members outside the bucket's largest component meet the members of other
    components: first their signatures (one byte of each minimum; at least ``AGREE`` must agree,
-   4 standard deviations below the threshold), then their sets. Each link that is found joins two
-   components inside the block at once, so a block returns fewer links than it has components.
+   which a pair of similarity 0.8 fails with a probability of 3e-9), then their sets. Each link
+   that is found joins two components inside the block at once, so a block returns fewer links
+   than it has components.
+
+Bands and screen together lose a pair of similarity 0.8 with a probability of 5e-8, and then only if
+no chain of other links joins it.
 
 Every link is confirmed on the two full shingle sets; blocks carry sets of 32-bit hashes, and if a
 confirmation ever fails the blocks are run again with 64 bits. The outcome is each row's component.
 
 Defined cases: a null or empty text, or one without words, has no shingles and no links; one word
 is one shingle; a null doc_id gets component_id null and is kept; repeated rows share a component,
-and rows of one doc_id with different texts are one node. Empty tables give empty results.
+and rows of one doc_id with different texts are one node. doc_id may be of any type that has an
+order; whole numbers give long results, others are numbered in their order inside. Empty tables give
+empty results. Other columns, whatever their names, are carried through by ``deduplicated`` only.
 """
 
 from __future__ import annotations
@@ -30,14 +36,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rastercat.llm import textbytes as tb
 from rastercat.llm.components import components
-from rastercat.llm.storage import stored
+from rastercat.llm.storage import column, dropped, stored, unused
 
 HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
-AGREE = 84
+AGREE = 74
 #: Shingles of a bucket's members that one block holds, about, and rows that are compared with them.
 BLOCK, BLOCK_ROWS = 1 << 20, 2048
 PERCENT, SHINGLE = 80, 2
@@ -222,9 +229,12 @@ def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     name = comps.withColumnRenamed("component", "c")
     ends = links.join(name.withColumnRenamed("id", "a").withColumnRenamed("c", "ca"), "a", "left").join(name.withColumnRenamed("id", "b").withColumnRenamed("c", "cb"), "b", "left")
     between = stored(ends.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")), "links")
-    joined = components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("id").alias("old"), F.col("component").alias("new"))
+    more = components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    joined = more.select(F.col("id").alias("old"), F.col("component").alias("new"))
     nodes = comps.union(between.select("a", "ca")).union(between.select("b", "cb")).distinct()
-    return stored(nodes.join(joined, nodes["component"] == joined["old"], "left").select("id", F.coalesce("new", "component").alias("component")), "components")
+    out = stored(nodes.join(joined, nodes["component"] == joined["old"], "left").select("id", F.coalesce("new", "component").alias("component")), "components")
+    dropped(between, more, comps)
+    return out
 
 
 def link_components(reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int = SHINGLE, percent: int = PERCENT, agree: int = AGREE, block: int = BLOCK, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -236,6 +246,7 @@ def link_components(reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     central = sized.groupBy("id").agg(F.sum("n").alias("central"))
     texts = stored(texts_of(central.select("id")), "candidate-texts")
     members = stored(sized.join(central, "id").select("key", "id", "central"), "members")
+    dropped(keys, buckets, sized)
 
     # 1. One hub for each member: of its buckets' most central members the one that it meets most often.
     hub = F.struct("central", (-F.col("id")).alias("less"))
@@ -244,38 +255,46 @@ def link_components(reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     best = met.groupBy("id").agg(F.max(F.struct("n", (-F.col("hub")).alias("less"))).alias("best"))
     pairs = best.select(F.col("id").alias("a"), (-F.col("best.less")).alias("b"))
     links = confirmed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), texts, words, percent)
-    comps = stored(components(stored(links, "links")), "components")
+    links = stored(links, "links")
+    comps = components(links)
+    dropped(links, hubs)
 
     # 2. What is left: buckets with several components, by blocks.
     for bits in (32, 64):
-        found = stored(_linking(_blocks(members, comps, reps, packed_sets(texts, words, bits), block, block_rows), agree, percent, bits).distinct(), "found")
+        blocks, parts = _blocks(members, comps, reps, packed_sets(texts, words, bits), block, block_rows)
+        found = stored(_linking(blocks, agree, percent, bits).distinct(), "found")
         links = stored(confirmed(found, texts, words, percent).distinct(), "links")
+        whole = links.count() == found.count()
         comps = _merged(comps, links)
-        if bits == 64 or links.count() == found.count():
+        dropped(found, links, *parts)
+        if bits == 64 or whole:
+            dropped(members, texts)
             return comps
 
 
-def _blocks(members: DataFrame, comps: DataFrame, reps: DataFrame, sets: DataFrame, block: int, block_rows: int) -> DataFrame:
-    """Buckets with several components: members outside the largest as rows, all as columns, dealt to a grid of blocks."""
+def _blocks(members: DataFrame, comps: DataFrame, reps: DataFrame, sets: DataFrame, block: int, block_rows: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Buckets with several components: members outside the largest as rows, all as columns, dealt to a grid of blocks; and what was stored for it."""
     named = _with_components(members.select("key", "id"), comps)
     shares = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     split = shares.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("many"), F.max(F.struct("n", "component"))["component"].alias("main"), F.max("n").alias("most")).filter("parts > 1")
     split = stored(split, "split-buckets")
     sizes = sets.select("id", "n")
-    left = stored(named.join(split, "key").join(sizes, "id"), "left")
-    columns = stored(left.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / block)).alias("columns")), "columns")
-    left = left.join(columns, "key").withColumn("rows", F.greatest(F.lit(1), F.ceil((F.col("many") - F.col("most")) / block_rows)))
+    kept = stored(named.join(split, "key").join(sizes, "id"), "left")
+    columns = stored(kept.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / block)).alias("columns")), "columns")
+    left = kept.join(columns, "key").withColumn("rows", F.greatest(F.lit(1), F.ceil((F.col("many") - F.col("most")) / block_rows)))
     slot = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
     as_rows = left.filter("component <> main").select("key", slot("rows").cast("long").alias("row"), every("columns").alias("column"), "id", "component", F.lit(True).alias("as_row"))
     as_columns = left.select("key", every("rows").alias("row"), slot("columns").cast("long").alias("column"), "id", "component", F.lit(False).alias("as_row"))
     payload = sets.join(reps.select("id", "signature").dropDuplicates(["id"]), "id")
     blocks = as_rows.union(as_columns).join(payload, "id").select("key", "row", "column", "id", "component", "n", "as_row", "signature", "packed")
-    return blocks.repartition("key", "row", "column").sortWithinPartitions("key", "row", "column")
+    return blocks.repartition("key", "row", "column").sortWithinPartitions("key", "row", "column"), [split, kept, columns]
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, **options) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_shingles, component_id, kept."""
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return _numbered(docs, words, percent, **options)
     rows = stored(features(docs, words), "features")
     classes = stored(rows.filter("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("id")), "classes")
     reps = rows.join(classes.withColumnRenamed("id", "doc_id"), ["f1", "f2", "n_shingles", "doc_id"]).select(F.col("doc_id").alias("id"), "keys", "signature")
@@ -283,7 +302,9 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCEN
     def texts_of(ids: DataFrame) -> DataFrame:
         return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
 
-    linked = link_components(stored(reps, "representatives"), texts_of, words, percent, **options)
+    reps = stored(reps, "representatives")
+    linked = link_components(reps, texts_of, words, percent, **options)
+    dropped(reps)
     named = classes.join(linked, "id", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "id").alias("component"))
     # A doc_id with several texts is one node: its classes get one component.
     shared = rows.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "f1", "f2", "n_shingles").distinct()
@@ -301,10 +322,23 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCEN
     )
 
 
+def _numbered(docs: DataFrame, words: int, percent: int, **options) -> DataFrame:
+    """near_duplicates by numbers that have the order of the ids."""
+    ids = docs.filter("doc_id is not null").select(F.col("doc_id").alias("name")).distinct().orderBy("name")
+    names = stored(ids.select("name", F.monotonically_increasing_id().alias("number")), "names")
+    found = near_duplicates(docs.select(F.col("doc_id").alias("name"), "text").join(names, "name", "left").select(F.col("number").alias("doc_id"), "text"), words, percent, **options)
+    name = lambda n: names.select(F.col("number").alias(n), F.col("name").alias(f"{n}_name"))
+    named = found.join(name("doc_id"), "doc_id", "left").join(name("component_id"), "component_id", "left")
+    return named.select(F.col("doc_id_name").alias("doc_id"), "n_shingles", F.col("component_id_name").alias("component_id"), "kept")
+
+
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that are the least of their component; repeated rows of one doc_id stay together."""
-    gone = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    (name,) = unused(docs, "gone")
+    whole = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
+    gone = near_duplicates(docs.select("doc_id", "text"), **options).filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    doc_id = F.col("d.doc_id").cast("long") if whole else F.col("d.doc_id")
+    return docs.alias("d").join(gone, doc_id == F.col(column(name)), "left_anti")
 
 
 def op6_minhash(spark, sf_dir: str) -> DataFrame:

@@ -62,6 +62,30 @@ def test_copies_about_the_threshold(spark, options):
     assert found(op.near_duplicates(documents(spark, rows), **options)) == brute(rows)
 
 
+def test_pairs_just_above_the_threshold_are_found(spark):
+    """Recall of the whole search at similarities of 0.80 to 0.82: 400 pairs that no other link joins."""
+    rng, rows = random.Random(9), []
+    for k in range(400):
+        n = rng.randrange(101, 201)
+        own = [f"p{k}x{i}" for i in range(n)]
+        cut = (n - 1) * 2 // 10 - 1  # so many of n - 1 shingles are left out of the other text
+        while 100 * (n - 1 - cut) < 80 * (n - 1):
+            cut -= 1
+        assert 0.8 <= (n - 1 - cut) / (n - 1) <= 0.83
+        rows += [(2 * k, " ".join(own), *[None] * 6), (2 * k + 1, " ".join(own[cut:]), *[None] * 6)]
+    got = op.near_duplicates(documents(spark, rows), block=20_000).filter("component_id <> doc_id").count()
+    assert got == 400
+
+
+def test_ids_of_text(spark):
+    rows = [("b", "one two three"), ("a", "one two three"), (None, "one two three"), ("c", "other words here"), ("b", "One two three")]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id string, text string, __gone string, gone string")
+    got = sorted(map(str, ((r["doc_id"], r["component_id"], r["kept"]) for r in op.near_duplicates(docs).collect())))
+    assert got == sorted(map(str, [("a", "a", True), ("b", "a", False), ("b", "a", False), ("c", "c", True), (None, None, True)]))
+    left = op.deduplicated(docs)
+    assert left.columns == docs.columns and sorted(str(r["doc_id"]) for r in left.collect()) == ["None", "a", "c"]
+
+
 def test_deduplicated_keeps_one_of_a_component(spark):
     rows = group(2)
     out = op.deduplicated(documents(spark, rows))
