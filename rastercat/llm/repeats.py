@@ -1,22 +1,28 @@
-"""Repeated passages by grouping windows on hashes, in place of a depth-limited radix sort of suffixes.
-
-Suffixes of whole texts (UTF-8 bytes) are told apart only as deep as ``WINDOW`` bytes, and only where
-they can meet an equal one. None is ordered by its leading bytes; the digits that group a window are
-
-1. its anchor: the ``GRAM`` bytes with the least hash in it. Equal windows have equal anchors at
-   equal places, so a window whose anchor occurs once is alone. About one position in 85 is an anchor.
-2. the anchor's whole context, which holds every window of that anchor: rows that agree here are
-   equal in all their windows, and one of them stands for all.
-3. the bytes left and right of the anchor, for the representatives of one anchor that differ in
-   context: each of the at most WINDOW - GRAM + 1 window places is a group of its own.
-
-Groups with one row end at each digit; groups that reach the last digit are exactly the repeated
-windows. Anchors with more than ``HOT`` different contexts are not gathered in one task: their
-windows are counted by key, after a screen by context pieces of doubling length.
+"""Repeated passages by a depth-limited radix sort of suffixes, most significant digits first.
+
+Suffixes of whole texts (UTF-8 bytes) are ordered only as deep as ``WINDOW`` bytes, and only those
+that can meet an equal one. The passes are
+
+1. by the first digit, an anchor: the ``GRAM`` bytes with the least hash in a window. Equal windows
+   have equal anchors at equal places, so of all suffixes only those that start with an anchor, about
+   one in 85, are sorted, with the bytes before it as a prefix; one whose anchor occurs once is alone.
+2. by the anchor's whole context, which holds every window of that anchor: rows that agree here are
+   equal in all their windows, and one of them stands for all. Two independent 64-bit hashes stand
+   for the context, beside the anchor's own.
+3. by bytes, in tasks: the suffixes of one anchor are sorted by their leading chunks of ``CHUNK``
+   bytes, pass after pass, each on the groups that are still open; so are the prefixes, read
+   backwards. The depth to which neighbours agree tells for each length which rows are equal to that
+   length on either side; rows that are equal to the left and to the right are the repeated windows.
+
+Groups with one row end at each pass; groups that reach the last are exactly the repeated windows:
+pass 3 compares bytes, so two anchors with one hash are told apart there. Anchors with more than
+``HOT`` different contexts are not gathered in one task: their windows are counted by two 64-bit
+keys, after a screen by context pieces of doubling length.
 
 Defined cases: a null text is empty; texts under WINDOW bytes keep everything; copies of a text
 remove all of each other from WINDOW bytes on; rows are told apart by two 64-bit text hashes, not
-by doc_id, so null and repeated ids are safe. Empty tables give empty results.
+by doc_id, so null and repeated ids are safe. Empty tables give empty results. Only doc_id and text
+are used, so that other columns may have any names.
 """
 
 from __future__ import annotations
@@ -30,13 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastercat.llm import textbytes as tb
-from rastercat.llm.storage import stored
+from rastercat.llm.storage import dropped, stored
 
 WINDOW, GRAM = 200, 32
+#: Bytes of a suffix that one pass sorts by.
+CHUNK = 8
 #: Different contexts of one anchor that a task may gather.
 HOT = 20_000
-#: Rows that the last digit is sorted for at once.
+#: Rows that the last passes are made over at once, about.
 ROWS = 4096
+#: Byte values of a second, independent polynomial hash.
+_OTHER_VALUES = np.random.default_rng(971).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _sliding(values: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -66,7 +76,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: i
 
 
 def _anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(h, context, t1, t2, place): place packs position, bytes to the left and to the right in the context."""
+    """(h, c1, c2, t1, t2, place): c1 and c2 are the context's hashes; place packs position, bytes to the left and to the right in it."""
     reach = window - gram
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,13 +91,15 @@ def _anchor_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 left, right = np.minimum(p - at[doc], reach), np.minimum(at[doc + 1] - p - gram, reach)
                 before = tb.span_hashes(sums, p - left, p) + left.astype(np.uint64)
                 after = tb.span_hashes(sums, p + gram, p + gram + right) + right.astype(np.uint64) * np.uint64(1 << 20)
-                context = tb.mixed(before * np.uint64(0x9E3779B97F4A7C15) + after)
+                c1 = tb.mixed(before * np.uint64(0x9E3779B97F4A7C15) + after)
+                again = tb.prefix_sums(part, _OTHER_VALUES)
+                c2 = tb.mixed(tb.span_hashes(again, p - left, p + gram + right) + left.astype(np.uint64) * np.uint64(512) + right.astype(np.uint64))
                 place = ((p - at[doc]) << 16) | (left << 8) | right
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), pa.array(t1[i + doc]), pa.array(t2[i + doc]), pa.array(place)], names=["h", "context", "t1", "t2", "place"]
+                    [pa.array(x) for x in (h.view(np.int64), c1.view(np.int64), c2.view(np.int64), t1[i + doc], t2[i + doc], place)], names=["h", "c1", "c2", "t1", "t2", "place"]
                 )
 
-    return docs.select("t1", "t2", "text").mapInArrow(work, "h long, context long, t1 long, t2 long, place long")
+    return docs.select("t1", "t2", "text").mapInArrow(work, "h long, c1 long, c2 long, t1 long, t2 long, place long")
 
 
 def _contexts(rows: DataFrame, gram: int) -> DataFrame:
@@ -113,43 +125,101 @@ def _contexts(rows: DataFrame, gram: int) -> DataFrame:
     return rows.select("t1", "t2", "text", "wanted").mapInArrow(work, "h long, t1 long, t2 long, place long, open boolean, hot boolean, bytes binary")
 
 
-def _side_hashes(place: np.ndarray, contexts: pa.Array, reach: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """left, right and, for each row, the hashes of the 0..reach bytes next to the anchor on either side."""
+def radix_order(strings: np.ndarray) -> np.ndarray:
+    """The order of the rows of a byte matrix, by chunks of CHUNK bytes, most significant first; only open groups are sorted on."""
+    n, width = strings.shape
+    padded = np.zeros((n, -(-width // CHUNK) * CHUNK), np.uint8)
+    padded[:, :width] = strings
+    digits = padded.view(">u8").astype(np.uint64)
+    order, group = np.arange(n), np.zeros(n, np.int64)  # in sorted order; a group's number is its first place
+    for k in range(digits.shape[1]):
+        sizes = np.bincount(group, minlength=n)
+        at = np.flatnonzero(sizes[group] > 1)
+        if not len(at):
+            break
+        by = np.lexsort((digits[order[at], k], group[at]))
+        order[at] = order[at][by]
+        digit = digits[order[at], k]
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (digit[1:] != digit[:-1]) | (group[at][1:] != group[at][:-1])
+        group[at] = np.maximum.accumulate(np.where(fresh, at, 0))
+    return order
+
+
+def _agreement(strings: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """For each row in order the number of leading bytes that it shares with the row before it; 0 for the first."""
+    out = np.zeros(len(order), np.int64)
+    for lo in range(1, len(order), ROWS):
+        hi = min(lo + ROWS, len(order))
+        differs = strings[order[lo:hi]] != strings[order[lo - 1 : hi - 1]]
+        out[lo:hi] = np.where(differs.any(1), differs.argmax(1), strings.shape[1])
+    return out
+
+
+def _sides(place: np.ndarray, contexts: pa.Array, reach: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """left, right (bytes that a row has on either side) and byte matrices: backwards from the anchor; the anchor and on."""
     data, offsets = tb.buffers(contexts)
     left, right = (place >> 8) & 255, place & 255
+    last = max(len(data) - 1, 0)
+    start = offsets[:-1, None] + left[:, None]
+    step, on = np.arange(reach), np.arange(gram + reach)
+    before = np.where(step < left[:, None], data[np.clip(start - 1 - step, 0, last)], 0).astype(np.uint8)
+    after = np.where(on < gram + right[:, None], data[np.clip(start + on, 0, last)], 0).astype(np.uint8)
+    return left, right, before, after
+
+
+def repeated_windows(h: np.ndarray, place: np.ndarray, contexts: pa.Array, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(most, least) bytes left of its anchor at which a repeated window of the row starts; -1 and beyond reach where none is.
+
+    A window is repeated if it is equal, byte by byte, to one of another row of the same anchor hash ``h``.
+    """
+    reach, n = window - gram, len(h)
+    left, right, before, after = _sides(place, contexts, reach, gram)
+    anchor = np.ascontiguousarray(h.astype(">i8")).view(np.uint8).reshape(n, 8)
+    back, on = np.concatenate([anchor, before], 1), np.concatenate([anchor, after], 1)
+    by_left, by_right = radix_order(back), radix_order(on)
+    shared_left, shared_right = _agreement(back, by_left) - 8, _agreement(on, by_right) - 8
+    most, least = np.full(n, -1), np.full(n, reach + 1)
+    of_left, of_right = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for size in range(reach + 1):
+        # Rows of one number are equal in the anchor's hash and size bytes before; in the anchor and reach - size bytes after.
+        of_left[by_left] = np.cumsum(shared_left < size)
+        of_right[by_right] = np.cumsum(shared_right < gram + reach - size)
+        can = np.flatnonzero((left >= size) & (right >= reach - size))
+        key = of_left[can] * n + of_right[can]
+        order = np.argsort(key)
+        equal = key[order][1:] == key[order][:-1]
+        hit = can[np.union1d(order[1:][equal], order[:-1][equal])]
+        most[hit] = size
+        least[hit] = np.minimum(least[hit], size)
+    return most, least
+
+
+def _side_hashes(place: np.ndarray, contexts: pa.Array, reach: int, gram: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """left, right and, for each row, the hashes of the 0..reach bytes next to the anchor on either side."""
+    left, right, before, after = _sides(place, contexts, reach, gram)
     step = np.arange(reach)
-    sides = []
-    for index, size in ((offsets[:-1, None] + left[:, None] - 1 - step, left), (offsets[:-1, None] + left[:, None] + gram + step, right)):
-        values = tb.BYTE_VALUES[data[np.clip(index, 0, max(len(data) - 1, 0))]] * tb.powers(reach)
-        values[step[None, :] >= size[:, None]] = 0
-        sums = np.zeros((len(place), reach + 1), np.uint64)
-        np.cumsum(values, axis=1, out=sums[:, 1:])
-        sides.append(sums)
-    return left, right, *sides
+    sums = []
+    for side, size in ((before, left), (after[:, gram:], right)):
+        worth = values[side] * tb.powers(reach)
+        worth[step[None, :] >= size[:, None]] = 0
+        sums.append(np.concatenate([np.zeros((len(place), 1), np.uint64), np.cumsum(worth, axis=1)], 1))
+    return left, right, *sums
 
 
 def _window_key(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     return tb.mixed(tb.mixed(before) * np.uint64(0x9E3779B97F4A7C15) + after)
 
 
-def _last_digit(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """(t1, t2, first, end): for open rows the bytes in windows that another row of the anchor has; rows are dealt and sorted by h."""
-    reach = window - gram
+def _sorted(rows: DataFrame, window: int, gram: int) -> DataFrame:
+    """(t1, t2, first, end): for open rows the bytes in windows that another row of the anchor has; rows are dealt by h and sorted by h, t1, t2 and place."""
 
     def solved(table: pa.Table) -> pa.RecordBatch | None:
+        keys = np.stack([table.column(k).to_numpy() for k in range(4)])
+        table = table.filter(pa.array(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)])))
         h, t1, t2, place = (table.column(k).to_numpy() for k in range(4))
-        is_open = table.column(4).to_numpy()
-        left, right, before, after = _side_hashes(place, table.column(5).combine_chunks(), reach, gram)
-        most, least = np.full(len(h), -1), np.full(len(h), reach + 1)
-        for size in range(reach + 1):
-            can = np.flatnonzero((left >= size) & (right >= reach - size))
-            key = _window_key(before[can, size], after[can, reach - size]) + h[can].view(np.uint64)
-            order = np.argsort(key)
-            equal = (key[order][1:] == key[order][:-1]) & (h[can[order]][1:] == h[can[order]][:-1])
-            hit = can[np.union1d(order[1:][equal], order[:-1][equal])]
-            most[hit] = size
-            least[hit] = np.minimum(least[hit], size)
-        found = np.flatnonzero(is_open & (most >= 0))
+        most, least = repeated_windows(h, place, table.column(5).combine_chunks(), window, gram)
+        found = np.flatnonzero(table.column(4).to_numpy() & (most >= 0))
         if not len(found):
             return None
         p = place[found] >> 16
@@ -176,8 +246,8 @@ def _last_digit(rows: DataFrame, window: int, gram: int) -> DataFrame:
     return rows.select("h", "t1", "t2", "place", "open", "bytes").mapInArrow(work, "t1 long, t2 long, first long, end long")
 
 
-def _last_digit_hot(rows: DataFrame, window: int, gram: int) -> DataFrame:
-    """The same for anchors with very many contexts: windows are counted by key, none is gathered.
+def _counted(rows: DataFrame, window: int, gram: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The same for anchors with very many contexts, and what was stored for it: windows are counted by key, none is gathered.
 
     First a screen: of the 1, 2, 4, ... bytes next to the anchor on each side, which have some other
     context too? That bounds how far a context can agree, and so the windows that are worth counting.
@@ -189,7 +259,7 @@ def _last_digit_hot(rows: DataFrame, window: int, gram: int) -> DataFrame:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, t1, t2, place = (batch.column(k).to_numpy() for k in range(4))
-            left, right, before, after = _side_hashes(place, batch.column(5), reach, gram)
+            left, right, before, after = _side_hashes(place, batch.column(5), reach, gram, tb.BYTE_VALUES)
             for side, (have, sums) in enumerate(((left, before), (right, after))):
                 for size in steps:
                     can = np.flatnonzero(have >= size)
@@ -206,19 +276,21 @@ def _last_digit_hot(rows: DataFrame, window: int, gram: int) -> DataFrame:
             h, t1, t2, place = (batch.column(k).to_numpy() for k in range(4))
             is_open = batch.column(4).to_numpy(zero_copy_only=False)
             l, r = (np.maximum(2 * batch.column(k).to_numpy() - 1, 0) for k in (6, 7))
-            left, right, before, after = _side_hashes(place, batch.column(5), reach, gram)
+            left, right, before, after = _side_hashes(place, batch.column(5), reach, gram, tb.BYTE_VALUES)
+            _, _, before2, after2 = _side_hashes(place, batch.column(5), reach, gram, _OTHER_VALUES)
             l, r = np.minimum(left, l), np.minimum(right, r)
             for size in range(reach + 1):
                 can = np.flatnonzero((l >= size) & (r >= reach - size))
                 if len(can):
                     key = _window_key(before[can, size], after[can, reach - size])
-                    yield pa.RecordBatch.from_arrays([pa.array(h[can]), pa.array(key.view(np.int64)), pa.array(t1[can]), pa.array(t2[can]), pa.array(place[can]), pa.array(np.full(len(can), size)), pa.array(is_open[can])], names=["h", "key", "t1", "t2", "place", "size", "open"])
+                    key2 = _window_key(before2[can, size], after2[can, reach - size])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[can]), pa.array(key.view(np.int64)), pa.array(key2.view(np.int64)), pa.array(t1[can]), pa.array(t2[can]), pa.array(place[can]), pa.array(np.full(len(can), size)), pa.array(is_open[can])], names=["h", "key", "key2", "t1", "t2", "place", "size", "open"])
 
-    each = stored(bounded.select("h", "t1", "t2", "place", "open", "bytes", "l", "r").mapInArrow(windows, "h long, key long, t1 long, t2 long, place long, size long, open boolean"), "windows")
-    twice = each.groupBy("h", "size", "key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    hit = each.filter("open").join(twice, ["h", "size", "key"], "left_semi").groupBy("h", "t1", "t2", "place").agg(F.max("size").alias("most"), F.min("size").alias("least"))
+    each = stored(bounded.select("h", "t1", "t2", "place", "open", "bytes", "l", "r").mapInArrow(windows, "h long, key long, key2 long, t1 long, t2 long, place long, size long, open boolean"), "windows")
+    twice = each.groupBy("h", "size", "key", "key2").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    hit = each.filter("open").join(twice, ["h", "size", "key", "key2"], "left_semi").groupBy("h", "t1", "t2", "place").agg(F.max("size").alias("most"), F.min("size").alias("least"))
     p = F.shiftright("place", 16)
-    return hit.select("t1", "t2", (p - F.col("most")).alias("first"), (p - F.col("least") + window).alias("end"))
+    return hit.select("t1", "t2", (p - F.col("most")).alias("first"), (p - F.col("least") + window).alias("end")), [rows, cut, each]
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
@@ -226,46 +298,45 @@ def _tagged(docs: DataFrame) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """(t1, t2, ranges): byte ranges (start << 32 | end) of each text, of which every byte is in a window that also starts elsewhere."""
+    """(t1, t2, ranges), stored: byte ranges (start << 32 | end) of each text, of which every byte is in a window that also starts elsewhere."""
     texts = _tagged(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).filter(F.octet_length("text") >= window)
     rows = _anchor_rows(texts, window, gram)
     # Counts are stored before they are joined, so that a hot anchor's rows can be split over tasks.
     met = stored(rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "anchors-met")
     rows = stored(rows.join(met, "h", "left_semi"), "anchors")
+    dropped(met)
 
-    classes = rows.groupBy("h", "context").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "place")).alias("first"))
-    classes = stored(classes, "contexts")
+    classes = rows.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "place")).alias("first"))
+    classes = classes_ = stored(classes, "contexts")
     kinds = stored(classes.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "kinds")
     classes = classes.join(kinds, "h", "left").fillna(1, ["kinds"]).filter("n > 1 or kinds > 1")
 
-    # Digit 2: contexts with several rows are repeated throughout.
+    # Pass 2: contexts with several rows are repeated throughout.
     p, left, right = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255), F.col("place").bitwiseAND(255)
-    settled = rows.join(classes.filter("n > 1").select("h", "context"), ["h", "context"], "left_semi").select("t1", "t2", (p - left).alias("first"), (p + gram + right).alias("end"))
+    settled = rows.join(classes.filter("n > 1").select("h", "c1", "c2"), ["h", "c1", "c2"], "left_semi").select("t1", "t2", (p - left).alias("first"), (p + gram + right).alias("end"))
 
-    # Digit 3: one row of each context, where an anchor has several.
+    # Pass 3: one row of each context, where an anchor has several.
     wanted = classes.filter("kinds > 1").select("h", "first.t1", "first.t2", "first.place", (F.col("n") == 1).alias("open"), (F.col("kinds") > hot).alias("hot"))
     lists = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("h", "place", "open", "hot")).alias("wanted"))
     one = texts.groupBy("t1", "t2").agg(F.min("doc_id").alias("doc_id"))
     lists = lists.join(one, ["t1", "t2"])
     same = (F.col("x.t1") == F.col("l.t1")) & (F.col("x.t2") == F.col("l.t2")) & F.col("x.doc_id").eqNullSafe(F.col("l.doc_id"))
     contexts = stored(_contexts(texts.alias("x").join(lists.alias("l"), same).select("x.t1", "x.t2", "x.text", "l.wanted"), gram), "context-bytes")
-    contexts = contexts.dropDuplicates(["h", "t1", "t2", "place"]) if _has_repeats(docs) else contexts
-    cold = _last_digit(contexts.filter("not hot").repartition("h").sortWithinPartitions("h"), window, gram)
-    ranges = settled.union(cold)
+    # A row of documents that is repeated gives its contexts again: they are told apart by their place.
+    cold = _sorted(contexts.filter("not hot").repartition("h").sortWithinPartitions("h", "t1", "t2", "place"), window, gram)
+    ranges, more = settled.union(cold), []
     if not contexts.filter("hot").isEmpty():
-        ranges = ranges.union(_last_digit_hot(contexts.filter("hot"), window, gram))
+        counted, more = _counted(contexts.filter("hot").dropDuplicates(["h", "t1", "t2", "place"]), window, gram)
+        ranges = ranges.union(counted)
     packed = F.shiftleft(F.col("first"), 32).bitwiseOR(F.col("end"))
-    return ranges.groupBy("t1", "t2").agg(F.collect_set(packed).alias("ranges"))
-
-
-def _has_repeats(docs: DataFrame) -> bool:
-    """Whether some doc_id has several rows."""
-    return not docs.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    out = stored(ranges.groupBy("t1", "t2").agg(F.collect_set(packed).alias("ranges")), "ranges")
+    dropped(rows, classes_, kinds, contexts, *more)
+    return out
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, **options) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay)."""
-    ranges = stored(repeated_ranges(docs, window, **options), "ranges")
+    ranges = repeated_ranges(docs, window, **options)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

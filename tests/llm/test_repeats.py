@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rastercat.llm import repeats as op
@@ -54,5 +55,34 @@ def test_equal_windows_have_equal_anchors():
         assert {p for p in at_a & at_b if start <= p <= start + 200 - op.GRAM}
 
 
+def test_radix_order():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        rows = rng.integers(97, 99, (rng.integers(1, 60), 20)).astype(np.uint8)
+        assert [bytes(x) for x in rows[op.radix_order(rows)]] == sorted(bytes(x) for x in rows)
+
+
+def test_colliding_anchor_hashes_are_told_apart_by_bytes():
+    """Two hash values for all anchors: only equal bytes count."""
+    window, gram = 24, 4
+    reach, rng = window - gram, np.random.default_rng(2)
+    for trial in range(40):
+        base = rng.integers(97, 99, 3 * reach + gram).astype(np.uint8)
+        contexts, place = [], []
+        for _ in range(int(rng.integers(2, 40))):
+            left, right = (int(rng.integers(0, reach + 1)) if trial % k else reach for k in (2, 3))
+            own = base.copy()
+            for _ in range(rng.integers(0, 4)):
+                own[rng.integers(0, len(own))] ^= 1
+            contexts.append(own[reach - left : reach + gram + right].tobytes())
+            place.append((100 << 16) | (left << 8) | right)
+        h = rng.integers(0, 2, len(place)).astype(np.int64)
+        most, least = op.repeated_windows(h, np.array(place), pa.array(contexts, pa.binary()), window, gram)
+        cut = lambda i, size: contexts[i][(place[i] >> 8 & 255) - size :][:window] if (place[i] >> 8 & 255) >= size and (place[i] & 255) >= reach - size else None
+        for i in range(len(place)):
+            hits = [size for size in range(reach + 1) if (w := cut(i, size)) and any(cut(j, size) == w for j in range(len(place)) if j != i and h[j] == h[i])]
+            assert (most[i], least[i]) == ((max(hits), min(hits)) if hits else (-1, reach + 1))
+
+
 def test_empty_table(spark):
     assert op.without_repeats(documents(spark, [])).count() == 0
