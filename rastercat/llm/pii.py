@@ -1,28 +1,37 @@
 """Personal data by weak supervision, in DataFrame and SQL functions alone.
 
-Candidates are the spans of strict patterns (the base, always kept) and of looser ones. Three
-labelers vote on each: the strict rule, a gazetteer, and cue words before the span; a labeler may
-abstain. Votes are counted by pattern over the whole corpus (at most 27 patterns a kind), and
-expectation-maximisation on those counts estimates each labeler's reliability and each pattern's
-probability. With these as soft labels a naive Bayes span classifier is trained on the votes, the
-span's shape and the word before it (hashed), so it also judges spans on which labelers abstain.
-Looser spans that the classifier gives at least ``SURE`` and that touch no base span are added.
-
-Positions are code points, end exclusive. Patterns run in time linear in the text: runs are entered
-at their start only and taken whole.
+Candidates are the spans of strict patterns (the base, always kept) and of looser ones: spelled-out
+and spaced addresses, local telephone numbers, card numbers of other lengths, and long mixed tokens
+that may be secrets. Three labelers vote on each: a rule of form, a gazetteer, and cue words before
+the span; a labeler may abstain. Votes are counted by pattern over the whole corpus (at most 12
+patterns a kind), and expectation-maximisation on those counts estimates each labeler's reliability
+and each pattern's probability. With these as soft labels a naive Bayes span classifier is trained
+on the votes, the span's shape and the word before it (hashed), so it also judges spans on which
+labelers abstain. Looser spans that the classifier gives at least ``SURE`` and that touch no base
+span are added.
+
+A text is cut at the matches of a pattern; the pieces are rows, and positions are running totals of
+their lengths, so the work is linear in the text and in its spans. Positions are code points, end
+exclusive. Patterns run in time linear in the text: runs are entered at their start only and taken
+whole. A U+0001 in a text, which no pattern can match, is read as U+0002: it marks the cuts.
 
 Defined cases: null and empty texts have no spans; repeated rows and null ids are rows like any
 others; with no candidates nothing is learned and nothing is added; empty tables give empty results.
+Only doc_id and text are used; ``masked`` carries all other columns, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rastercat.llm.storage import stored
+from rastercat.llm.storage import column, dropped, stored, unused
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of added spans: those of the base, and tokens that are secrets.
+ALL_KINDS = (*KINDS, "secret")
 SURE = 0.9
 ROUNDS = 20
 #: Values that a hashed word may have.
@@ -37,46 +46,48 @@ _STRICT = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
-# Looser patterns, cue words and gazetteers.
+# Looser patterns, rules of form, cue words and gazetteers.
 _LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]++(?: ?(?:\.|\[dot\]|\(dot\)) ?[A-Za-z0-9-]++)++",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:(?: ?(?:\[at\]|\(at\)) ?| @ )[A-Za-z0-9-]++(?:(?:\.| \. | ?(?:\[dot\]|\(dot\)) ?)[A-Za-z0-9-]++)++| at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)++)",
     "ip": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:])",
-    "phone": r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9+().-])(?:(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|0[0-9](?:[ .-][0-9]{2}){4}|0[0-9]{2,4}[ /-][0-9]{5,8})(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+",
+}
+#: What a text must hold for a pattern to be tried: parts of it, or a pattern.
+_MARK = {"email": ("@", "[at]", "(at)", " dot "), "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]:", "card": "[0-9]", "phone": r"\+[0-9]|[0-9][0-9]", "secret": "[0-9]"}
+_FORM = {
+    "email": r"[A-Za-z]{2,}$",
+    "ip": r"[1-9A-Fa-f]",
+    "card": "",
+    "phone": r"^(?:\([2-9]|[2-9][0-9]{2}([ .-])[2-9][0-9]{2}\1|0[1-9])",
+    "secret": r"(?:(?<!(?:sha[0-9-]{0,4}|md5|checksum|digest|etag|commit|integrity|hash)[\"']{0,1}\s{0,3})[=:]\s{0,3}[\"']?|bearer\s{1,3})$",
+}
+_CUES = {
+    "email": "mail|contact|write to|reach",
+    "ip": r"\bip\b|ipv6|host|server|address|client|login",
+    "card": "card|visa|master|amex|credit|debit|payment",
+    "phone": "phone|tel|call|mobile|fax|contact|whatsapp",
+    "secret": r"token|secret|passw|pwd|api.?key|access.?key|private.?key|bearer|authorization|credential",
+}
+_DENIALS = {
+    "email": "file|path|version",
+    "ip": "version|release|section|chapter|build",
+    "card": "isbn|serial|order|invoice|tracking|hash|token",
+    "phone": "isbn|serial|order|invoice|version|page",
+    "secret": r"sha-?[0-9]|md5|commit|checksum|digest|integrity|uuid|hash|etag|revision|https?:|www",
 }
-_MARK = {"email": r"@|\[at\]|\(at\)", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]:", "card": "[0-9]", "phone": r"\+[0-9]|[0-9][0-9][0-9]"}
-_CUES = {"email": "mail|contact|write to|reach", "ip": r"\bip\b|host|server|address|client|login", "card": "card|visa|master|amex|credit|debit|payment", "phone": "phone|tel|call|mobile|fax|contact|whatsapp"}
-_DENIALS = {"email": "file|path|version", "ip": "version|release|section|chapter|build", "card": "isbn|serial|order|invoice|tracking|hash|token", "phone": "isbn|serial|order|invoice|version|page"}
 _KNOWN = {
-    "email": r"(?i)[.](?:com|org|net|edu|gov|io|info|de|fr|es|uk|eu)$",
-    "ip": r"^(?!0\.|127\.|255\.)[0-9]",
+    "email": r"(?i)(?:[.]|dot[\])]? ?)(?:com|org|net|edu|gov|io|info|de|fr|es|uk|eu)$",
+    "ip": r"^(?!0\.|127\.|255\.|0{1,4}:)[0-9A-Fa-f]",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35)",
-    "phone": r"^(?:\+(?:1|33|34|44|49)[^0-9]|\(?[2-9][0-9]{2})",
+    "phone": r"^(?:\+(?:1|33|34|44|49)[^0-9]|\(?[2-9][0-9]{2}|0[1-9])",
+    "secret": r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk[-_][A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{17,})$",
 }
-
-
-def _running(sizes: Column, block: int = 256) -> Column:
-    """Running totals of an array, by blocks, so that long arrays are not copied for each element."""
-
-    def totals(values: Column, start: Column) -> Column:
-        grown = lambda acc, x: F.struct(F.concat(acc["a"], F.array(acc["s"] + x)).alias("a"), (acc["s"] + x).alias("s"))
-        return F.aggregate(values, F.struct(F.array().cast("array<int>").alias("a"), start.cast("int").alias("s")), grown, lambda acc: acc["a"])
-
-    n = F.size(sizes)
-    blocks = F.transform(F.sequence(F.lit(0), ((n - 1) / block).cast("int")), lambda b: F.slice(sizes, b * block + 1, F.lit(block)))
-    ends = totals(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x)), F.lit(0))
-    starts = F.transform(F.sequence(F.lit(0), F.size(ends) - 1), lambda i: F.when(i == 0, 0).otherwise(F.get(ends, i - 1)))
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.flatten(F.zip_with(blocks, starts, totals)))
-
-
-def _with_spans(df: DataFrame, name: str, pattern: str, mark: str) -> DataFrame:
-    """df with array ``name`` of (start, end, m): the leftmost non-overlapping matches in text."""
-    here = F.col("text").rlike(mark)
-    df = df.withColumn("__m", F.when(here, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn("__g", F.when(F.size("__m") > 0, F.split("text", pattern, -1)).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn("__s", F.transform("__m", lambda m, i: F.length(F.get(F.col("__g"), i)) + F.length(m)))
-    df = df.withColumn("__e", _running(F.col("__s")))
-    spans = F.zip_with("__m", "__e", lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("m")))
-    return df.withColumn(name, spans).drop("__m", "__g", "__s", "__e")
+# Shapes of long runs that are no secrets. Other runs, such as hexadecimal ones, may be digests: the gazetteer abstains.
+_PLAIN = r"^(?:[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}|[A-Za-z]+(?:[/_-][A-Za-z0-9]+){2,})$"
+#: (kind, whether its matches may be base spans, pattern); a match carries the place in this list.
+_PATTERNS = [(kind, strict, p[kind]) for kind in ALL_KINDS for strict, p in ((True, _STRICT), (False, _LOOSE)) if kind in p]
+_CUT = "\x01"
 
 
 def _digits(m: Column) -> Column:
@@ -93,60 +104,75 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda a, i: a + worth(i)) % 10 == 0
 
 
-def _strict(kind: str, m: Column) -> Column:
+def _by_kind(kind: Column, of) -> Column:
+    """The expression of each kind, by the value of a column."""
+    out = F.lit(None)
+    for name in ALL_KINDS:
+        out = F.when(kind == name, of(name)).otherwise(out)
+    return out
+
+
+def _passes(kind: str, m: Column) -> Column:
     """Whether a match of the strict pattern passes the kind's check."""
     if kind == "ip":
         return m.rlike(r"^(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.(?!$)|$)){4}$")
+    n = F.length(_digits(m))
     if kind == "card":
-        digits = _digits(m)
-        return F.when(F.length(digits).between(16, 19), _luhn(digits)).otherwise(F.lit(False))
-    return F.length(_digits(m)).between(8, 15) if kind == "phone" else F.lit(True)
+        return F.when(n.between(16, 19), _luhn(_digits(m))).otherwise(F.lit(False))
+    return n.between(8, 15) if kind == "phone" else F.lit(kind == "email")
 
 
-def _passing(kind: str):
-    return lambda x: _strict(kind, x["m"])
+def _has_mark(kind: str) -> Column:
+    mark, text = _MARK[kind], F.col("text")
+    return text.rlike(mark) if isinstance(mark, str) else reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in mark))
 
 
-def _described(kind: str, is_base: bool):
-    """A match as a candidate: its votes, its shape and the word before it."""
+def _pieces(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and row of every row of texts(keys, text), and for each pattern that matches the text's pieces: at, pattern, i, n (code points), x.
 
-    def described(x: Column) -> Column:
-        before = F.lower(F.substring(F.col("text"), F.greatest(x["start"] - REACH, F.lit(0)) + 1, F.least(x["start"], F.lit(REACH))))
-        digits = F.length(_digits(x["m"]))
-        shape = F.concat(F.least(digits, F.lit(20)).cast("string"), F.lit("/"), F.least(F.length(x["m"]) - digits, F.lit(40)).cast("string"))
-        word = F.regexp_extract(before, r"([\p{L}]+)[^\p{L}]*$", 1)
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            x["start"].alias("start"),
-            x["end"].alias("end"),
-            F.lit(is_base).alias("base"),
-            F.when(x["m"].rlike(_KNOWN[kind]), 1).otherwise(0).alias("gazetteer"),
-            F.when(before.rlike(_CUES[kind]), 1).when(before.rlike(_DENIALS[kind]), 0).otherwise(-1).alias("context"),
-            shape.alias("shape"),
-            F.pmod(F.xxhash64(word), F.lit(WORD_VALUES)).cast("string").alias("word"),
-        )
-
-    return described
-
-
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id and array ``found`` of (kind, start, end, base, gazetteer, context, shape, word) in order of kind and start."""
-    df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    groups = []
-    for kind in KINDS:
-        df = _with_spans(df, f"{kind}_strict", _STRICT[kind], _MARK[kind])
-        groups.append((kind, True, F.filter(f"{kind}_strict", _passing(kind))))
-        if kind in _LOOSE:
-            df = _with_spans(df, f"{kind}_loose", _LOOSE[kind], _MARK[kind])
-            groups.append((kind, False, F.col(f"{kind}_loose")))
-        if kind == "card":
-            groups.append((kind, False, F.filter("card_strict", lambda x: F.length(_digits(x["m"])).between(16, 19) & ~_strict("card", x["m"]))))
-    return df.select("doc_id", F.concat(*(F.transform(found, _described(kind, is_base)) for kind, is_base, found in groups)).alias("found"))
-
-
-def _patterns(found: DataFrame) -> DataFrame:
-    each = found.select(F.explode("found").alias("x")).select("x.*")
-    return each.groupBy("kind", F.when(F.col("base"), 1).otherwise(0).alias("v0"), F.col("gazetteer").alias("v1"), F.col("context").alias("v2")).agg(F.count("*").cast("double").alias("n"))
+    Odd pieces are matches, with their text in x; the others are what lies between, with its end. A
+    row has the piece of at 0, or, if nothing matches, a row of nulls.
+    """
+    text = F.when(F.contains("text", F.lit(_CUT)), F.translate("text", _CUT, "\x02")).otherwise(F.coalesce("text", F.lit("")))
+    rows = texts.select(*keys, F.monotonically_increasing_id().alias("row"), text.alias("text"))
+    cut = {f"p{k}": F.when(_has_mark(kind), F.split(F.regexp_replace("text", pattern, f"{_CUT}$0{_CUT}"), _CUT, -1)) for k, (kind, _, pattern) in enumerate(_PATTERNS)}
+
+    def named(k: int) -> Column:
+        piece = lambda x, i: F.struct(F.lit(k).alias("pattern"), i.alias("i"), F.length(x).alias("n"), F.when(i % 2 == 1, x).otherwise(F.right(x, F.lit(REACH))).alias("x"))
+        return F.when(F.size(f"p{k}") > 1, F.transform(f"p{k}", piece)).otherwise(F.array())
+
+    pieces = rows.withColumns(cut).select(*keys, "row", F.posexplode_outer(F.concat(*map(named, range(len(_PATTERNS))))).alias("at", "piece"))
+    return pieces.select(*keys, "row", "at", "piece.*")
+
+
+def candidates(pieces: DataFrame) -> DataFrame:
+    """row, kind, start, end, base, the three votes (form, gazetteer, context), shape and word of each candidate."""
+    along = Window.partitionBy("row", "pattern").orderBy("i")
+    table = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(strict).alias("strict")) for kind, strict, _ in _PATTERNS))
+    rows = pieces.filter("pattern is not null").select("row", "pattern", "i", "n", "x", F.sum("n").over(along).alias("end"), F.lag("x", 1, "").over(along).alias("gap"), F.lag("x", 2, "").over(along).alias("prior"))
+    # The last word before a span may reach back over an earlier one.
+    before = F.lower(F.right(F.concat(F.right("prior", F.lit(REACH)), "gap"), F.lit(REACH)))
+    rows = rows.filter("i % 2 = 1").select("row", F.get(table, F.col("pattern")).alias("p"), (F.col("end") - F.col("n")).cast("int").alias("start"), F.col("end").cast("int").alias("end"), F.col("x").alias("m"), before.alias("before"))
+    rows = rows.select("row", "p.kind", "p.strict", "start", "end", "m", "before", F.length(_digits(F.col("m"))).alias("digits"))
+    kind, m = F.col("kind"), F.col("m")
+    rows = rows.withColumn("base", F.col("strict") & F.coalesce(_by_kind(kind, lambda k: _passes(k, m)), F.lit(False)))
+    mixed = (F.col("digits") > 0) & m.rlike("[A-Za-z]")
+    maybe = F.when(kind == "card", F.col("digits").between(13, 19)).when(kind == "secret", mixed).otherwise(~F.col("strict"))
+    form = _by_kind(kind, lambda k: _luhn(_digits(m)) if k == "card" else (F.col("before") if k == "secret" else m).rlike(_FORM[k]))
+    context = F.when(_by_kind(kind, lambda k: F.col("before").rlike(_CUES[k])), 1).when(_by_kind(kind, lambda k: F.col("before").rlike(_DENIALS[k])), 0).otherwise(-1)
+    shape = F.concat(F.least("digits", F.lit(20)).cast("string"), F.lit("/"), F.least(F.length("m") - F.col("digits"), F.lit(40)).cast("string"))
+    word = F.regexp_extract("before", r"([\p{L}]+)[^\p{L}]*$", 1)
+    return rows.filter(F.col("base") | maybe).select(
+        "row", "kind", "start", "end", "base",
+        F.when(F.col("base") | form, 1).otherwise(0).alias("form"),
+        F.when(_by_kind(kind, lambda k: m.rlike(_KNOWN[k])), 1).when((kind == "secret") & ~m.rlike(_PLAIN), -1).otherwise(0).alias("gazetteer"),
+        context.alias("context"),
+        shape.alias("shape"),
+        F.pmod(F.xxhash64(word), F.lit(WORD_VALUES)).cast("string").alias("word"),
+    )
+
+
+_VOTES = (("form", "v0"), ("gazetteer", "v1"), ("context", "v2"))
 
 
 def reliabilities(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -168,73 +194,106 @@ def reliabilities(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return kinds.select("kind", F.expr(f"aggregate(sequence(1, {rounds}), {start}, (s, i) -> {step})").alias("s")).select("kind", "s.*")
 
 
-_FEATURES = ("v0", "gazetteer", "context", "shape", "word")
+_FEATURES = ("form", "gazetteer", "context", "shape", "word")
 
 
 def classifier(found: DataFrame, rounds: int = ROUNDS) -> dict[str, dict[str, float]]:
-    """Per kind the log odds of each 'feature=value' and of '' (the prior); a table of bounded size."""
-    patterns = stored(_patterns(found), "votes")
-    s = reliabilities(patterns, rounds)
-    one = lambda q, j: F.when(F.col(f"v{j}") == 1, F.col(f"{q}{j}")).when(F.col(f"v{j}") == 0, 1 - F.col(f"{q}{j}")).otherwise(1.0)
-    joined = patterns.drop("n").join(F.broadcast(s), "kind")
-    yes, no = F.col("p") * one("a", 0) * one("a", 1) * one("a", 2), (1 - F.col("p")) * one("b", 0) * one("b", 1) * one("b", 2)
-    soft = joined.select("kind", "v0", F.col("v1").alias("gazetteer"), F.col("v2").alias("context"), (yes / (yes + no)).alias("w"))
-    each = found.select(F.explode("found").alias("x")).select("x.*").withColumn("v0", F.when(F.col("base"), 1).otherwise(0))
-    counted = each.groupBy("kind", "v0", "gazetteer", "context", "shape", "word").agg(F.count("*").alias("n")).join(F.broadcast(soft), ["kind", "v0", "gazetteer", "context"])
+    """Per kind the log odds of '' (the prior), and of each 'feature=value' against the prior; a table of bounded size.
+
+    A value's counts are smoothed by one span that is true with the prior's chance, so that rare values say little.
+    """
+    counted = stored(found.groupBy("kind", *_FEATURES).agg(F.count("*").cast("double").alias("n")), "votes")
+    patterns = counted.groupBy("kind", *(F.col(name).alias(v) for name, v in _VOTES)).agg(F.sum("n").alias("n"))
+    one = lambda q, j, name: F.when(F.col(name) == 1, F.col(f"{q}{j}")).when(F.col(name) == 0, 1 - F.col(f"{q}{j}")).otherwise(1.0)
+    joined = counted.join(F.broadcast(reliabilities(patterns, rounds)), "kind")  # one row a kind
+    yes, no = F.col("p"), 1 - F.col("p")
+    for j, (name, _) in enumerate(_VOTES):
+        yes, no = yes * one("a", j, name), no * one("b", j, name)
+    soft = joined.select("kind", "n", *_FEATURES, (yes / (yes + no)).alias("w"))
     names = F.array(*(F.concat(F.lit(f"{f}="), F.col(f).cast("string")) for f in _FEATURES), F.lit(""))
-    sums = counted.select("kind", "n", "w", F.explode(names).alias("feature")).groupBy("kind", "feature").agg(F.sum(F.col("n") * F.col("w")).alias("yes"), F.sum(F.col("n") * (1 - F.col("w"))).alias("no"))
+    sums = soft.select("kind", "n", "w", F.explode(names).alias("feature")).groupBy("kind", "feature").agg(F.sum(F.col("n") * F.col("w")).alias("yes"), F.sum(F.col("n") * (1 - F.col("w"))).alias("no"))
     out: dict[str, dict[str, float]] = {}
-    rows = sums.select("kind", "feature", (F.log(F.col("yes") + 1) - F.log(F.col("no") + 1)).alias("odds")).collect()  # bounded by the features' values
+    total = lambda c: F.max(F.when(F.col("feature") == "", F.col(c))).over(Window.partitionBy("kind"))
+    share = (total("yes") + 0.5) / (total("yes") + total("no") + 1)
+    prior = F.log(share) - F.log(1 - share)
+    odds = F.when(F.col("feature") == "", prior).otherwise(F.log(F.col("yes") + share) - F.log(F.col("no") + 1 - share) - prior)
+    rows = sums.select("kind", "feature", odds.alias("odds")).orderBy("kind", "feature").collect()  # bounded by the features' values
     for r in rows:
         out.setdefault(r["kind"], {})[r["feature"]] = r["odds"]
+    dropped(counted)
     return out
 
 
-def _judged(x: Column, model: dict[str, dict[str, float]]) -> Column:
-    """The classifier's probability of a candidate: prior odds and each feature's odds against the prior."""
+def _judged(model: dict[str, dict[str, float]]) -> Column:
+    """The classifier's probability of a candidate: the prior's odds and those that its features add."""
     score = F.lit(None).cast("double")
     for kind, odds in model.items():
         prior = odds.get("", 0.0)
-        table = F.create_map(*(F.lit(v) for f, o in odds.items() if f for v in (f, o - prior)))
-        values = {**{f: x[f].cast("string") for f in _FEATURES if f != "v0"}, "v0": F.when(x["base"], F.lit("1")).otherwise(F.lit("0"))}
-        total = sum((F.coalesce(F.try_element_at(table, F.concat(F.lit(f"{f}="), v)), F.lit(0.0)) for f, v in values.items()), F.lit(prior))
-        score = F.when(x["kind"] == kind, total).otherwise(score)
+        table = F.create_map(*(F.lit(v) for f, o in odds.items() if f for v in (f, o)))
+        total = sum((F.coalesce(F.try_element_at(table, F.concat(F.lit(f"{f}="), F.col(f).cast("string"))), F.lit(0.0)) for f in _FEATURES), F.lit(prior))
+        score = F.when(F.col("kind") == kind, total).otherwise(score)
     return 1 / (1 + F.exp(-F.coalesce(score, F.lit(-50.0))))
 
 
-def spans(docs: DataFrame, sure: float = SURE) -> DataFrame:
-    """doc_id, base and added: arrays of (kind, start, end) in order of kind and start."""
-    found = stored(candidates(docs), "candidates")
+def _apart(found: DataFrame) -> DataFrame:
+    """found with apart: whether a candidate touches no base span of its row."""
+    upto = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    onward = Window.partitionBy("row").orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier, later = F.max(F.when(F.col("base"), F.col("end"))).over(upto), F.min(F.when(F.col("base"), F.col("start"))).over(onward)
+    return found.withColumns({"__end": earlier, "__start": later}).withColumn("apart", F.coalesce(F.col("__end") <= F.col("start"), F.lit(True)) & F.coalesce(F.col("__start") >= F.col("end"), F.lit(True))).drop("__end", "__start")
+
+
+def _found(texts: DataFrame, keys: list[str], sure: float) -> tuple[DataFrame, DataFrame]:
+    """(every row's keys and row; row, base, kind, number of the kind, start and end of each span of texts(keys, text))."""
+    pieces = stored(_pieces(texts, keys), "pieces")
+    found = stored(candidates(pieces), "candidates")
+    rows = stored(pieces.filter("coalesce(at, 0) = 0").select(*keys, "row"), "rows")
+    dropped(pieces)
     model = classifier(found)
-    base = F.filter("found", lambda x: x["base"])
-    free = lambda x: ~F.exists(base, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-    added = F.filter("found", lambda x: ~x["base"] & free(x) & (_judged(x, model) >= sure)) if model else F.filter("found", lambda x: F.lit(False))
-    short = lambda xs: F.transform(xs, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return found.select("doc_id", short(base).alias("base"), short(added).alias("added"))
+    taken = F.col("base") | (F.col("apart") & (_judged(model) >= sure)) if model else F.col("base")
+    number = F.array_position(F.array(*map(F.lit, ALL_KINDS)), F.col("kind")).alias("number")
+    return rows, _apart(found).filter(taken).select("row", "base", "kind", number, "start", "end")
 
 
-def masked(docs: DataFrame, sure: float = SURE) -> DataFrame:
-    """docs(doc_id, text) with every span replaced by [kind]; spans that overlap an earlier one are joined to it."""
-    found = stored(spans(docs.select("doc_id", "text"), sure), "spans").groupBy("doc_id").agg(F.first("base").alias("base"), F.first("added").alias("added"))
-    joined = docs.join(found.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
-    every = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+def spans(docs: DataFrame, sure: float = SURE) -> DataFrame:
+    """doc_id, base and added of every row of docs: arrays of (kind, start, end) in order of kind and start."""
+    rows, found = _found(docs.select("doc_id", "text"), ["doc_id"], sure)
+    one = F.struct("number", "start", "end", "kind")
+    some = found.groupBy("row").agg(*(F.array_sort(F.collect_list(F.when(which, one))).alias(name) for name, which in (("base", F.col("base")), ("added", ~F.col("base")))))
+    short = lambda xs: F.coalesce(F.transform(xs, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))), F.array())
+    return rows.join(some, "row", "left").select("doc_id", short("base").alias("base"), short("added").alias("added"))
 
-    def cut(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
-        new = F.when(x["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit("["), x["kind"], F.lit("]")))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), new.alias("out"))
 
-    ended = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    clean = F.aggregate(every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, ended)
-    return joined.withColumn("text", F.when(F.size(every) > 0, clean).otherwise(F.col("text"))).drop("base", "added")
+def masked(docs: DataFrame, sure: float = SURE) -> DataFrame:
+    """docs(text, more) with every span replaced by [kind]; spans that overlap an earlier one are joined to it."""
+    t1, t2, cuts, raw = unused(docs, "t1", "t2", "cuts", "raw")
+    tags = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), F.col("text")).alias("t2")]
+    rows, found = _found(docs.select(*tags, "text"), ["t1", "t2"], sure)
+    one = rows.groupBy("t1", "t2").agg(F.min("row").alias("row"))  # equal texts have equal spans
+    along = Window.partitionBy("row").orderBy("start", "number", "end")
+    prior = F.coalesce(F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    islands = found.join(one, "row").withColumn("fresh", (F.col("start") >= prior).cast("int")).withColumn("island", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    islands = islands.groupBy("t1", "t2", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.struct("start", "number", "kind"))["kind"].alias("kind"))
+    lists = islands.groupBy("t1", "t2").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias(cuts)).withColumnsRenamed({"t1": t1, "t2": t2})
+
+    # Four bytes a code point, so that a piece is found in its place at once.
+    joined = docs.withColumns({t1: tags[0], t2: tags[1]}).join(lists, [t1, t2], "left")
+    wide = joined.withColumn(raw, F.when(F.size(column(cuts)) > 0, F.encode("text", "UTF-32")))
+    at, code = F.col(column(cuts)), F.col(column(raw))
+    piece = lambda a, b: F.decode(F.substring(code, a * 4 + 1, (b - a) * 4), "UTF-32")
+    ended = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(at, i - 1)["end"])
+    clean = F.concat(F.array_join(F.transform(at, lambda x, i: F.concat(piece(ended(i), x["start"]), F.lit("["), x["kind"], F.lit("]"))), ""), piece(F.get(at, F.size(at) - 1)["end"], F.octet_length(code) / 4))
+    text = F.when(code.isNotNull(), clean).otherwise(F.col("text"))
+    return wide.select(*(text.alias("text") if c == "text" else F.col(column(c)) for c in docs.columns))
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:
-    """Every document's personal-data spans."""
+    """Every document's personal-data spans; the added ones may also be secrets."""
     found = spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     joined = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    number = lambda x: F.array_position(F.array(*map(F.lit, KINDS)), x["kind"])
+    number = lambda x: F.array_position(F.array(*map(F.lit, ALL_KINDS)), x["kind"])
     both = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(number(x).alias("k"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     of = lambda kind: lambda x: x["kind"] == kind
     counts = [F.size(F.filter("base", of(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(both).alias("spans"))
+    more = [(F.size("base") + F.size("added")).cast("long").alias("n_spans"), F.size("added").cast("long").alias("n_added")]
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(both).alias("spans"), *more)
