@@ -1,19 +1,23 @@
 """URL filters: rules by host and path; where none fits, naive Bayes over words that hosts are split into.
 
-A unigram model of words is counted over all pages' html. Viterbi splits the letter runs of host
-labels and path parts ('cheappills') into the most likely words; multinomial naive Bayes, trained on
-the pages that a rule judges, scores the words of the others.
+A unigram model of words is counted over the visible text of all pages: not their tags, scripts,
+comments and entities, nor urls and host names, which would make words of the very names that are to
+be split. Viterbi splits the letter runs of host labels and path parts ('cheappills') into the most
+likely words; multinomial naive Bayes, trained on the pages that a rule judges, scores the words of
+the others.
 
 Both models are whole and stay tables: every word and every token counts, whatever its rank. The
 substrings of each distinct run of letters are joined with the words' counts, so a run's row carries
 the words that it needs; the odds of tokens are summed by part (a run in its place) and joined to
 pages by part. Keys that are frequent on the larger side of a join - the first ``HOT`` - are joined
 by a broadcast, all others by a shuffle; the results are the same for every ``HOT``. A run of any
-length is split whole.
+length is split whole. Rules are a small table, joined by each of a host's parent domains that is as
+deep as a rule's can be; Python runs in the split of distinct runs only.
 
 Defined cases: a null url, or one without '://', has empty host and path, fits no rule and is judged
 by the prior; without pages that a rule judges the verdict is allow; repeated rows are judged each;
-a null html adds no words; empty tables give empty results.
+a null html adds no words; of fitting rules of one length that of the longer host wins; empty tables
+give empty results. Only page_id, url and html are used, so that other columns may have any names.
 """
 
 from __future__ import annotations
@@ -21,10 +25,10 @@ from __future__ import annotations
 import functools
 import itertools
 import math
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +41,9 @@ LONGEST_WORD = 24
 BATCH = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: What a page does not show, and names that are no words; each alternative is entered once and runs in linear time.
+HIDDEN = r"(?is)<script\b.*?(?:</script[^<>]*+>|\z)|<style\b.*?(?:</style[^<>]*+>|\z)|<!--.*?(?:-->|\z)|<[^<>]*+>|&#?[A-Za-z0-9]{1,31}+;"
+NAMES = r"[A-Za-z][A-Za-z0-9+.-]{0,31}+://[^\s<>\"']*+|(?<![\p{L}\p{N}.-])[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
 # The rules of the registered query, (host and path, verdict).
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 
@@ -49,24 +56,20 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)\A.*?://[^/?#]*([^?#]*)", 1)
 
 
-class Rules:
-    """The longest rule that fits a host or one of its parent domains, and the start of a path."""
-
-    def __init__(self, rules):
-        self.by_host: dict[str, list[tuple[str, str, str]]] = {}
-        for rule, verdict in rules:
-            at = rule.index("/")
-            self.by_host.setdefault(rule[:at], []).append((rule[at:], rule, verdict))
-
-    def fitting(self, host: str, path: str) -> tuple[str | None, str | None]:
-        best: tuple[int, str, str] | None = None
-        while True:
-            for start, rule, verdict in self.by_host.get(host, ()):
-                if path.startswith(start) and (best is None or len(rule) > best[0]):
-                    best = (len(rule), rule, verdict)
-            _, dot, host = host.partition(".")
-            if not dot:
-                return (best[1], best[2]) if best else (None, None)
+def with_rules(rows: DataFrame, rules) -> DataFrame:
+    """rows(host, path, more) with rule and ruled: the longest rule that fits a host or one of its parent domains, and the start of a path."""
+    given = [(r[: r.index("/")], r[r.index("/") :], r, v) for r, v in rules]
+    table = rows.sparkSession.createDataFrame(given, "at string, start string, rule string, verdict string")
+    fit = F.struct(F.length("rule").alias("n"), F.length("at").alias("m"), "rule", "start", "verdict")
+    table = table.groupBy("at").agg(F.collect_list(fit).alias("fits"))
+    depth = max((x[0].count(".") + 1 for x in given), default=0)
+    for k in range(1, depth + 1):
+        domain = F.substring_index("host", ".", -k)
+        fewer = F.size(F.split("host", r"\.", k)) < k  # a host of fewer labels was looked up before
+        rows = rows.withColumn("__at", F.when(~fewer, domain)).join(table.select(F.col("at").alias("__at"), F.col("fits").alias(f"__{k}")), "__at", "left").drop("__at")
+    fitting = lambda k: F.coalesce(F.filter(f"__{k}", lambda r: F.startswith(F.col("path"), r["start"])), F.array())
+    best = F.array_max(F.concat(*map(fitting, range(1, depth + 1)))) if depth else F.lit(None).cast("struct<rule: string, verdict: string>")
+    return rows.withColumn("__best", best).withColumns({"rule": F.col("__best.rule"), "ruled": F.col("__best.verdict")}).drop("__best", *(f"__{k}" for k in range(1, depth + 1)))
 
 
 class Segmenter:
@@ -102,10 +105,19 @@ class Segmenter:
 
 def parts(host: str, path: str) -> list[str]:
     """Runs of letters of the host as h:run, of the path as p:run; numbers as their length, h:#4."""
-    found = ((place, x) for place, text in (("h", host), ("p", path.lower())) for x in re.findall(r"[0-9]+|[^\W\d_]+", text))
+    found = ((place, x) for place, text in (("h", host), ("p", path.lower())) for x in regex.findall(r"[0-9]+|\p{L}+", text))
     return [f"{place}:#{min(len(x), 9)}" if x.isdigit() else f"{place}:{x}" for place, x in found]
 
 
+def with_parts(rows: DataFrame) -> DataFrame:
+    """rows(host, path, more) with parts, as ``parts`` has them."""
+    for place, text in (("h", F.col("host")), ("p", F.lower("path"))):
+        rows = rows.withColumn(f"__{place}", F.regexp_extract_all(text, F.lit(r"[0-9]+|\p{L}+"), F.lit(0)))
+    number = lambda x: F.concat(F.lit("#"), F.least(F.length(x), F.lit(9)).cast("string"))
+    named = lambda place: F.transform(f"__{place}", lambda x: F.concat(F.lit(f"{place}:"), F.when(x.rlike("^[0-9]"), number(x)).otherwise(x)))
+    return rows.withColumn("parts", F.concat(named("h"), named("p"))).drop("__h", "__p")
+
+
 def substrings(run: str) -> Iterator[str]:
     """Every part of a run that can be a word; one that is repeated may come again."""
     for first in range(0, len(run), BATCH // LONGEST_WORD):
@@ -113,9 +125,15 @@ def substrings(run: str) -> Iterator[str]:
         yield from {run[i : i + k] for i in starts for k in range(2, min(LONGEST_WORD, len(run) - i) + 1)}
 
 
+def visible(html: Column) -> Column:
+    """The text that a page shows: html without scripts, styles, comments, tags and entities, and without urls and host names."""
+    shown = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, " ")
+    return F.regexp_replace(shown, NAMES, " ")
+
+
 def lexicon(pages: DataFrame) -> DataFrame:
-    """word, n: every word of all pages' html with its count."""
-    words = pages.select(F.explode(F.split(F.translate(F.coalesce("html", F.lit("")), UPPER, LOWER), r"[^\p{L}]+")).alias("word"))
+    """word, n: every word of all pages' visible text with its count."""
+    words = pages.select(F.explode(F.split(F.translate(visible(F.col("html")), UPPER, LOWER), r"[^\p{L}]+")).alias("word"))
     return stored(words.filter(F.length("word").between(2, LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n")), "lexicon")
 
 
@@ -176,20 +194,8 @@ def _sum() -> Column:
 
 def judged(pages: DataFrame, rules=RULES, hot: int = HOT) -> DataFrame:
     """page_id, host, path, rule, verdict, score (the model's, of allow) of every row of pages(page_id, url, html)."""
-    shared = pages.sparkSession.sparkContext.broadcast(tuple(rules))
     placed = pages.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    kind = pages.schema["page_id"].dataType.simpleString()
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitting = Rules(shared.value).fitting
-        for batch in batches:
-            both = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            found = [fitting(h, p) for h, p in both]
-            new = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.string()), pa.array([parts(h, p) for h, p in both], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=["page_id", "host", "path", "rule", "ruled", "parts"])
-
-    rows = placed.mapInArrow(read, f"page_id {kind}, host string, path string, rule string, ruled string, parts array<string>")
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), "urls")
+    rows = stored(with_parts(with_rules(placed, rules)).withColumn("row", F.monotonically_increasing_id()), "urls")
     odds, prior = part_odds(rows, lexicon(pages), hot)
     sums = looked_up(rows.select("row", F.posexplode("parts").alias("at", "part")), odds, "part", hot).groupBy("row").agg(_sum().alias("x"))
     x = F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.lit(prior) + F.coalesce("x", F.lit(0.0))))

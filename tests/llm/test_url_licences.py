@@ -4,8 +4,10 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from rastercat.llm import licences, url_filter
+from tests.compare import DATA
 from tests.llm.helpers import odd_rows
 
 URLS = [
@@ -42,9 +44,56 @@ def test_segments():
     assert s.tokens("spamfarm.net", "/A12") == ["h:spam", "h:farm", *(f"h:{w}" for w in s.split("net")), "p:a", "p:#2"]
 
 
+HTML = [
+    ("<p>Cheap <b>pills</b> &amp; farm</p>", "Cheap pills farm"), ("<script>var hidden='<p>';</script>seen<style>p{x}</style >", "seen"), ("a <!-- not <b> this --> b", "a b"), ("text <!-- open", "text"),
+    ("see http://www.host.org/x?y and www.other.net. End", "see and . End"), ("1 < 2 and <a href='http://x.y/z'>link</a>", "1 < 2 and link"), (None, ""), ("<" * 50_000, "<" * 50_000), ("a" * 50_000 + "." * 10, "a" * 50_000 + "." * 10),
+    ("<script " * 20_000, ""), ("http://" * 1000, ""),
+]
+
+
+def test_visible_text(spark):
+    rows = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(HTML)], "i int, html string").select("i", url_filter.visible(F.col("html")).alias("x"))
+    assert [" ".join(r["x"].split()) for r in rows.orderBy("i").collect()] == [x for _, x in HTML]
+
+
+@pytest.mark.parametrize("run", ["cheappills", "therinfarm", "pillspam", "xspamq", "therein"])
+def test_viterbi_equals_trying_all_splits(run):
+    counts = {"cheap": 50, "pills": 40, "pill": 30, "spam": 20, "farm": 20, "the": 900, "there": 70, "in": 500, "rein": 3, "her": 10, "s": 5}
+    total = sum(counts.values()) + 1
+    cost = lambda words: sum(math.log(total / counts[w]) if w in counts else math.log(total) + 2.3 * len(w) for w in words)
+    every = ([run[i:j] for i, j in itertools.pairwise([0, *cuts, len(run)])] for k in range(len(run)) for cuts in itertools.combinations(range(1, len(run)), k))
+    words = url_filter.Segmenter(counts).split(run)
+    assert "".join(words) == run and cost(words) == pytest.approx(min(map(cost, every)))
+
+
+def test_rules_equal_trying_each(spark):
+    rules = [("org/", "allow"), ("a.org/x", "block"), ("b.a.org/", "allow"), ("b/xx", "block"), ("a.b/", "allow"), ("/", "block"), ("c.d.e.f/y/", "allow")]
+    urls = [f"s://{h}{p}" for h in ("org", "a.org", "b.a.org", "z.b.a.org", "a.b", "b", "xorg", "", "c.d.e.f", "1.c.d.e.f", "a.", "org.") for p in ("", "/", "/x", "/xx", "/y/", "/y/z")]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string").select("i", url_filter.host(F.col("url")).alias("host"), url_filter.path(F.col("url")).alias("path"))
+
+    def fitting(host, path):
+        own = {".".join(host.split(".")[i:]) for i in range(host.count(".") + 1)}
+        fits = [(len(r), r.index("/"), r) for r, _ in rules if r[: r.index("/")] in own and path.startswith(r[r.index("/") :])]
+        return max(fits)[2] if fits else None
+
+    got = url_filter.with_rules(rows, rules).collect()
+    assert len(got) == len(urls) and [(r["i"], r["rule"]) for r in got if r["rule"] != fitting(r["host"], r["path"])] == []
+    assert url_filter.with_rules(rows, []).filter("rule is not null").count() == 0
+
+
+def test_lexicon_of_the_tables(spark):
+    """No word of it comes from markup, and no host name is a word only because it is linked."""
+    counts = {r["word"]: r["n"] for r in url_filter.lexicon(spark.read.parquet(f"{DATA}/pages.parquet")).collect()}
+    assert not {"href", "amp", "charset", "example"} & set(counts)
+    hosts = {r["h"] for r in spark.read.parquet(f"{DATA}/pages.parquet").select(F.regexp_extract("url", r"//(?:www\.|blog\.|m\.)?([a-z]+)\.example", 1).alias("h")).collect()}
+    split = {h: url_filter.Segmenter(counts).split(h) for h in hosts if h and h not in counts}
+    assert split and sum(len(x) > 1 for x in split.values()) >= 0.9 * len(split)
+
+
 def brute(rows, got):
     """Scores of judged rows by whole counts of words and tokens, in plain Python."""
-    counts = Counter(w for _, _, html in rows for w in re.split(r"[^a-zé]+", (html or "").lower()) if 2 <= len(w) <= 24)
+    shown = re.compile(r"<[^<>]*>|&[a-z]+;|\w+(?:\.\w+)+")
+    counts = Counter(w for _, _, html in rows for w in re.split(r"[^a-zé]+", shown.sub(" ", html or "").lower()) if 2 <= len(w) <= 24)
     segmenter, rules = url_filter.Segmenter(counts), dict(url_filter.RULES)
     pages, tokens = Counter(), {"allow": Counter(), "block": Counter()}
     for r in got:
