@@ -2,19 +2,22 @@
 
 Words are maximal runs of letters, digits and non-ASCII characters after lower-casing A-Z. A window
 is ``n`` consecutive words of a test item; an item of fewer words is one window. The set of window
-hashes is broadcast slice by slice, each slice within a checked size, so a benchmark of any size is
-used whole. Hits on hashes are verified word by word; what is removed is whole words inside verified
-windows, or the whole document.
+hashes is broadcast slice by slice, each of about ``SLICE_BYTES``, so a benchmark of any size is used
+whole: one slice at a time is on the driver, and its hits are stored before the next is fetched. A
+longer item is cut into pieces that overlap by n - 1 words. Hits on hashes are verified word by word;
+what is removed is whole words inside verified windows of any slice, all found in the input text, or
+the whole document.
 
 Defined cases: null and empty texts have no words and are never contaminated; an item with no words
-has no window; repeated items each count; a null item_id counts as the string 'null'. An empty
-benchmark leaves every document clean. Clashing columns are safe: only doc_id, text, item_id are used.
+has no window; rows of one item_id are one item; a null item_id counts as the string 'null'. An empty
+benchmark leaves every document clean. Only doc_id, text and item_id are used; ``cleaned`` carries all
+other columns, whatever their names. Repeated rows are judged each.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastercat.llm import textbytes as tb
+from rastercat.llm.storage import column, dropped, kinds, mapped, stored, unused
 
 WINDOW = 10
-#: Text bytes of the benchmark in one broadcast; beyond, documents are scanned once for each slice.
+#: Text bytes of the benchmark in one broadcast, about; beyond, documents are scanned once for each slice.
 SLICE_BYTES = 16 << 20
 
 WORD = np.ones(256, bool)
@@ -83,26 +87,50 @@ class Windows:
             yield doc, hi - lo, starts[lo:hi], ends[lo:hi], items, hit
 
 
-def _slices(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The benchmark's items in slices of a bounded size, streamed to the driver one partition at a time."""
+def _pieces(benchmark: DataFrame, n: int, limit: int) -> DataFrame:
+    """(item, text) of the benchmark; texts of more than ``limit`` bytes in pieces that together have all their windows."""
+
+    def cut(text: bytes) -> Iterator[bytes]:
+        if len(text) <= limit:
+            yield text
+            return
+        data = tb.LOWER[np.frombuffer(text, np.uint8)]
+        starts, ends = tb.word_spans(data, np.array([0, len(data)]), WORD)
+        first = 0
+        while first < len(starts):
+            last = max(int(np.searchsorted(ends, starts[first] + limit, "right")), first + n)
+            last = min(last, len(starts))
+            yield text[starts[first] : ends[last - 1]]
+            first = last - n + 1 if last < len(starts) else last
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for piece in cut(text):
+                    yield pa.RecordBatch.from_arrays([pa.array([item], pa.string()), pa.array([piece], pa.binary())], names=["item", "text"])
+
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    some, size = [], 0
-    for row in rows.toLocalIterator():
-        some.append((row["item"], bytes(row["text"])))
-        size += len(row["text"])
-        if size >= limit:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
-
-
-def _scanned(docs: DataFrame, items: list[tuple[str, bytes]], n: int) -> DataFrame:
-    """docs with n_words, items (sorted strings) and spans (byte starts and ends of runs of hit words)."""
+    return rows.mapInArrow(work, "item string, text binary").distinct()
+
+
+def _slices(benchmark: DataFrame, n: int, limit: int) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
+    """How many slices the benchmark has, one at least, and the slices, each fetched when it is asked for."""
+    pieces = stored(_pieces(benchmark, n, limit), "benchmark")
+    many = max(1, -(-(pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // limit))
+    slot = F.pmod(F.xxhash64("item", "text"), F.lit(many))
+
+    def fetched() -> Iterator[list[tuple[str, bytes]]]:
+        for k in range(many):
+            yield [(r["item"], bytes(r["text"])) for r in pieces.filter(slot == k).collect()]  # about ``limit`` bytes
+        dropped(pieces)
+
+    return many, fetched()
+
+
+def _scanned(docs: DataFrame, items: list[tuple[str, bytes]], n: int, names: list[str]) -> DataFrame:
+    """docs with, by the names given, the number of words, of hit words, items (sorted strings) and spans (byte starts and ends of runs of hit words)."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
-    schema = docs.schema
-    names = schema.fieldNames()
-    at = names.index("text")
+    at, columns = docs.columns.index("text"), [*docs.columns, *names]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(shared.value, n)
@@ -115,116 +143,105 @@ def _scanned(docs: DataFrame, items: list[tuple[str, bytes]], n: int) -> DataFra
                     n_words.append(count)
                     n_hit.append(int(hit.sum()))
                     items_of.append(sorted(found))
-                    spans: list[int] = []
-                    if found:
-                        edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
-                        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                            spans += [int(starts[a] - part_offsets[doc]), int(ends[b - 1] - part_offsets[doc])]
-                    spans_of.append(spans)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items_of, pa.list_(pa.string())), pa.array(spans_of, pa.list_(pa.int64()))],
-                names=[*names, "__n_words", "__n_hit", "__items", "__spans"],
-            )
+                    spans_of.append([x - int(part_offsets[doc]) for x in _runs(starts, ends, hit)] if found else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items_of, pa.list_(pa.string())), pa.array(spans_of, pa.list_(pa.int64()))], names=columns)
+
+    return mapped(docs, scan, columns, [*kinds(docs), "long", "long", "array<string>", "array<long>"])
+
+
+def _runs(starts: np.ndarray, ends: np.ndarray, hit: np.ndarray) -> list[int]:
+    """Byte starts and ends of the runs of hit words."""
+    edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
+    return np.stack([starts[edges[::2]], ends[edges[1::2] - 1]], 1).ravel().tolist()
+
+
+def _tags(df: DataFrame, names: list[str]) -> DataFrame:
+    """df with two hashes of its texts: what is found in a text depends on nothing else."""
+    return df.withColumns({names[0]: F.xxhash64("text"), names[1]: F.xxhash64(F.lit(7), F.col("text"))})
+
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema)
-    return docs.mapInArrow(scan, f"{fields}, __n_words long, __n_hit long, __items array<string>, __spans array<long>")
+def _of_slices(docs: DataFrame, slices: Iterator[list[tuple[str, bytes]]], n: int) -> DataFrame:
+    """(t1, t2, items, spans), stored: what several slices found, for texts in which something was found."""
+    texts, parts = _tags(docs.select("text"), ["t1", "t2"]), []
+    for some in filter(None, slices):
+        found = _scanned(texts, some, n, ["n_words", "n_hit", "items", "spans"])
+        parts.append(stored(found.filter("n_hit > 0").select("t1", "t2", "items", "spans"), "hits"))
+    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))) if c == "items" else F.flatten(F.collect_set(c))
+    out = stored(reduce(DataFrame.union, parts).groupBy("t1", "t2").agg(flat("items").alias("items"), flat("spans").alias("spans")), "hits")
+    dropped(*parts)
+    return out
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted item ids as strings), spans of every document."""
     narrow = docs.select("doc_id", "text")
-    slices = list(_slices(benchmark, slice_bytes)) or [[]]
-    if len(slices) == 1:
-        scanned = _scanned(narrow, slices[0], n)
-        return scanned.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_hit").alias("n_hit"), F.col("__items").alias("items"), F.col("__spans").alias("spans"))
-    keyed = narrow.withColumn("__row", F.xxhash64("text"))
-    parts = [_scanned(keyed, some, n).drop("text").filter("size(__items) > 0 or {}".format("true" if k == 0 else "false")) for k, some in enumerate(slices)]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.union(part)
-    raise_spans = union.groupBy("doc_id", "__row").agg(
-        F.max("__n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("items"),
-        F.flatten(F.collect_list("__spans")).alias("spans"),
-    )
-    recounted = narrow.withColumn("__row", F.xxhash64("text")).alias("d").join(
-        raise_spans.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("d.__row").eqNullSafe(F.col("r.__row"))
-    )
-    return _recounted(recounted.select("d.doc_id", "d.text", "r.n_words", "r.items", "r.spans"))
+    many, slices = _slices(benchmark, n, slice_bytes)
+    if many == 1:
+        return _scanned(narrow, next(slices), n, ["n_words", "n_hit", "items", "spans"]).drop("text")
+    found = _of_slices(narrow, slices, n)
+    rows = _tags(narrow, ["t1", "t2"]).join(found, ["t1", "t2"], "left").select("doc_id", "text", F.coalesce("items", F.array()).alias("items"), F.coalesce("spans", F.array()).alias("spans"))
+    return _recounted(rows)
 
 
-def _merged(text: bytes | None, spans: list[int]) -> tuple[int, list[int]]:
-    """(words inside the spans, the spans of runs of such words) of a text."""
+def _merged(text: bytes | None, spans: list[int]) -> tuple[int, int, list[int]]:
+    """(words, words inside the spans, the spans of runs of such words) of a text."""
     data = tb.LOWER[np.frombuffer(text or b"", np.uint8)]
     starts, ends = tb.word_spans(data, np.array([0, len(data)]), WORD)
-    hit = np.zeros(len(starts), bool)
-    for a, b in zip(spans[::2], spans[1::2], strict=True):
-        hit |= (starts >= a) & (ends <= b)
-    edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
-    return int(hit.sum()), [int(x) for a, b in zip(edges[::2], edges[1::2], strict=True) for x in (starts[a], ends[b - 1])]
+    depth = np.zeros(len(starts) + 1, np.int64)
+    np.add.at(depth, np.searchsorted(starts, spans[::2]), 1)
+    np.subtract.at(depth, np.searchsorted(ends, spans[1::2], "right"), 1)
+    hit = np.cumsum(depth)[:-1] > 0
+    return len(starts), int(hit.sum()), _runs(starts, ends, hit)
 
 
 def _recounted(rows: DataFrame) -> DataFrame:
-    """Spans of several slices merged, and the words inside them counted."""
+    """rows(doc_id, text, items, spans) of several slices: spans merged, words and hit words counted."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_hit, merged = [], []
             texts = batch.column(1).cast(pa.binary())
-            for text, spans in zip(texts.to_pylist(), batch.column(4).to_pylist(), strict=True):
-                found, joined = _merged(text, spans)
-                n_hit.append(found)
-                merged.append(joined)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_hit, pa.int64()), batch.column(3), pa.array(merged, pa.list_(pa.int64()))], names=["doc_id", "n_words", "n_hit", "items", "spans"])
+            got = [_merged(texts[i].as_py(), spans) for i, spans in enumerate(batch.column(3).to_pylist())]
+            new = [pa.array([x[k] for x in got], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), new[0], new[1], batch.column(2), new[2]], names=["doc_id", "n_words", "n_hit", "items", "spans"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(count, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<long>")
+    return mapped(rows, count, ["doc_id", "n_words", "n_hit", "items", "spans"], [*kinds(rows)[:1], "long", "long", "array<string>", "array<long>"])
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, remove: str = "documents", slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """docs without contaminated documents, or (remove='spans') with the hit words cut out of their texts."""
     if remove not in ("documents", "spans"):
         raise ValueError("remove must be 'documents' or 'spans'")
-    out, columns, slices = docs, docs.columns, list(_slices(benchmark, slice_bytes))
+    columns = [F.col(column(c)) for c in docs.columns]
+    many, slices = _slices(benchmark, n, slice_bytes)
+    if many == 1:
+        names = unused(docs, "n_words", "n_hit", "items", "spans")
+        out = _scanned(docs, next(slices), n, names)
+        return out.filter(F.col(names[1]) == 0).select(*columns) if remove == "documents" else _cut(out, names[3]).select(*columns)
+    names = unused(docs, "t1", "t2", "items", "spans")
+    found = _of_slices(docs, slices, n).toDF(*names)
+    tagged = _tags(docs, names[:2])
     if remove == "documents":
-        for some in slices:
-            out = _scanned(out, some, n).filter("size(__items) = 0").select(*columns)
-        return out
-    out = out.withColumn("__all", F.array().cast("array<long>"))
-    for some in slices:  # each on the whole input text
-        out = _scanned(out, some, n).withColumn("__all", F.concat("__all", "__spans")).select(*columns, "__all")
-    if len(slices) > 1:
-        out = _joined(out)
-    return out.withColumn("text", _cut(F.col("text"), F.col("__all"))).select(*columns)
-
-
-def _joined(rows: DataFrame) -> DataFrame:
-    """rows with the spans of several slices in __all, the last column, merged."""
-    at = rows.columns.index("text")
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return tagged.join(found, names[:2], "left_anti").select(*columns)
+    return _cut(tagged.join(found.drop(names[2]), names[:2], "left"), names[3]).select(*columns)
+
+
+def _cut(rows: DataFrame, spans: str) -> DataFrame:
+    """rows with the words inside the byte ranges cut out of text; ranges may overlap, a null one is none."""
+    at, by = rows.columns.index("text"), rows.columns.index(spans)
+
+    def without(text: bytes, ranges: list[int]) -> bytes:
+        edges = [0, *_merged(text, ranges)[2], len(text)]
+        return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column(at).cast(pa.binary()), batch.column(batch.num_columns - 1)
-            merged = [_merged(texts[i].as_py(), x)[1] if x else [] for i, x in enumerate(spans.to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(merged, pa.list_(pa.int64()))], names=batch.schema.names)
-
-    return rows.mapInArrow(join, ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.schema))
-
-
-def _cut(text, spans):
-    """The text without the byte ranges; the ranges begin and end at whole words, so at whole characters."""
-    raw = F.encode(text, "utf-8")
-    n = F.size(spans) / 2
-    keep = F.transform(
-        F.sequence(F.lit(0), n.cast("int")),
-        lambda i: F.substring(
-            raw,
-            F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i * 2 - 1)).cast("int") + 1,
-            (F.when(i == n.cast("int"), F.octet_length(raw)).otherwise(F.get(spans, i * 2)) - F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i * 2 - 1))).cast("int"),
-        ),
-    )
-    joined = F.decode(F.unhex(F.array_join(F.transform(keep, F.hex), "")), "utf-8")
-    return F.when(F.size(spans) > 0, joined).otherwise(text)
+            texts, ranges = batch.column(at), batch.column(by).to_pylist()
+            if any(ranges):
+                raw = texts.cast(pa.binary()).to_pylist()
+                texts = pa.array([without(x, r) if r else x for x, r in zip(raw, ranges, strict=True)], pa.binary()).cast(texts.type)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], texts, *batch.columns[at + 1 :]], names=batch.schema.names)
+
+    return mapped(rows, work, rows.columns, kinds(rows))
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -58,9 +60,21 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def fields(df: DataFrame) -> str:
-    """The columns of df as a schema string."""
-    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
+def kinds(df: DataFrame) -> list[str]:
+    """The types of the columns of df."""
+    return [f.dataType.simpleString() for f in df.schema]
+
+
+def mapped(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], names: list[str], types: list[str]) -> DataFrame:
+    """df.mapInArrow(work) with columns of these names, which may have any characters, and types; work goes by place alone."""
+    plain = [f"c{k}" for k in range(len(names))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in work(batches):
+            yield batch.rename_columns(plain)
+
+    given = df.toDF(*(f"g{k}" for k in range(len(df.columns))))
+    return given.mapInArrow(renamed, ", ".join(f"{c} {t}" for c, t in zip(plain, types, strict=True))).toDF(*names)
 
 
 def column(name: str) -> str:

@@ -54,7 +54,7 @@ def test_spans_are_cut(spark):
     assert got == {1: "Äh one , four! five", 2: "clean"}
 
 
-@pytest.mark.parametrize("size", [1 << 20, 40, 1])
+@pytest.mark.parametrize("size", [1 << 20, 100, 25])
 def test_spans_of_all_slices_are_cut_at_once(spark, size):
     """Items whose windows overlap, touch, or occur only after a cut, in one slice and in several."""
     text = " ".join(f"w{k}" for k in range(40))
@@ -66,6 +66,17 @@ def test_spans_of_all_slices_are_cut_at_once(spark, size):
     assert got == [(1, kept), (1, kept), (2, "clean")]
 
 
+@pytest.mark.parametrize("limit", [30, 200])
+def test_pieces_of_long_items_have_all_windows(spark, limit):
+    text = " ".join(f"w{k}x{'y' * (k % 5)}" for k in range(60))
+    grams = lambda w: {tuple(w[k : k + 10]) for k in range(len(w) - 9)}
+    pieces = op._pieces(spark.createDataFrame([(1, text)], "item_id long, text string"), 10, limit).collect()
+    assert len(pieces) > 1 and set().union(*(grams(words(r["text"].decode())) for r in pieces)) == grams(words(text))
+    docs = documents(spark, [(1, "a " + text + " b", *[None] * 6)])
+    found = op.hits(docs, spark.createDataFrame([(1, text)], "item_id long, text string"), slice_bytes=limit).first()
+    assert (found["n_words"], found["n_hit"], found["items"]) == (62, 60, ["1"])
+
+
 def test_empty_tables(spark):
     benchmark = spark.createDataFrame([], "item_id long, text string")
     assert op.hits(documents(spark, []), benchmark).count() == 0
