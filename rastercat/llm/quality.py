@@ -11,6 +11,8 @@ id); all documents are scored. Statistics are of whole texts.
 Defined cases: null and empty texts have the statistics of an empty text and get a score; unlabelled
 and null-labelled rows are not learned from; with one class or none every score is that class (1
 with none); repeated rows are scored each. doc_id, lang, source and labels are no inputs of a score.
+``accepted``, ``scored`` and ``with_statistics`` carry all columns of docs, whatever their names (the
+new column of the latter two must not be one of them); doc_id may be of any type.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rastercat.llm import textbytes as tb
+from rastercat.llm.storage import column, kinds, mapped, unused
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 12_000
@@ -144,8 +147,7 @@ def _mapped(docs: DataFrame, name: str, kind: str, made) -> DataFrame:
             rows = [statistics(part, at_) for _, _, part, at_ in tb.pieces(data, offsets)]
             yield pa.RecordBatch.from_arrays([*batch.columns, made(np.concatenate(rows) if rows else np.zeros((0, len(FEATURES))))], names=[*names, name])
 
-    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(work, f"{fields}, `{name}` {kind}")
+    return mapped(docs, work, [*names, name], [*kinds(docs), kind])
 
 
 def sampled_labels(labels: DataFrame, label: str, learnable: Column, sample: int) -> DataFrame:
@@ -175,8 +177,9 @@ def third(doc_id: str = "doc_id") -> Column:
 
 def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs that the classifier takes for good ones."""
-    model = fit(docs, labels, F.coalesce(third() != 1, F.lit(False)), sample)
-    return scored(docs, model, "__score").filter("__score >= 0.5").drop("__score")
+    model = fit(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), F.coalesce(third() != 1, F.lit(False)), sample)
+    (score,) = unused(docs, "score")
+    return scored(docs, model, score).filter(F.col(score) >= 0.5).select(*(column(c) for c in docs.columns))
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rastercat.llm import quality, toxicity
+from tests.compare import DATA
 from tests.llm.helpers import documents, odd_rows, words
 
 BAD = ["vile", "rotten", "foul"]
@@ -47,6 +48,72 @@ def test_toxicity_on_held_out_rows(spark):
     assert area([(r["score"], r["y"]) for r in held]) > 0.95
 
 
+def naive_densities(model, x):
+    """Log density differences by determinants and solved systems, one row at a time."""
+    z = np.clip((x - model.centre) / model.scale, -8, 8)
+    out = []
+    for row in z:
+        pair = []
+        for mean, inverse, _ in model.parts:
+            cov = np.linalg.inv(inverse @ inverse.T)
+            pair.append(-0.5 * np.linalg.slogdet(cov)[1] - 0.5 * (row - mean) @ np.linalg.solve(cov, row - mean))
+        out.append(pair[1] - pair[0])
+    return np.array(out)
+
+
+def test_quality_equals_plain_densities():
+    rng = np.random.default_rng(3)
+    n = len(quality.FEATURES)
+    x = np.concatenate([rng.normal(0, 1, (200, n)), rng.normal(0.7, 1.5, (300, n))])
+    y = np.repeat([0, 1], [200, 300])
+    model = quality.Discriminant(x, y)
+    prior = np.log(300 / 200)
+    assert np.allclose(model._odds(x), naive_densities(model, x) + prior)
+    assert np.allclose(model.scores(x), 1 / (1 + np.exp(-np.clip(naive_densities(model, x) + prior - model.cut, -100, 100) / 4)))
+
+
+def test_toxicity_equals_plain_convolution():
+    """Tabulated terms against embeddings that are looked up and filtered one window at a time."""
+    rng = random.Random(2)
+    texts = [words(rng, rng.randrange(0, 30)).encode() for _ in range(60)] + [b"", b"one"]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    ids, bounds, whole = toxicity.word_ids(data, offsets)
+    model = toxicity.TextCnn()
+    model.train([ids[:, a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], np.arange(len(texts)) % 2)
+    embed = model.embed.copy()
+    naive = []
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        vectors, top = [embed[ids[:, w]].sum(0) for w in range(a, b)], []
+        for f, bias in zip(model.filters, model.bias, strict=True):
+            for c in range(f.shape[2]):
+                windows = [sum(float(vectors[i + j] @ f[j, :, c]) for j in range(len(f))) + bias[c] for i in range(len(vectors) - len(f) + 1)]
+                top.append(max([0.0, *windows]))
+        naive.append(float(np.array(top) @ model.out + model.base))
+    model.finish()
+    assert np.allclose(model.logits(ids, bounds), naive, atol=1e-4)
+
+
+def test_the_sample_is_bounded_in_words(spark):
+    docs, labels = corpus(spark, 300)
+    known = labels.select("doc_id", F.col("toxic").alias("label"))
+    got = toxicity._sample_ids(docs.select("doc_id", "text").join(known, "doc_id"), 4000)
+    sizes = [(y, len(x) // 12) for x, y in zip(got["ids"], got["label"], strict=True)]
+    assert all(1000 < sum(n for y, n in sizes if y == k) <= 2000 for k in (0, 1))
+    assert toxicity.fit(docs, labels, F.lit(True), words=1).constant is None or len(got)
+
+
+@pytest.mark.parametrize("name, label, least", [("op5_toxicity", "toxic", 0.94), ("op10_quality", "quality", 0.94)])
+def test_held_out_rows_of_the_tables(spark, name, label, least):
+    """Of labels that were not learned from, how well scores order the classes."""
+    from rastercat.llm import queries
+
+    sf_dir = DATA.rpartition("/")[0] + "/sf0.1"
+    rows = queries.queries()[name](spark, sf_dir).filter("held_out").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
+    pairs = [(r["score"], r[label]) for r in rows.collect()]
+    print(name, len(pairs), area(pairs))
+    assert len({y for _, y in pairs}) == 2 and area(pairs) > least
+
+
 def test_scores_depend_on_the_text_alone(spark):
     docs, labels = corpus(spark, 300)
     model = quality.fit(docs, labels, F.lit(True))
