@@ -9,7 +9,8 @@ texts are compared. So a filter's false positive costs one comparison and change
 Defined cases: a null text counts as empty and all empty texts are equal; a null doc_id is an id
 that sorts last; rows with equal doc_id and text are all ``kept`` by ``duplicate_groups`` if they
 are the row that stays (they can't be told apart), and ``deduplicated`` returns one of them. Empty
-tables give empty results. Other columns are carried through by ``deduplicated`` only.
+tables give empty results. Other columns, whatever their names, are carried through by
+``deduplicated`` only. doc_id may be of any type that has an order.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rastercat.llm.storage import stored
+from rastercat.llm.storage import column, stored, unused
 
 #: Digests in one filter: about 300 KB of fingerprints.
 SHARD = 1 << 18
@@ -200,16 +201,17 @@ def _named(rows: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    groups = stored(duplicate_groups(docs, **options), "duplicates")
+    (tag,) = unused(docs, "digest")
     digest = options.get("digest", sha256)
-    tag, key = "__digest", lambda g: (F.col("d.doc_id").eqNullSafe(F.col("g.doc_id"))) & (F.col("d.__digest") == F.col("g.digest"))
+    groups = stored(duplicate_groups(docs.select("doc_id", "text"), **options), "duplicates")
     tagged = docs.withColumn(tag, digest(normalised(F.col("text")))).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col(f"d.{column(tag)}") == F.col("g.digest"))
     repeated = groups.filter("kept and n_same > 1").select("doc_id", "digest").distinct()
     gone = groups.filter("not kept").select("doc_id", "digest").distinct().union(repeated)
-    left = tagged.join(gone.alias("g"), key("g"), "left_anti")
+    left = tagged.join(gone.alias("g"), same, "left_anti")
     if not repeated.isEmpty():
-        left = left.union(tagged.join(repeated.alias("g"), key("g"), "left_semi").dropDuplicates(["doc_id", tag]))
-    return left.drop(tag)
+        left = left.union(tagged.join(repeated.alias("g"), same, "left_semi").dropDuplicates(["doc_id", tag]))
+    return left.select(*(column(c) for c in docs.columns))
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -8,11 +8,14 @@ demand target * (t + tilt * (t * t - t)), and its inverse at a document's place
 document's training position. Documents are range-sorted by position.
 
 Running totals never need a source in one task: documents are dealt to hash buckets of bounded
-size, totals run inside each bucket, and one row for each bucket carries the offset.
+size, totals run inside each bucket, and one row for each bucket carries the offset. Those rows are
+themselves in groups of ``GROUP`` neighbouring buckets, and only one row for each group is summed in
+one task.
 
 Defined cases: a null text has size 0 and is taken 0 words; a null source is a source that sorts
 last; rows with equal doc_id, source and size share one decision; empty tables give empty results;
-with no words at all every target is 0. Other columns are carried through by ``mixed``.
+with no words at all every target is 0. Other columns are carried through by ``mixed``; where docs
+has a column of the name of one that ``mixed`` adds, the added one has ``mix_`` before its name.
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rastercat.llm.storage import stored
+from rastercat.llm.storage import column, stored, unused
 
 WEIGHTS = (5, 2, 1)
 TILTS = (-0.5, 0.0, 0.5)
 MOST = 3
 #: Rows that share a bucket, about.
 BUCKET_ROWS = 4096
+#: Neighbouring buckets whose totals are summed in one task.
+GROUP = 4096
 
 
 def n_words(text: Column) -> Column:
@@ -77,8 +82,12 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, tilts: tuple = TILTS, most:
     bucketed = Window.partitionBy("source_key", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     block = F.col("size") * F.col("n_rows")
     inside = rows.withColumn("start", F.sum(block).over(bucketed) - block)
-    offsets = rows.groupBy("source_key", "bucket").agg(F.sum(block).alias("total"))
-    offsets = offsets.select("source_key", "bucket", (F.sum("total").over(Window.partitionBy("source_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("total")).alias("offset"))
+    along = lambda *by: Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    buckets = rows.groupBy("source_key", "bucket").agg(F.sum(block).alias("total")).withColumn("group", F.shiftright("bucket", int(math.log2(GROUP))))
+    groups = buckets.groupBy("source_key", "group").agg(F.sum("total").alias("all"), F.min("bucket").alias("bucket"))
+    groups = groups.select("source_key", "group", (F.sum("all").over(along("source_key")) - F.col("all")).alias("before"))
+    buckets = buckets.withColumn("inside", F.sum("total").over(along("source_key", "group")) - F.col("total")).join(groups, ["source_key", "group"])
+    offsets = buckets.select("source_key", "bucket", (F.col("before") + F.col("inside")).alias("offset"))
     placed = inside.join(offsets, ["source_key", "bucket"]).join(sources.select("source_key", "source_size", "target", "tilt"), "source_key")
 
     # Copy e stands at e * source_size + place and is taken if its middle is inside the target.
@@ -95,13 +104,16 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, tilts: tuple = TILTS, most:
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents taken, with all their columns and size, source_size, target, taken and positions, in order of their first position."""
-    decisions = stored(plan(docs, **options).filter("copies > 0").drop("n_rows"), "mix")
+    """The documents taken, with all their columns and size, source_size, target, copies, taken, positions and position, in order of their first position."""
     new = ["size", "source_size", "target", "copies", "taken", "positions", "position"]
-    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col("d.__size") == F.col("m.size"))
-    joined = docs.drop(*new).withColumn("__size", n_words(F.col("text"))).alias("d").join(decisions.alias("m"), same)
-    kept = [c for c in docs.columns if c not in new]
-    return joined.select(*(F.col(f"d.`{c}`") for c in kept), *(F.col(f"m.{c}") for c in new)).orderBy("position", "doc_id")
+    taken = {c.lower() for c in docs.columns}
+    names = {c: c if c not in taken else next(n for k in range(1, 99) if (n := "mix_" * k + c) not in taken) for c in new}
+    (size,) = unused(docs, "size")
+    decisions = stored(plan(docs.select("doc_id", "source", "text"), **options).filter("copies > 0").drop("n_rows"), "mix")
+    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source")) & (F.col(f"d.{column(size)}") == F.col("m.size"))
+    joined = docs.withColumn(size, n_words(F.col("text"))).alias("d").join(decisions.alias("m"), same)
+    out = joined.select(*(F.col(f"d.{column(c)}") for c in docs.columns), *(F.col(f"m.{c}").alias(names[c]) for c in new))
+    return out.orderBy(names["position"], "doc_id")
 
 
 def op8_mix(spark, sf_dir: str) -> DataFrame:

@@ -68,12 +68,26 @@ def test_a_small_source_stops_at_three_times_its_size(spark):
     assert [got[500 + i] for i in range(5)] == [3] * 5
 
 
+@pytest.mark.parametrize("bucket_rows", [4096, 7])
+def test_positions_invert_the_demand(spark, bucket_rows):
+    """When a copy is due, the source's demand so far is the words of its copies before it."""
+    rows = op.plan(documents(spark, corpus(400)), bucket_rows=bucket_rows).collect()
+    for source in {p["source"] for p in rows}:
+        own = [p for p in rows if p["source"] == source]
+        tilt = {0: -0.5, 1: 0.0, 2: 0.5}[sorted({p["source"] for p in rows}, key=lambda s: (s is None, s or "")).index(source) % 3]
+        total = 0
+        for t, p in sorted(((t, p) for p in own for t in p["positions"]), key=lambda x: x[0]):
+            due = p["target"] * (t + tilt * (t * t - t))
+            assert abs(due - min(total, p["target"])) < 1e-6 * max(1, total)
+            total += p["size"] * p["n_rows"]
+
+
 def test_mixed_is_in_order_and_keeps_columns(spark):
     docs = documents(spark, corpus(300))
     out = op.mixed(docs)
     rows = out.collect()
     assert [r["position"] for r in rows] == sorted(r["position"] for r in rows)
-    assert set(docs.columns) - {"size"} <= set(out.columns) and all(r["copies"] > 0 for r in rows)
+    assert out.columns[: len(docs.columns)] == docs.columns and "mix_size" in out.columns and {r["size"] for r in rows} == {r["size"] for r in docs.collect()} and all(r["copies"] > 0 for r in rows)
     assert len({r["doc_id"] for r in rows}) == len(rows)
 
 
