@@ -7,14 +7,20 @@ wordings (``TEMPLATES``) and whole headers and licence texts (``TEXTS``). Invers
 are counted over all windows of ``WORDS`` words, in steps of half of that, that hold a cue. A
 snippet's licence is the template of greatest cosine, if it is at least ``SURE``; a file's own
 licence is that of its best snippet, or of one at most ``CLOSE`` below that fits a template of twice
-the words or more: licences share first sentences. A licence file - one with a licence name, or one whose licence
-lines are at least half of its words - also declares its directory's licence. A file without its own
-licence takes that of the nearest ancestor directory that has one, by an equi-join of directories
-with their exploded ancestors.
+the words or more: licences share first sentences. A licence file - one with a licence name, or one
+whose licence passages are at least ``SHARE`` of its words - also declares its directory's licence. A
+file without its own licence takes that of the nearest ancestor directory that has one, by an
+equi-join of directories with their exploded ancestors.
+
+Texts are read once: those with a cue, and the other columns of all files, are stored; so are the
+judged rows, and what is known of a directory before it is joined, so that the files of a very large
+directory, and the directories below one ancestor, can be split over tasks.
 
 Defined cases: null and empty texts have no own licence; a null path is in no directory and inherits
 nothing; equal cosines go to the first template by name, equal declarations to the least path;
-repeated rows are judged each; empty tables give empty results. Only path and text are used.
+repeated rows are judged each; empty tables give empty results. Only path and text are used; other
+columns are carried through, whatever their names, but those of the names of added ones, which they
+replace.
 """
 
 from __future__ import annotations
@@ -29,7 +35,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SURE, CLOSE = 0.55, 0.05
+from rastercat.llm.storage import column, dropped, kinds, mapped, stored, unused
+
+SURE, CLOSE, SHARE = 0.55, 0.05, 0.5
 WORDS = 60
 CUE = r"(?i)licen[cs]|copyright|spdx|redistribut|permission[^\p{L}0-9]+is[^\p{L}0-9]+hereby|public[^\p{L}0-9]+domain"
 FILE_NAME = r"(?i)(?:^|/)(?:un)?(?:licen[cs]e|copying|notice)(?:[.-][^/]*)?$"
@@ -209,44 +217,63 @@ def _parent(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, r"(?s)/[^/]*\z", "")).when(path.isNotNull(), F.lit(""))
 
 
-def own_licences(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, sure: float = SURE, texts: dict[str, tuple[str, ...]] = TEXTS) -> DataFrame:
-    """files(path, text, more) without text, with own_licence, own_score and declares (whether it speaks for its directory)."""
+_ADDED = ("own_licence", "own_score", "declares", "licence", "inherited_from")
+
+
+def own_licences(files: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, sure: float = SURE, texts: dict[str, tuple[str, ...]] = TEXTS, share: float = SHARE) -> DataFrame:
+    """files(path, text, more) without text, with own_licence, own_score and declares (whether it speaks for its directory); stored."""
+    kept = [c for c in files.columns if c != "text" and c.lower() not in _ADDED]
+    name, size, n_words = unused(files, "text", "size", "n_words")
+    narrow = stored(files.select(*map(column, kept), F.when(F.col("text").rlike(CUE), F.col("text")).alias(name)), "cues")
     vocabulary = {t for some in (templates, texts) for x in some.values() for y in x for t in terms(y)}
-    frequency = {r["term"]: r["n"] for r in counted(files.select("text").filter(F.col("text").rlike(CUE)), vocabulary).collect()}  # of the templates' terms only
+    held = narrow.select(column(name)).filter(F.col(name).isNotNull())
+    frequency = {r["term"]: r["n"] for r in counted(held, vocabulary).collect()}  # of the templates' terms only
     shared = files.sparkSession.sparkContext.broadcast((templates, frequency, frequency.pop("", 0), texts))
+    names = [*kept, "own_licence", "own_score", size, n_words]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(*shared.value)
         for batch in batches:
             found = [known.judged(text, sure) if text else (None, 0.0, 0, 0) for text in batch.column(batch.num_columns - 1).to_pylist()]
             new = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.int64(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*batch.schema.names[:-1], "own_licence", "own_score", "__size", "__n_words"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=names)
 
-    kept = [c for c in files.columns if c != "text"]
-    rows = files.select(*kept, F.when(F.col("text").rlike(CUE), F.col("text")).alias("__text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
-    out = rows.mapInArrow(judge, f"{fields}, own_licence string, own_score double, __size long, __n_words long")
-    speaks = F.col("own_licence").isNotNull() & F.col("path").isNotNull() & (F.col("path").rlike(FILE_NAME) | (2 * F.col("__size") >= F.col("__n_words")))
-    return out.withColumn("declares", F.coalesce(speaks, F.lit(False))).drop("__n_words", "__size")
+    out = mapped(narrow, judge, names, [*kinds(narrow)[:-1], "string", "double", "long", "long"])
+    speaks = F.col("own_licence").isNotNull() & F.col("path").isNotNull() & (F.col("path").rlike(FILE_NAME) | (F.col(size) >= share * F.col(n_words)))
+    judged = stored(out.withColumn("declares", F.coalesce(speaks, F.lit(False))).drop(n_words, size), "licences")
+    dropped(narrow)
+    return judged
 
 
 def with_inherited(files: DataFrame) -> DataFrame:
     """files(path, own_licence, own_score, declares, more) with licence and inherited_from (a directory; null where its own)."""
-    placed = files.withColumn("__dir", _parent(F.col("path")))
-    declared = placed.filter("declares").groupBy(F.col("__dir").alias("ancestor")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", "own_licence"))["own_licence"].alias("found"))
-    parts = F.split("__dir", "/")
-    up = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("ancestor")))
-    chains = placed.filter("__dir is not null").select("__dir").distinct().select("__dir", F.explode(F.array_distinct(up)).alias("x")).select("__dir", "x.*")
-    nearest = chains.join(declared, "ancestor").groupBy("__dir").agg(F.max(F.struct("depth", "ancestor", "found")).alias("up"))
-    joined = placed.join(nearest, "__dir", "left")
+    at, up = unused(files, "dir", "up")
+    places = files.select(_parent(F.col("path")).alias("dir"), "path", "own_licence", "own_score", "declares")
+    declared = places.filter("declares").groupBy(F.col("dir").alias("ancestor")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), "path", "own_licence"))["own_licence"].alias("found"))
+    declared = stored(declared, "declared")
+    parts = F.split("dir", "/")
+    ancestors = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice(parts, F.lit(1), i), "/").alias("ancestor")))
+    chains = places.filter("dir is not null").select("dir").distinct().select("dir", F.explode(F.array_distinct(ancestors)).alias("x")).select("dir", "x.*")
+    nearest = stored(chains.join(declared, "ancestor").groupBy("dir").agg(F.max(F.struct("depth", "ancestor", "found")).alias("up")), "nearest")
+    joined = files.withColumn(at, _parent(F.col("path"))).join(nearest.toDF(at, up), at, "left")
     own = F.col("own_licence").isNotNull()
-    return joined.withColumn("licence", F.coalesce("own_licence", "up.found")).withColumn("inherited_from", F.when(~own, F.col("up.ancestor"))).drop("__dir", "up")
+    return joined.withColumns({"licence": F.coalesce("own_licence", f"{up}.found"), "inherited_from": F.when(~own, F.col(f"{up}.ancestor"))}).drop(at, up)
+
+
+def with_licences(files: DataFrame, **options) -> DataFrame:
+    """files(path, text, more) without text, with own_licence, own_score, declares, licence and inherited_from."""
+    return with_inherited(own_licences(files, **options))
 
 
 def op9_licences(spark, sf_dir: str) -> DataFrame:
-    """Every document's licence; documents lie in directories source/language/block."""
+    """Every document's licence.
+
+    Documents have no paths: here document 1234 lies in source/language/1/2/3, so those with short ids
+    lie above others. There are no licence files among them either: a document that is at least a
+    twentieth licence passage speaks for its directory.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
-    block = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(256)), F.lit(0)).cast("string")
-    files = docs.select("doc_id", F.concat_ws("/", name("source"), name("lang"), block, F.concat(name("doc_id"), F.lit(".txt"))).alias("path"), "text")
-    return with_inherited(own_licences(files)).select("doc_id", "path", "own_licence", "own_score", "licence", "inherited_from")
+    above = F.regexp_replace(F.regexp_replace(name("doc_id"), r"(?s).\z", ""), r"(?s)(.)", "$1/")
+    files = docs.select("doc_id", F.concat(name("source"), F.lit("/"), name("lang"), F.lit("/"), above, name("doc_id"), F.lit(".txt")).alias("path"), "text")
+    return with_licences(files, share=0.05).select("doc_id", "path", "own_licence", "own_score", "licence", "inherited_from")
