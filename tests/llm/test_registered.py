@@ -6,7 +6,7 @@ from rastercat.llm import queries as llm
 from tests.compare import DATA, spark_rows, sql_rows
 
 COLUMNS = {
-    "op1_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+    "op1_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "n_added"],
     "op2_url_filter": ["page_id", "host", "path", "rule", "verdict", "score"],
     "op5_toxicity": ["doc_id", "held_out", "score", "predicted"],
     "op8_mix": ["doc_id", "size", "source_size", "target", "taken", "position"],
