@@ -268,12 +268,12 @@ def with_licences(files: DataFrame, **options) -> DataFrame:
 def op9_licences(spark, sf_dir: str) -> DataFrame:
     """Every document's licence.
 
-    Documents have no paths: here document 1234 lies in source/language/1/2/3, so those with short ids
-    lie above others. There are no licence files among them either: a document that is at least a
-    twentieth licence passage speaks for its directory.
+    Documents have no paths: here they lie in source/language, in source/language/part or in
+    source/language/part/part, by a hash of the id. There are no licence files among them either: a
+    document that is at least a fiftieth licence passage speaks for its directory.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
-    above = F.regexp_replace(F.regexp_replace(name("doc_id"), r"(?s).\z", ""), r"(?s)(.)", "$1/")
-    files = docs.select("doc_id", F.concat(name("source"), F.lit("/"), name("lang"), F.lit("/"), above, name("doc_id"), F.lit(".txt")).alias("path"), "text")
-    return with_licences(files, share=0.05).select("doc_id", "path", "own_licence", "own_score", "licence", "inherited_from")
+    parts = F.repeat(F.lit("part/"), F.pmod(F.crc32(name("doc_id").cast("binary")), F.lit(3)).cast("int"))
+    files = docs.select("doc_id", F.concat(name("source"), F.lit("/"), name("lang"), F.lit("/"), parts, name("doc_id"), F.lit(".txt")).alias("path"), "text")
+    return with_licences(files, share=0.02).select("doc_id", "path", "own_licence", "own_score", "licence", "inherited_from")
