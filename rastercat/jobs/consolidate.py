@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,14 +18,43 @@ def candidates(images: DataFrame) -> DataFrame:
     return rows.withColumn("id_key", paths.id_key(F.col("stem")))
 
 
-def consolidate_variants(images: DataFrame, small: int = 256, large: int = 256, hash_size: int = 8, threshold: int = 6, hashed: DataFrame | None = None) -> DataFrame:
-    """The replacement plan of decoded images(rel_path, stem, ext, width, height, channels, data), or of rows that are hashed already.
+@dataclass
+class Consolidation:
+    """plan: as ``replace.id_replace_plan``; hashed: the rows that it is made from, with ``reused``; manifest: what the next run reads."""
+
+    plan: DataFrame
+    hashed: DataFrame
+    manifest: DataFrame
+
+
+def hashed_variants(images: DataFrame, manifest: DataFrame | None, hash_size: int = 8, compute: Callable[[DataFrame, int], DataFrame] = imaging.hash_images) -> DataFrame:
+    """images(rel_path, mtime_ns, size, more) with hash_words and reused: the manifest's hashes where they are valid; ``compute`` hashes only the others."""
+    if manifest is None:
+        return compute(images, hash_size).withColumn("reused", F.lit(False))
+    hits, misses = replace.split_hashes(images, manifest, hash_size)
+    made = compute(misses, hash_size).withColumn("reused", F.lit(False))
+    hits = hits.withColumns({"reused": F.lit(True), "hash_size": F.lit(hash_size)})
+    return hits.select(*made.columns).unionByName(made)
+
+
+def consolidate_variants(
+    images: DataFrame,
+    small: int = 256,
+    large: int = 256,
+    hash_size: int = 8,
+    threshold: int = 6,
+    manifest: DataFrame | None = None,
+    compute: Callable[[DataFrame, int], DataFrame] = imaging.hash_images,
+) -> Consolidation:
+    """The replacement plan of decoded images(rel_path, stem, ext, width, height, channels, data and, with a manifest, mtime_ns and size).
 
-    Only ID groups that have both a small and a large image are hashed.
+    Only ID groups that have both a small and a large image are hashed, and of those only images that
+    ``manifest`` (rel_path, mtime_ns, size, hash, hash_size of the last run) has no valid hash for.
     """
     hashing.check_threshold(threshold, hash_size)
-    if hashed is None:
-        rows = candidates(images)
-        usable = similarity.usable_groups(rows, small, large)
-        hashed = similarity.with_dims(imaging.hash_images(rows.join(usable, "id_key", "left_semi"), hash_size))
-    return replace.id_replace_plan(hashed, small, large, hash_size, threshold)
+    rows = candidates(images)
+    usable = similarity.usable_groups(rows, small, large)
+    hashed = similarity.with_dims(hashed_variants(rows.join(usable, "id_key", "left_semi"), manifest, hash_size, compute))
+    known = [c for c in ("mtime_ns", "size") if c in hashed.columns]
+    made = hashed.select("rel_path", *known, hashing.hash_to_hex(F.col("hash_words")).alias("hash"), F.lit(hash_size).alias("hash_size"))
+    return Consolidation(replace.id_replace_plan(hashed, small, large, hash_size, threshold), hashed, made)

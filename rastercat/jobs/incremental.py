@@ -41,11 +41,12 @@ def run_incremental(
     hash_size: int = 8,
     threshold: int = 6,
     compare: str = "mtime",
+    errors: DataFrame | None = None,
 ) -> Refresh:
     """Plan a run: what to transform, to replace, to patch and to copy, in the order in which contents depend on each other.
 
     ``hashed`` (rows of mid with id_key, sizes and hash_words) turns ID replacement on. ``manifest``
-    are the mip groups of the last run. ``clean`` starts from an empty mid and mirrors it.
+    are the mip groups of the last run. ``errors`` (rel_path, message) are failures that the summary counts. ``clean`` starts from an empty mid and mirrors it.
     ``contents`` says for each changed file of mid where its bytes come from.
     """
     before = mid.limit(0) if clean else mid
@@ -62,10 +63,10 @@ def run_incremental(
         replacements = plan.filter("replaced").select("dst_path", "src_path", "reason")
 
     members = mips.dedupe_mips(mips.mip_members(after))
-    groups = mips.with_state(mips.mip_base(mips.mip_groups(members), after), members, after)
+    groups = mips.with_state(mips.mip_base(mips.mip_groups(members), after))
     groups = groups.withColumn("skip", F.lit(False)) if manifest is None else mips.mip_skip(groups, manifest, dry_run)
     patches = mips.mip_patch_plan(groups)
     contents = replace.composed_sources(replacements, patches)
     copies = delta_ops.mirror_plan(after) if clean else delta_ops.copy_changed_plan(after, dst, compare)
-    summary = report.run_summary(found, groups, patches, replacements, copies)
+    summary = report.run_summary(found, groups, patches, replacements, copies, errors)
     return Refresh(found, pending, after, replacements, groups, patches, contents, copies, summary)

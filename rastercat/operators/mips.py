@@ -17,16 +17,18 @@ def mip_members(catalog: DataFrame) -> DataFrame:
 
 
 def dedupe_mips(members: DataFrame, scan_order: tuple[str, ...] = ("rel_path",)) -> DataFrame:
-    """One file for each group and number: the last scanned."""
+    """One file for each group and number: the last scanned. The files of a group come together, so that ``mip_groups`` needs no other shuffle."""
+    members = members.repartition(*KEYS)
     last = Window.partitionBy(*KEYS, "mip").orderBy(*(F.col(c).desc() for c in scan_order))
     return members.withColumn("__n", F.row_number().over(last)).filter("__n = 1").drop("__n")
 
 
 def mip_groups(members: DataFrame) -> DataFrame:
-    """One row a group: gid, base_name, n_mips, min_mip, max_mip, first_path (of the least mip) and members by mip.
+    """One row a group: gid, base_name, n_mips, min_mip, max_mip, first_path (of the least mip) and members by mip, with mtime_ns and size where members have them.
 
     members are one file for each number (``dedupe_mips``); a chain is a handful of files.
     """
+    known = [c for c in ("mtime_ns", "size") if c in members.columns]
     return members.groupBy(*KEYS).agg(
         F.first("gid").alias("gid"),
         F.first("mip_key").alias("mip_key"),
@@ -35,30 +37,40 @@ def mip_groups(members: DataFrame) -> DataFrame:
         F.min("mip").alias("min_mip"),
         F.max("mip").alias("max_mip"),
         F.min_by("rel_path", "mip").alias("first_path"),
-        F.sort_array(F.collect_list(F.struct("mip", "rel_path"))).alias("members"),
+        F.sort_array(F.collect_list(F.struct("mip", "rel_path", *known))).alias("members"),
     )
 
 
+def has_gaps() -> Column:
+    """Whether a group's numbers are not contiguous; numbers may be as large as they are."""
+    return F.col("max_mip") - F.col("min_mip") != F.col("n_mips") - 1
+
+
 def mip_gaps(groups: DataFrame) -> DataFrame:
-    """Groups whose numbers are not contiguous, with the missing ones."""
-    broken = groups.filter(F.col("max_mip") - F.col("min_mip") + 1 != F.col("n_mips"))
-    return broken.withColumn("missing", F.array_except(F.sequence("min_mip", "max_mip"), F.transform("members", lambda m: m["mip"])))
+    """Groups whose numbers are not contiguous, with the missing ones as ranges (first, last): there may be very many."""
+    broken = groups.filter(has_gaps())
+    numbers = F.transform("members", lambda m: m["mip"])
+    n = F.size(numbers)
+    steps = F.zip_with(F.slice(numbers, F.lit(1), n - 1), F.slice(numbers, F.lit(2), n - 1), lambda a, b: F.struct((a + 1).alias("first"), (b - 1).alias("last")))
+    return broken.withColumn("missing", F.filter(steps, lambda x: x["first"] <= x["last"]))
 
 
 def mip_base(groups: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Groups with base: the file of their directory that has exactly base_name, or else the member of least number.
+    """Groups with base: the file of their directory that has exactly base_name, or else the member of least number; and its base_mtime and base_size, where known.
 
     The wanted name has the lower-case extension and is looked up by case.
     """
-    files = catalog.select("dir", F.col("name").alias("base_name"), F.col("rel_path").alias("found")).groupBy("dir", "base_name").agg(F.min("found").alias("found"))
-    return groups.join(files, ["dir", "base_name"], "left").withColumn("base", F.coalesce("found", "first_path")).drop("found")
+    known = [c for c in ("mtime_ns", "size") if c in catalog.columns and c in groups.schema["members"].dataType.elementType.names]
+    files = catalog.select("dir", F.col("name").alias("base_name"), F.struct("rel_path", *known).alias("found")).groupBy("dir", "base_name").agg(F.min("found").alias("found"))
+    first = F.get("members", F.lit(0))
+    own = lambda c: F.when(F.col("found").isNotNull(), F.col(f"found.{c}")).otherwise(first[c])
+    names = {"rel_path": "base", "mtime_ns": "base_mtime", "size": "base_size"}
+    return groups.join(files, ["dir", "base_name"], "left").withColumns({names[c]: own(c) for c in ("rel_path", *known)}).drop("found")
 
 
-def with_state(groups: DataFrame, members: DataFrame, catalog: DataFrame, time: str = "mtime_ns") -> DataFrame:
-    """Based groups with base_mtime, base_size and mips (sorted path and time), as a manifest records them."""
-    files = catalog.select(F.col("rel_path").alias("base"), F.col(time).alias("base_mtime"), F.col("size").alias("base_size")).dropDuplicates(["base"])
-    chains = members.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct(F.col("rel_path").alias("path"), F.col(time).alias("mtime")))).alias("mips"))
-    return groups.join(files, "base", "left").join(chains, "gid")
+def with_state(groups: DataFrame) -> DataFrame:
+    """Based groups with mips (sorted path and time), as a manifest records them beside base_mtime and base_size."""
+    return groups.withColumn("mips", F.sort_array(F.transform("members", lambda m: F.struct(m["rel_path"].alias("path"), m["mtime_ns"].alias("mtime")))))
 
 
 def mip_skip(state: DataFrame, manifest: DataFrame, dry_run: bool = False) -> DataFrame:

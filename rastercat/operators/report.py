@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rastercat.functions import paths
-from rastercat.operators import similarity
+from rastercat.operators import mips, similarity
 
 
 def run_status(lines: DataFrame, codes: DataFrame | None = None) -> DataFrame:
@@ -42,7 +42,7 @@ def _side_by_side(*rows: DataFrame) -> DataFrame:
 def run_summary(delta: DataFrame, mip_groups: DataFrame, patches: DataFrame, replacements: DataFrame, copies: DataFrame, errors: DataFrame | None = None) -> DataFrame:
     """One row for a run: what each step did. mip_groups has skip, n_mips, min_mip and max_mip."""
     changed = delta.agg(F.count_if(F.col("status") == "new").alias("new"), F.count_if(F.col("status") == "updated").alias("updated"))
-    groups = mip_groups.agg(F.count_if("skip").alias("groups_skipped"), F.count_if(F.col("max_mip") - F.col("min_mip") + 1 != F.col("n_mips")).alias("groups_with_gaps"))
+    groups = mip_groups.agg(F.count_if("skip").alias("groups_skipped"), F.count_if(mips.has_gaps()).alias("groups_with_gaps"))
     one = lambda df, name: df.agg(F.count("*").alias(name))
     failed = one(errors, "errors") if errors is not None else changed.select(F.lit(0).cast("bigint").alias("errors"))
     return _side_by_side(changed, groups, one(patches, "mips_patched"), one(replacements, "ids_replaced"), one(copies, "files_copied"), failed)

@@ -7,8 +7,6 @@ to distinct hashes first and expanded after the join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,10 +14,10 @@ from pyspark.sql import functions as F
 
 from rastercat.functions import hashing, paths
 
-#: Narrower bands let nearly everything through; then distinct hashes are compared in blocks.
+#: Narrower bands let nearly everything through; then distinct hashes are compared in a grid of blocks.
 LEAST_BAND_BITS = 6
-#: Hashes that one broadcast block holds: at most 32 bytes each.
-BLOCK = 100_000
+#: Hashes on either side of a block, about.
+BLOCK = 20_000
 
 
 def with_dims(df: DataFrame) -> DataFrame:
@@ -55,21 +53,20 @@ def hamming_join(left: DataFrame, right: DataFrame, threshold: int, hash_size: i
     """Pairs (l_words, r_words, *by, hamming) of distinct hashes within the threshold, and of one value of ``by``.
 
     The bits are split in threshold + 1 bands: hashes within the threshold agree in one of them, so
-    an equi-join on (band number, band value, *by) misses none.
+    an equi-join on (band number, band value, *by) misses none. Where bands would be too narrow, all
+    pairs are compared in a grid of blocks, and only those within the threshold leave it.
     """
     hashing.check_threshold(threshold, hash_size)
     left, right = (side.select("hash_words", *by).distinct() for side in (left, right))
-    if hash_size * hash_size // (threshold + 1) < LEAST_BAND_BITS and not by:
-        return _blocked_join(left, right, threshold, hash_size)
+    if hash_size * hash_size // (threshold + 1) < LEAST_BAND_BITS:
+        sides = left.withColumnRenamed("hash_words", "l_words"), right.withColumnRenamed("hash_words", "r_words")
+        return _grid(*sides, by, (), hash_size, within=threshold).select("l_words", "r_words", *by, "hamming")
 
     def banded(side: DataFrame, name: str) -> DataFrame:
         values = hashing.bands(F.col("hash_words"), threshold, hash_size)
         return side.select(F.col("hash_words").alias(name), *by, F.posexplode(F.array(*values)).alias("band", "value"))
 
-    if hash_size * hash_size // (threshold + 1) < LEAST_BAND_BITS:
-        pairs = left.withColumnRenamed("hash_words", "l_words").join(right.withColumnRenamed("hash_words", "r_words"), list(by))
-    else:
-        pairs = banded(left, "l_words").join(banded(right, "r_words"), ["band", "value", *by])
+    pairs = banded(left, "l_words").join(banded(right, "r_words"), ["band", "value", *by])
     near = pairs.withColumn("hamming", hashing.hamming(F.col("l_words"), F.col("r_words"), hash_size)).filter(F.col("hamming") <= threshold)
     return near.select("l_words", "r_words", *by, "hamming").distinct()
 
@@ -78,36 +75,52 @@ def _packed(words: pd.Series, hash_size: int) -> np.ndarray:
     return np.array(words.tolist(), np.int64).reshape(-1, hashing.n_words(hash_size)).astype(np.uint32)
 
 
-def _blocks(rows: DataFrame, size: int = BLOCK) -> Iterator[list]:
-    """Rows streamed to the driver in blocks of a bounded size."""
-    some = []
-    for row in rows.toLocalIterator():
-        some.append(row)
-        if len(some) == size:
-            yield some
-            some = []
-    if some:
-        yield some
-
-
-def _blocked_join(left: DataFrame, right: DataFrame, threshold: int, hash_size: int) -> DataFrame:
-    """All pairs within the threshold where bands are too narrow: each block of right hashes meets all left rows."""
-    out = None
-    for block in _blocks(right.select("hash_words")):
-        shared = left.sparkSession.sparkContext.broadcast(np.array([r[0] for r in block], np.int64).astype(np.uint32))
+def _grid(left: DataFrame, right: DataFrame, by: tuple[str, ...], order: tuple[str, ...], hash_size: int, k: int | None = None, within: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(*by, l_words, r_words, *order, hamming) of pairs of left(*by, l_words) and right(*by, r_words, *order) rows of one value of ``by``.
 
-        def work(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for own in _packed(batch["hash_words"], hash_size):
-                    distance = np.bitwise_count(shared.value ^ own).sum(1)
-                    hit = np.flatnonzero(distance <= threshold)
-                    if len(hit):
-                        yield pd.DataFrame({"l_words": [own.astype(np.int64).tolist()] * len(hit), "r_words": shared.value[hit].astype(np.int64).tolist(), "hamming": distance[hit]})
-
-        part = left.select("hash_words").mapInPandas(work, "l_words array<bigint>, r_words array<bigint>, hamming int")
-        out = part if out is None else out.union(part)
-    empty = left.sparkSession.createDataFrame([], "l_words array<bigint>, r_words array<bigint>, hamming int")
-    return empty if out is None else out
+    With ``k``, each left row's k least right rows by (hamming, *order) in every block that it is in, so
+    the k least of all are among them; with ``within``, every pair within that distance. Both sides of
+    a group are dealt to a grid of blocks of bounded size, and a task holds one block: nothing goes
+    through the driver, and a very large group is many blocks.
+    """
+    many = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
+    if by:
+        sizes = left.groupBy(*by).agg(F.count("*").alias("l")).join(right.groupBy(*by).agg(F.count("*").alias("r")), list(by))
+        grid = sizes.select(*by, many(F.col("l")).alias("__rows"), many(F.col("r")).alias("__columns"))
+        left, right = (side.join(grid, list(by)) for side in (left, right))
+    else:
+        shape = {"__rows": many(F.lit(left.count())), "__columns": many(F.lit(right.count()))}
+        left, right = left.withColumns(shape), right.withColumns(shape)
+    one = lambda words, n: F.pmod(F.xxhash64(words), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cell = [*by, "__row", "__column"]
+    left = left.withColumn("__row", one("l_words", "__rows")).withColumn("__column", each("__columns")).select(*cell, "l_words")
+    right = right.withColumn("__column", one("r_words", "__columns")).withColumn("__row", each("__rows")).select(*cell, "r_words", *order)
+    right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of its own, where both sides come from one table
+
+    def compared(lows: pd.DataFrame, highs: pd.DataFrame) -> pd.DataFrame:
+        if not len(lows) or not len(highs):
+            return pd.DataFrame(columns=[*by, "l_words", "r_words", *order, "hamming"])
+        highs = highs.sort_values(list(order), kind="stable") if order else highs
+        a, b = _packed(lows["l_words"], hash_size), _packed(highs["r_words"], hash_size)
+        low, high, distance = [], [], []
+        for first in range(0, len(a), 256):
+            d = np.bitwise_count(a[first : first + 256, None] ^ b).sum(2).astype(np.int64)
+            if within is not None:
+                i, j = np.nonzero(d <= within)
+            else:
+                key = d * len(b) + np.arange(len(b))  # the order of highs breaks ties
+                j = np.argpartition(key, k - 1, axis=1)[:, :k] if k < len(b) else np.tile(np.arange(len(b)), (len(d), 1))
+                i, j = np.repeat(np.arange(len(d)), j.shape[1]), j.ravel()
+            low.append(i + first)
+            high.append(j)
+            distance.append(d[i, j])
+        low, high = lows.iloc[np.concatenate(low)].reset_index(drop=True), highs.iloc[np.concatenate(high)].reset_index(drop=True)
+        return pd.concat([low[[*by, "l_words"]], high[["r_words", *order]], pd.Series(np.concatenate(distance), name="hamming")], axis=1)
+
+    types = {f.name: f.dataType.simpleString() for side in (left, right) for f in side.schema}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in (*by, "l_words", "r_words", *order)) + ", hamming int"
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(compared, schema)
 
 
 # --- within ID groups ----------------------------------------------------------------------------------
@@ -146,13 +159,22 @@ def best_large_of_distinct(hashed: DataFrame, small: int = 256, large: int = 256
     """The same result over distinct hashes: of each (id_key, hash) two larges stand for all.
 
     The first scanned is the one to use at distance 0, the largest (then first scanned) above it. Exact
-    where no image is both small and large, that is small <= large.
+    where no image is both small and large, that is small <= large. A group is never paired whole in one
+    task, however many hashes it has.
     """
     if small > large:
         return best_large(id_candidates(hashed, small, large, hash_size))
     s, l = _sides(hashed, small, large)
-    pairs = s.select("id_key", "small_words").distinct().join(_standing(l), "id_key")
-    return _expanded(s, pairs.withColumn("hamming", hashing.hamming(F.col("small_words"), F.col("large_words"), hash_size)))
+    stands = _standing(l)
+    # By bands first: whoever has a hash within the bands' reach has its best there. The others are compared in blocks.
+    reach = min(hash_size * hash_size // LEAST_BAND_BITS - 1, hash_size * hash_size)
+    lows, highs = s.select("id_key", "small_words").distinct(), stands.select("id_key", F.col("large_words").alias("hash_words"))
+    near = hamming_join(lows.withColumnRenamed("small_words", "hash_words"), highs, reach, hash_size, by=("id_key",)).withColumnsRenamed({"l_words": "small_words", "r_words": "large_words"})
+    rest = lows.join(near.select("id_key", "small_words").distinct(), ["id_key", "small_words"], "left_anti").withColumnRenamed("small_words", "l_words")
+    ordered = stands.select("id_key", F.col("large_words").alias("r_words"), F.col("largest.less").alias("less"), F.col("largest.large_path").alias("path"))
+    far = _grid(rest, ordered, ("id_key",), ("less", "path"), hash_size, k=1).withColumnsRenamed({"l_words": "small_words", "r_words": "large_words"})
+    pairs = near.unionByName(far.select("id_key", "small_words", "large_words", "hamming"))
+    return _expanded(s, pairs.join(stands, ["id_key", "large_words"]))
 
 
 def best_large_near(hashed: DataFrame, small: int = 256, large: int = 256, hash_size: int = 8, threshold: int = 6) -> DataFrame:
@@ -194,10 +216,19 @@ def nearest_high(hashed: DataFrame, base_size: int = 1024, threshold: int = 6, h
     """Match rows: per low the closest high, if within the threshold; ties go to the larger, then by name.
 
     The best within the threshold is the best of all whenever that is a match, so bands find the same.
+    Beyond the reach of bands, lows without a match are compared in blocks that keep each one's best.
     """
     lows, highs = _low_high(hashed, base_size, limit)
     stands = highs.groupBy("high_words").agg(F.min(F.struct((-F.col("high_dim")).alias("less"), "high_name", "high_path", "high_w", "high_h")).alias("high"))
-    near = hamming_join(lows.select(F.col("low_words").alias("hash_words")), stands.select(F.col("high_words").alias("hash_words")), threshold, hash_size)
+    hashing.check_threshold(threshold, hash_size)
+    bits = hash_size * hash_size
+    own, highs_ = lows.select(F.col("low_words").alias("hash_words")).distinct(), stands.select(F.col("high_words").alias("hash_words"))
+    near = hamming_join(own, highs_, min(threshold, bits // LEAST_BAND_BITS - 1), hash_size)
+    if bits // (threshold + 1) < LEAST_BAND_BITS:
+        rest = own.withColumnRenamed("hash_words", "l_words").join(near.select("l_words").distinct(), "l_words", "left_anti")
+        order = stands.select(F.col("high_words").alias("r_words"), F.col("high.less").alias("less"), F.col("high.high_name").alias("name"), F.col("high.high_path").alias("path"))
+        far = _grid(rest, order, (), ("less", "name", "path"), hash_size, k=1).filter(F.col("hamming") <= threshold)
+        near = near.unionByName(far.select("l_words", "r_words", "hamming"))
     ranked = near.join(stands, near["r_words"] == stands["high_words"]).groupBy("l_words").agg(F.min(F.struct("hamming", "high")).alias("best"))
     return lows.join(ranked, F.col("low_words") == F.col("l_words")).select(
         "low_path", "low_name", "low_w", "low_h",
@@ -210,30 +241,22 @@ def nearest_high(hashed: DataFrame, base_size: int = 1024, threshold: int = 6, h
 def top_k_high(hashed: DataFrame, k: int, base_size: int = 1024, hash_size: int = 8, limit: int | None = None, block: int = BLOCK) -> DataFrame:
     """Per low its k closest highs by (distance, name), whatever the distance: low_path, rank, high_path, hamming.
 
-    Highs are broadcast in blocks of a bounded size; each task keeps k of a block, and the rest is one small window.
+    Of equal hashes only k highs can be among them. Distinct hashes of lows are compared with highs in
+    a grid of blocks that keep k each; the rest is one small window.
     """
     if k < 0:
         raise ValueError("k must not be negative")
     lows, highs = _low_high(hashed, base_size, limit)
-    session, schema = hashed.sparkSession, "low_path string, high_path string, high_name string, less int, hamming int"
-    out = session.createDataFrame([], schema)
-    for rows in _blocks(highs.select("high_words", "high_name", "high_dim", "high_path"), block) if k else ():
-        rows.sort(key=lambda r: (r["high_name"], -r["high_dim"], r["high_path"]))
-        shared = session.sparkContext.broadcast((np.array([r["high_words"] for r in rows], np.int64).astype(np.uint32), [(r["high_path"], r["high_name"], -r["high_dim"]) for r in rows]))
-
-        def work(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            words, named = shared.value
-            for batch in batches:
-                found = []
-                for path, own in zip(batch["low_path"], _packed(batch["low_words"], hash_size), strict=True):
-                    distance = np.bitwise_count(words ^ own).sum(1).astype(np.int64)
-                    best = np.argsort(distance, kind="stable")[:k]
-                    found += [(path, *named[i], int(distance[i])) for i in best]
-                yield pd.DataFrame(found, columns=["low_path", "high_path", "high_name", "less", "hamming"])
-
-        out = out.union(lows.select("low_path", "low_words").mapInPandas(work, schema))
-    order = Window.partitionBy("low_path").orderBy("hamming", "high_name", "less", "high_path")
-    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("low_path", "rank", "high_path", "hamming")
+    if not k:
+        return hashed.sparkSession.createDataFrame([], "low_path string, rank int, high_path string, hamming int")
+    order = ("high_name", "less", "high_path")
+    rows = highs.select(F.col("high_words").alias("r_words"), "high_name", (-F.col("high_dim")).alias("less"), "high_path")
+    first = Window.partitionBy("r_words").orderBy(*order)
+    rows = rows.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= k).drop("__n")
+    found = _grid(lows.select(F.col("low_words").alias("l_words")).distinct(), rows, (), order, hash_size, k=k, block=block)
+    best = Window.partitionBy("l_words").orderBy("hamming", *order)
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return lows.join(ranked, F.col("low_words") == F.col("l_words")).select("low_path", "rank", "high_path", "hamming")
 
 
 def nested_top_k(top: DataFrame) -> DataFrame:

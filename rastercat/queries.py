@@ -253,10 +253,12 @@ def a2_mip_groups(spark, d):
 
 
 @_query("a3_mip_gaps", """
-SELECT gid, min_mip, max_mip, (SELECT string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) FROM (SELECT unnest(range(min_mip, max_mip + 1)) AS x) r
-  WHERE x NOT IN (SELECT mip FROM members WHERE members.gid = g0.gid)) AS missing FROM g0 WHERE max_mip - min_mip + 1 <> n_mips""", fx.MIPS)
+SELECT gid, min_mip, max_mip, (SELECT string_agg((mip + 1) || '-' || (next - 1), ',' ORDER BY mip) FROM
+  (SELECT gid, mip, lead(mip) OVER (PARTITION BY gid ORDER BY mip) AS next FROM members) m WHERE m.gid = g0.gid AND next > mip + 1) AS missing
+FROM g0 WHERE max_mip - min_mip + 1 <> n_mips""", fx.MIPS)
 def a3_mip_gaps(spark, d):
-    return mips.mip_gaps(mips.mip_groups(_members(spark, d))).select("gid", "min_mip", "max_mip", _joined(F.col("missing")).alias("missing"))
+    ranges = F.transform("missing", lambda x: F.concat(x["first"].cast("string"), F.lit("-"), x["last"].cast("string")))
+    return mips.mip_gaps(mips.mip_groups(_members(spark, d))).select("gid", "min_mip", "max_mip", F.array_join(ranges, ",").alias("missing"))
 
 
 @_query("j4_mip_base", "SELECT gid, base_name, base FROM groups", fx.MIPS)
@@ -271,19 +273,22 @@ skips AS (SELECT state.*, coalesce(left(gid, 2) <> 'd4' AND base_mtime = base_mt
 
 
 def _state(spark, d):
-    members = _members(spark, d)
-    return mips.with_state(_groups(spark, d), members, fx.mip_files(spark, d))
+    return mips.with_state(_groups(spark, d))
 
 
-def _skips(spark, d):
-    state = _state(spark, d)
+def _old_groups(state):
+    """The manifest of a run before: of some directories other than now, or not there."""
     place = F.substring("gid", 1, 2)
     shifted = F.transform("mips", lambda m: F.struct(m["path"].alias("path"), (m["mtime"] + paths.mip_number(paths.stem(paths.file_name(m["path"])))).alias("mtime")))
-    manifest = state.filter(place != "d4").select(
+    return state.filter(place != "d4").select(
         "gid", "base", (F.col("base_mtime") + F.when(place == "d2", 1).otherwise(0)).alias("base_mtime"), (F.col("base_size") + F.when(place == "d3", 1).otherwise(0)).alias("base_size"),
         F.when(place == "d1", shifted).otherwise(F.col("mips")).alias("mips"),
     )
-    return mips.mip_skip(state, manifest)
+
+
+def _skips(spark, d):
+    state = _state(spark, d)
+    return mips.mip_skip(state, _old_groups(state))
 
 
 @_query("j6_mip_skip", "SELECT gid, base, skip FROM skips", fx.MIPS, _MANIFEST)
@@ -339,9 +344,19 @@ def j9_near_replacements(spark, d):
     return replace.id_replace_plan(fx.hashed(spark, d), near_only=True)
 
 
-@_query("e2_consolidate_variants", _PLAN, fx.TEXTURES, _CANDIDATES)
+_REUSED = "tex_id % 5 <> 0 AND tex_id % 13 <> 0 AND tex_id % 7 <> 0 AND tex_id % 11 <> 0"
+
+
+@_query("e2_consolidate_variants", f"""
+SELECT small_path AS dst_path, large_path AS src_path, hamming, hamming <= 6 AS replaced, (SELECT {_REUSED} FROM hashed h WHERE h.rel_path = small_path) AS reused FROM best
+WHERE (SELECT length(stem) - length(replace(stem, '-', '')) >= 2 FROM hashed h WHERE h.rel_path = small_path)""", fx.TEXTURES, _CANDIDATES)
 def e2_consolidate_variants(spark, d):
-    return consolidate_variants(None, hashed=fx.hashed(spark, d))
+    """With the manifest of a run before: only images that it has no valid hash for are hashed."""
+    made = lambda rows, n: rows.withColumns({"hash_words": hashing.average_hash(F.col("px"), n), "hash_size": F.lit(n)}).drop("px")
+    images = fx.stamped(fx.textures(spark, d)).select("rel_path", "name", "stem", "ext", "width", "height", "mtime_ns", "size", "px")
+    got = consolidate_variants(images, manifest=fx.hash_manifest(spark, d), compute=made)
+    reused = got.hashed.select(F.col("rel_path").alias("dst_path"), "reused")
+    return got.plan.join(reused, "dst_path").select("dst_path", "src_path", "hamming", "replaced", "reused")
 
 
 @_query("j10_apply_replacements", """
@@ -367,9 +382,6 @@ def a5_replacement_summary(spark, d):
 
 # --- hash reuse -------------------------------------------------------------------------------------------------
 
-_REUSED = "tex_id % 5 <> 0 AND tex_id % 13 <> 0 AND tex_id % 7 <> 0 AND tex_id % 11 <> 0"
-
-
 @_query("j5_reuse_hashes", f"SELECT rel_path, {fx.HEX} AS hash, {_REUSED} AS reused FROM hashed", fx.TEXTURES)
 def j5_reuse_hashes(spark, d):
     rows = fx.stamped(fx.hashed(spark, d))
@@ -482,9 +494,13 @@ def a6_audit_summary(spark, d):
     return report.audit_summary(rows, similarity.nearest_high(rows))
 
 
-@_query("e3_audit_similar", "SELECT count(*) AS loaded, count(*) FILTER (max_dim >= 1024) AS high, count(*) FILTER (max_dim < 1024) AS low, (SELECT count(*) FROM matches) AS matches FROM textures", fx.TEXTURES, _NEAREST)
+@_query("e3_audit_similar", """
+SELECT CASE WHEN hamming <= 4 THEN 'near-identical' WHEN hamming <= 10 THEN 'similar' ELSE 'loose' END AS band, count(*) AS n, (SELECT count(*) FROM textures) AS loaded,
+  (SELECT count(*) FROM textures WHERE max_dim < 1024) AS low FROM matches GROUP BY 1""", fx.TEXTURES, _NEAREST)
 def e3_audit_similar(spark, d):
-    return audit_similar(fx.hashed(spark, d)).summary
+    """The matches of an audit by distance, beside how many images it read."""
+    audit = audit_similar(fx.hashed(spark, d))
+    return audit.bands.withColumn("k", F.lit(1)).join(audit.summary.select(F.lit(1).alias("k"), "loaded", "low"), "k").drop("k")
 
 
 @_query("a7_distance_bands", "SELECT CASE WHEN hamming <= 4 THEN 'near-identical' WHEN hamming <= 10 THEN 'similar' WHEN hamming <= 20 THEN 'loose' ELSE 'unrelated' END AS band, count(*) AS n FROM nearest GROUP BY 1", fx.TEXTURES, _NEAREST)
@@ -528,10 +544,15 @@ def a8_run_summary(spark, d):
 
 
 @_query("e1_run_incremental", """
-SELECT (SELECT count(*) FROM delta WHERE status = 'new') AS new, (SELECT count(*) FROM delta WHERE status = 'updated') AS updated, CAST(0 AS BIGINT) AS groups_skipped, CAST(0 AS BIGINT) AS groups_with_gaps,
-  CAST(0 AS BIGINT) AS mips_patched, CAST(0 AS BIGINT) AS ids_replaced, count(*) AS files_copied, CAST(0 AS BIGINT) AS errors
+SELECT (SELECT count(*) FROM delta WHERE status = 'new') AS new, (SELECT count(*) FROM delta WHERE status = 'updated') AS updated, (SELECT count(*) FROM skips WHERE skip) AS groups_skipped,
+  (SELECT count(*) FROM g0 WHERE max_mip - min_mip + 1 <> n_mips) AS groups_with_gaps, (SELECT count(*) FROM skips s JOIN members m USING (gid) WHERE NOT s.skip AND m.rel_path <> s.base) AS mips_patched,
+  (SELECT count(*) FROM best WHERE hamming <= 6) AS ids_replaced, count(*) + (SELECT count(*) FROM files) AS files_copied, (SELECT count(*) FROM delta WHERE status = 'ineligible') AS errors
 FROM (SELECT rel_path, max(CASE WHEN side = 'new' THEN mtime_ns END) AS a, max(CASE WHEN side = 'old' THEN mtime_ns END) AS b FROM (
   SELECT 'new' AS side, rel_path, mtime_ns FROM delta WHERE status IN ('new', 'updated') UNION ALL SELECT 'old', rel_path, mtime_ns FROM mid) GROUP BY rel_path) x
-LEFT JOIN dst USING (rel_path) WHERE dst.rel_path IS NULL OR dst.mtime_ns <> coalesce(a, b)""", fx.DUMPS, _DST)
+LEFT JOIN dst USING (rel_path) WHERE dst.rel_path IS NULL OR dst.mtime_ns <> coalesce(a, b)""", fx.DUMPS, _DST, fx.MIPS, _MANIFEST, fx.TEXTURES, _CANDIDATES)
 def e1_run_incremental(spark, d):
-    return run_incremental(fx.dumps(spark, d), fx.mid_times(spark, d), _dst(spark, d)).summary
+    """Dumps against a snapshot that has mip chains, with the mip manifest of a run before, ID replacement, and files that can't be staged as errors."""
+    columns = ["rel_path", "dir", "name", "stem", "ext", "mtime_ns", "size"]
+    mid = fx.mid_times(spark, d).select(*columns).unionByName(fx.mip_files(spark, d).select(*columns))
+    wrong = _delta(spark, d).filter("status = 'ineligible'").select("rel_path", F.col("status").alias("message"))
+    return run_incremental(fx.dumps(spark, d), mid, _dst(spark, d), fx.hashed(spark, d), _old_groups(_state(spark, d)), errors=wrong).summary

@@ -18,20 +18,31 @@ _MIP = "version int, groups map<string, struct<base: string, base_mtime_ns: bigi
 _HASH = "version int, entries map<string, struct<mtime_ns: bigint, size: bigint, hash: string, hash_size: int>>"
 
 
-def _visible(spark: SparkSession, path: str) -> str:
-    """A path that Spark's readers list: they pass over hidden files, so a hidden one is copied, file to file."""
-    if not path.rstrip("/").rpartition("/")[2].startswith((".", "_")):
-        return path
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where it is unset, a local one for a session in one process, an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
+
+def _visible(spark: SparkSession, path: str) -> str | None:
+    """A path that Spark's readers list, or None where there is none: they pass over hidden files, so a hidden one is copied, file to file."""
     hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-    source, copy = hadoop.Path(path), hadoop.Path(f"{folder.rstrip('/')}/manifest-{uuid.uuid4().hex}.json")
+    source = hadoop.Path(path)
+    if not source.getFileSystem(conf).exists(source):
+        return None
+    if not source.getName().startswith((".", "_")):
+        return path
+    copy = hadoop.Path(_shared_folder(spark), f"manifest-{uuid.uuid4().hex}.json")
     hadoop.FileUtil.copy(source.getFileSystem(conf), source, copy.getFileSystem(conf), copy, False, conf)
     return copy.toString()
 
 
 def _documents(spark: SparkSession, path: str, schema: str, versions: tuple[int, ...]) -> DataFrame:
     """Manifests as one row each; from_json makes a broken one null."""
-    text = spark.read.text(_visible(spark, path), wholetext=True)
+    seen = _visible(spark, path)
+    text = spark.createDataFrame([], "value string") if seen is None else spark.read.text(seen, wholetext=True)
     return text.select(F.from_json("value", schema).alias("x")).select("x.*").filter(F.col("version").isin(*versions))
 
 

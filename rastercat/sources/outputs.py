@@ -25,15 +25,11 @@ def planned_contents(plan: DataFrame, contents: DataFrame) -> tuple[DataFrame, D
     return rows, failed
 
 
-def apply_sync(plan: DataFrame, contents: DataFrame, dst: str) -> DataFrame:
-    """Write the planned files as a table at dst; returns the failures. Nothing else in dst is touched."""
-    rows, failed = planned_contents(plan, contents)
-    rows.write.mode("append").parquet(dst)
-    return failed
-
-
 def apply_sync_to_folder(plan: DataFrame, contents: DataFrame, folder: str) -> DataFrame:
-    """Write the planned files below a folder that all executors mount; returns (rel_path, message) of failures. Others go on."""
+    """Write the planned files below a folder that all executors mount, at once; returns (rel_path, message) of failures. Others go on.
+
+    Writing a file again, as after the loss of an executor, gives the same file.
+    """
     rows, failed = planned_contents(plan, contents)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -51,4 +47,6 @@ def apply_sync_to_folder(plan: DataFrame, contents: DataFrame, folder: str) -> D
                     wrong.append((path, str(e)))
             yield pd.DataFrame(wrong, columns=["rel_path", "message"])
 
-    return failed.unionByName(rows.mapInPandas(write, "rel_path string, message string"))
+    wrong = rows.mapInPandas(write, "rel_path string, message string").persist()
+    wrong.count()
+    return failed.unionByName(wrong)

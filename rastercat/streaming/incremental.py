@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rastercat.functions import paths
 from rastercat.jobs.incremental import Refresh, run_incremental
+from rastercat.jobs.refresh import Report, refresh
 
 LISTING = "rel_path string, mtime_ns bigint, size bigint"
 
@@ -25,13 +26,39 @@ def newest_listing(batch: DataFrame) -> DataFrame:
     return paths.with_path_parts(newest).select("rel_path", "dir", "name", "stem", "ext", "mtime_ns", "size")
 
 
-def stream_incremental(listing: DataFrame, mid: Callable[[], DataFrame], dst: Callable[[], DataFrame], apply: Callable[[Refresh, int], None], checkpoint: str, **options) -> StreamingQuery:
+def stream_incremental(listing: DataFrame, mid: Callable[[], DataFrame], dst: Callable[[], DataFrame], apply: Callable[[Refresh, int], None], checkpoint: str, trigger: dict | None = None, **options) -> StreamingQuery:
     """Plan each micro-batch against the catalogues as they are then, and hand the plans to ``apply(refresh, batch_id)``.
 
-    ``apply`` may see a batch again after a failure; applying plans twice gives the same snapshot.
+    ``apply`` may see a batch again after a failure; it must give the same result then, as ``refresh``
+    does. ``trigger`` is what ``DataStreamWriter.trigger`` takes, {"processingTime": "1 minute"} to go on
+    watching; without one the stream ends with what is there.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         apply(run_incremental(newest_listing(batch), mid(), dst(), **options), batch_id)
 
-    return listing.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return listing.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def stream_refresh(
+    listing: DataFrame,
+    contents: Callable[[DataFrame], DataFrame],
+    mid_root: str,
+    dst_root: str,
+    transform: Callable[[DataFrame], DataFrame],
+    checkpoint: str,
+    report: Callable[[Report, int], None] | None = None,
+    trigger: dict | None = None,
+    **options,
+) -> StreamingQuery:
+    """``refresh`` of every micro-batch: ``contents`` adds the content of the files that a catalogue lists; snapshots hold the result.
+
+    A batch that comes again after a failure ends in the same rows. ``trigger`` as in ``stream_incremental``.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        got = refresh(contents(newest_listing(batch)), mid_root, dst_root, transform, **options)
+        if report:
+            report(got, batch_id)
+
+    return listing.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

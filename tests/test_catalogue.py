@@ -61,14 +61,23 @@ def test_mip_groups_bases_and_gaps(spark):
         ("t.png", "d/t.png"), ("u.png", "d/u-mip00.png"),  # of -mip0 and -mip00 the last scanned
     ]
     gaps = mips.mip_gaps(groups)
-    assert sorted((r["base_name"], tuple(r["missing"])) for r in gaps.collect()) == [("t.png", (2,)), ("u.png", (1,))]
+    assert sorted((r["base_name"], [tuple(x) for x in r["missing"]]) for r in gaps.collect()) == [("t.png", [(2, 2)]), ("u.png", [(1, 1)])]
     assert ("d/t-mip1.png", "d/t.png") in pairs(mips.mip_patch_plan(groups), "dst_path", "src_path")
     assert "d/u-mip00.png" not in [r[0] for r in pairs(mips.mip_patch_plan(groups), "dst_path")]
 
 
 def state_of(spark, files):
     members = mips.dedupe_mips(mips.mip_members(files))
-    return mips.with_state(mips.mip_base(mips.mip_groups(members), files), members, files)
+    return mips.with_state(mips.mip_base(mips.mip_groups(members), files))
+
+
+def test_numbers_of_any_size(spark):
+    """Gaps are ranges, so that one odd name is not counted out; digits beyond 64 bits are no number."""
+    files = catalog(spark, [("t-mip1.png", 1, 1), ("t-mip99999999999.png", 1, 1), ("u-mip0.png", 1, 1), ("u-mip9223372036854775807.png", 1, 1), ("v-mip" + "9" * 30 + ".png", 1, 1)])
+    groups = mips.mip_groups(mips.dedupe_mips(mips.mip_members(files)))
+    assert sorted((r["base_name"], [tuple(x) for x in r["missing"]]) for r in mips.mip_gaps(groups).collect()) == [("t.png", [(2, 99999999998)]), ("u.png", [(1, 9223372036854775806)])]
+    assert run_incremental(files, files.limit(0), files.limit(0)).summary.first()["groups_with_gaps"] == 0  # not eligible
+    assert run_incremental(files.limit(0), files, files.limit(0)).summary.first()["groups_with_gaps"] == 2
 
 
 @pytest.mark.parametrize("change, skip", [("", True), ("base_mtime = base_mtime + 1", False), ("base_size = 9", False), ("base = cast(null as string)", False), ("mips = slice(mips, 1, 1)", False), ("mips = slice(mips, 1, 0)", False), ("base = 'elsewhere'", True)])
@@ -116,6 +125,43 @@ def test_nearest_high_ties_and_limit(spark):
             wrong()
 
 
+@pytest.mark.parametrize("block", [3, 20_000])
+def test_grid_equals_brute_force(spark, block):
+    """Within groups, one of which is large, and over all; the k least and all within a distance."""
+    rows = lambda n, seed: [("hot" if i % 3 else f"g{i % 5}", [int(x) for x in np.random.default_rng(seed + i).integers(0, 16, 2)], f"n{i % 7:02d}", f"p{i:03d}") for i in range(n)]
+    lows, highs = rows(40, 1), rows(50, 900)
+    left = spark.createDataFrame([(g, w) for g, w, _, _ in lows], "g string, l_words array<bigint>").distinct()
+    right = spark.createDataFrame(highs, "g string, r_words array<bigint>, name string, path string")
+    far = lambda a, b: sum(int(x ^ y).bit_count() for x, y in zip(a, b, strict=True))
+    for by in ((), ("g",)):
+        own = left if by else left.select("l_words").distinct()
+        every = [(g, tuple(a), far(a, b), n, p, tuple(b)) for g, a, _, _ in lows for h, b, n, p in highs if not by or g == h]
+        got = similarity._grid(own, right, by, ("name", "path"), 8, within=2, block=block).collect()
+        assert {(tuple(r["l_words"]), r["path"], r["hamming"]) for r in got} == {(a, p, d) for _, a, d, _, p, _ in every if d <= 2}
+        got = similarity._grid(own, right, by, ("name", "path"), 8, k=2, block=block).collect()
+        for key in {(g if by else None, a) for g, a, *_ in every}:
+            mine = sorted({(d, n, p) for g, a, d, n, p, _ in every if (g if by else None, a) == key})[:2]
+            found = sorted({(r["hamming"], r["name"], r["path"]) for r in got if (r["g"] if by else None, tuple(r["l_words"])) == key})
+            assert found[: len(mine)] == mine
+
+
+def test_best_beyond_the_reach_of_bands(spark):
+    """All-pairs results, by brute force, for hashes that are far apart."""
+    rng = np.random.default_rng(8)
+    rows = [(f"a-{i % 2}-{i:03d}.png", int(rng.choice([64, 300, 2048])), 64, [int(x) for x in rng.integers(0, 1 << 32, 2)]) for i in range(60)]
+    df = hashed(spark, [(n, w, h, 0) for n, w, h, _ in rows]).drop("hash_words").join(spark.createDataFrame([(n, x) for n, _, _, x in rows], "name string, hash_words array<bigint>"), "name")
+    far = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True))
+    area = {n: w * h for n, w, h, _ in rows}
+    want = []
+    for n, w, _, x in rows:
+        if w < 256:
+            large = [(far(x, y), -area[m], m) for m, v, _, y in rows if v >= 256 and m.split("-")[1] == n.split("-")[1]]
+            want.append((n, min(large)[2], min(large)[0]))
+    assert pairs(similarity.best_large_of_distinct(df), "small_path", "large_path", "hamming") == sorted(want)
+    high = {n: sorted((far(x, y), -v, m) for m, v, _, y in rows if v >= 1024)[0] for n, w, _, x in rows if w < 1024}
+    assert pairs(similarity.nearest_high(df, threshold=64), "low_path", "high_path", "hamming") == sorted((n, m, d) for n, (d, _, m) in high.items())
+
+
 @pytest.mark.parametrize("hash_size, threshold", [(8, 0), (8, 3), (8, 20), (4, 9), (16, 12)])
 def test_bands_equal_brute_force(spark, hash_size, threshold):
     rng = np.random.default_rng(threshold)

@@ -3,16 +3,19 @@
 import json
 import os
 import struct
+import time
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
-from rastercat.functions import imaging
+from rastercat.functions import imaging, paths
 from rastercat.jobs.audit import audit_similar, hashed_folder
 from rastercat.jobs.consolidate import consolidate_variants
+from rastercat.jobs.refresh import refresh
 from rastercat.operators import similarity
-from rastercat.sources import catalog, manifests, outputs
-from rastercat.streaming.incremental import LISTING, stream_incremental
+from rastercat.sources import catalog, manifests, outputs, snapshots
+from rastercat.streaming.incremental import LISTING, stream_incremental, stream_refresh
 
 
 def png(width, height, pixels, kind):
@@ -66,7 +69,7 @@ def test_audit_and_consolidation_of_a_folder(spark, folder, tmp_path):
     matches = {r["low_path"]: (r["high_path"], r["hamming"], r["diff"]) for r in found.matches.collect()}
     assert matches["flat-7-k.png"] == ("flat-7-m.png", 0, 0.0)
     assert {r["diff"] for r in found.top.filter("low_path = 'flat-7-k.png'").collect()} == {0.0}
-    plan = consolidate_variants(images, small=16, large=16)
+    plan = consolidate_variants(images, small=16, large=16).plan
     assert [(r["dst_path"], r["src_path"], r["replaced"]) for r in plan.collect()] == [("flat-7-k.png", "flat-7-m.png", True)]
     outputs.write_matches_csv(found.matches.filter("low_path = 'flat-7-k.png'"), str(tmp_path / "csv"))
     text = "".join(p.read_text() for p in (tmp_path / "csv").glob("*.csv"))
@@ -113,14 +116,117 @@ def test_hash_manifests(spark, tmp_path):
     assert tuple(spark.read.parquet(str(tmp_path / "out")).first()) == ("a", 1, 2, "ff", 8)
 
 
-def test_sync_to_tables_and_folders(spark, tmp_path):
+def test_missing_manifests_are_empty(spark, tmp_path):
+    assert manifests.read_mip_manifest(spark, str(tmp_path / ".mipcache.json")).count() == 0
+    assert manifests.read_hash_manifest(spark, str(tmp_path / "nothing.json")).count() == 0
+
+
+def test_sync_to_snapshots_and_folders(spark, tmp_path):
+    """A planned file takes the place of the row of its path; doing it twice changes nothing."""
+    root = str(tmp_path / "table")
     contents = spark.createDataFrame([("a", 10**18, bytearray(b"A")), ("d/b", 10**18, bytearray(b"B"))], "rel_path string, mtime_ns bigint, content binary")
     plan = spark.createDataFrame([("a", "a", "mirror"), ("x/y", "d/b", "id_replace"), ("z", "gone", "mirror")], "dst_path string, src_path string, reason string")
-    failed = outputs.apply_sync(plan, contents, str(tmp_path / "table"))
-    assert [r["rel_path"] for r in failed.collect()] == ["z"]
-    assert {r["rel_path"]: bytes(r["content"]) for r in spark.read.parquet(str(tmp_path / "table")).collect()} == {"a": b"A", "x/y": b"B"}
-    assert [r["rel_path"] for r in outputs.apply_sync_to_folder(plan, contents, str(tmp_path / "files")).collect()] == ["z"]
+    rows = lambda: sorted((r["rel_path"], r["mtime_ns"], r["size"], bytes(r["content"])) for r in snapshots.read_snapshot(spark, root).collect())
+    assert rows() == []
+    for _ in range(2):
+        assert [r["rel_path"] for r in snapshots.apply_sync(plan, contents, root).collect()] == ["z"]
+        assert rows() == [("a", 10**18, 1, b"A"), ("x/y", 10**18, 1, b"B")]
+    newer = spark.createDataFrame([("a", 2 * 10**18, bytearray(b"AA"))], contents.schema)
+    snapshots.apply_sync(plan.limit(1), newer, root)
+    assert rows() == [("a", 2 * 10**18, 2, b"AA"), ("x/y", 10**18, 1, b"B")]
+    assert len(snapshots.versions(spark, root)) == 3
+    (tmp_path / "table/versions/half").mkdir()  # a run that was stopped before its version was logged
+    snapshots.drop_old_versions(spark, root, keep=1)
+    assert len(snapshots.versions(spark, root)) == 1 and rows()[0][3] == b"AA"
+    failed = outputs.apply_sync_to_folder(plan, contents, str(tmp_path / "files"))
     assert (tmp_path / "files/x/y").read_bytes() == b"B" and os.stat(tmp_path / "files/a").st_mtime_ns == 10**18
+    assert [r["rel_path"] for r in failed.collect()] == ["z"]
+
+
+def shouted(rows):
+    """A transform: contents in capitals; those with a question mark fail."""
+    bad = F.contains(F.col("content").cast("string"), F.lit("?"))
+    return rows.select("rel_path", F.when(~bad, F.upper(F.col("content").cast("string")).cast("binary")).alias("content"), F.when(bad, "can't be read").alias("message"))
+
+
+def files(spark, rows):
+    df = spark.createDataFrame([(p, t, len(c), bytearray(c)) for p, t, c in rows], snapshots.SCHEMA)
+    return paths.with_path_parts(df).select("rel_path", "dir", "name", "stem", "ext", "mtime_ns", "size", "content")
+
+
+def test_refresh_of_snapshots(spark, tmp_path):
+    """New, changed and failing files, mips from their base, times, the sync, and runs that are repeated."""
+    mid, dst = str(tmp_path / "mid"), str(tmp_path / "dst")
+    rows = lambda root: {r["rel_path"]: (r["mtime_ns"], bytes(r["content"])) for r in snapshots.read_snapshot(spark, root).collect()}
+    src = files(spark, [("a-1-x.png", 5, b"base"), ("a-1-x-mip1.png", 6, b"mip"), ("a-1-bad.png", 5, b"what?"), ("plain.png", 5, b"p")])
+    one = refresh(src, mid, dst, shouted)
+    assert rows(mid) == rows(dst) == {"a-1-x.png": (5, b"BASE"), "a-1-x-mip1.png": (6, b"BASE")}
+    assert one.summary.first().asDict() == {"new": 3, "updated": 0, "groups_skipped": 0, "groups_with_gaps": 0, "mips_patched": 1, "ids_replaced": 0, "files_copied": 2, "errors": 1}
+    assert [tuple(r) for r in one.failed.collect()] == [("a-1-bad.png", "transform", "can't be read")] and one.status.first()["status"] == "completed with errors"
+    groups = one.groups.collect()
+    again = refresh(src, mid, dst, shouted, manifest=spark.createDataFrame(groups, one.groups.schema))
+    assert rows(dst) == {"a-1-x.png": (5, b"BASE"), "a-1-x-mip1.png": (6, b"BASE")} and again.summary.first()["files_copied"] == 0 and again.summary.first()["groups_skipped"] == 1
+    changed = files(spark, [("a-1-x.png", 9, b"newer"), ("a-1-bad.png", 5, b"fine")])
+    three = refresh(changed, mid, dst, shouted)
+    assert rows(dst) == {"a-1-x.png": (9, b"NEWER"), "a-1-x-mip1.png": (6, b"BASE"), "a-1-bad.png": (5, b"FINE")} and three.status.first()["status"] == "completed"
+    assert rows(mid)["a-1-x-mip1.png"] == (6, b"NEWER")  # a patched mip keeps its time, by which the sync compares
+
+
+def test_refresh_replaces_variants_and_reuses_hashes(spark, tmp_path):
+    mid, dst, seen = str(tmp_path / "mid"), str(tmp_path / "dst"), []
+
+    def consolidate(rows):
+        """Sides and hashes are in the content: width, then a number."""
+        x = F.split(F.col("content").cast("string"), " ")
+        images = rows.withColumns({"width": x[0].cast("int"), "height": x[0].cast("int"), "bits": x[1].cast("bigint")}).drop("content")
+
+        def hashes(df, n):
+            seen.append(df.count())
+            return df.withColumns({"hash_words": F.array(F.col("bits"), F.lit(0).cast("bigint")), "hash_size": F.lit(n)}).drop("bits")
+
+        return consolidate_variants(images, manifest=seen_before["rows"], compute=hashes)
+
+    seen_before = {"rows": None}
+    src = files(spark, [("s-1-a.png", 5, b"64 1"), ("l-1-b.png", 6, b"512 3"), ("l-2-c.png", 6, b"512 3")])
+    one = refresh(src, mid, dst, lambda df: df.select("rel_path", "content", F.lit(None).cast("string").alias("message")), consolidate)
+    assert one.summary.first()["ids_replaced"] == 1 and seen == [2]  # a group of one side is not hashed
+    got = {r["rel_path"]: (r["mtime_ns"], bytes(r["content"])) for r in snapshots.read_snapshot(spark, dst).collect()}
+    assert got == {"s-1-a.png": (5, b"512 3"), "l-1-b.png": (6, b"512 3"), "l-2-c.png": (6, b"512 3")}
+    seen_before["rows"] = spark.createDataFrame(one.hashes.collect(), one.hashes.schema)
+    images = files(spark, [("s-1-a.png", 5, b"64 1"), ("l-1-b.png", 6, b"512 3"), ("s-1-d.png", 7, b"64 3")])
+    again = consolidate(images)
+    assert sorted((r["rel_path"], r["reused"]) for r in again.hashed.collect()) == [("l-1-b.png", True), ("s-1-a.png", True), ("s-1-d.png", False)] and seen[-1] == 1
+
+
+def test_stream_refreshes_snapshots(spark, tmp_path):
+    """Deliveries, one of which comes twice, end in the newest contents."""
+    source, mid, dst, seen = str(tmp_path / "listing"), str(tmp_path / "mid"), str(tmp_path / "dst"), []
+    contents = lambda listed: listed.withColumn("content", F.concat("name", F.col("mtime_ns").cast("string")).cast("binary"))
+    for delivery in ([("a-1-x.png", 5, 1)], [("a-1-x.png", 5, 1), ("a-1-y.png", 7, 1)], [("a-1-x.png", 9, 1)]):
+        spark.createDataFrame(delivery, LISTING).write.mode("append").parquet(source)
+        listing = spark.readStream.schema(LISTING).parquet(source)
+        query = stream_refresh(listing, contents, mid, dst, shouted, str(tmp_path / "checkpoint"), lambda r, _: seen.append(r.summary.first()["new"] + r.summary.first()["updated"]))
+        query.awaitTermination()
+    assert seen == [1, 1, 1]
+    assert {r["rel_path"]: bytes(r["content"]) for r in snapshots.read_snapshot(spark, dst).collect()} == {"a-1-x.png": b"A-1-X.PNG9", "a-1-y.png": b"A-1-Y.PNG7"}
+
+
+def test_stream_goes_on_watching(spark, tmp_path):
+    source, seen = str(tmp_path / "listing"), []
+    spark.createDataFrame([("a-1-x.png", 5, 1)], LISTING).write.parquet(source)
+    empty = lambda: spark.createDataFrame([], snapshots.CATALOG)
+    listing = spark.readStream.schema(LISTING).parquet(source)
+    query = stream_incremental(listing, empty, empty, lambda r, _: seen.append(r.pending.count()), str(tmp_path / "c"), trigger={"processingTime": "200 milliseconds"})
+    try:
+        for n in (1, 2):
+            deadline = time.time() + 60
+            while len(seen) < n and time.time() < deadline:
+                time.sleep(0.1)
+            if n == 1:
+                spark.createDataFrame([("a-1-y.png", 5, 1)], LISTING).write.mode("append").parquet(source)
+        assert query.isActive and seen == [1, 1]
+    finally:
+        query.stop()
 
 
 def test_stream_of_listings(spark, tmp_path):
