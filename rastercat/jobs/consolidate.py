@@ -54,7 +54,8 @@ def consolidate_variants(
     hashing.check_threshold(threshold, hash_size)
     rows = candidates(images)
     usable = similarity.usable_groups(rows, small, large)
-    hashed = similarity.with_dims(hashed_variants(rows.join(usable, "id_key", "left_semi"), manifest, hash_size, compute))
+    # Kept, as the plan and the manifest read it several times and images must be decoded once.
+    hashed = similarity.with_dims(hashed_variants(rows.join(usable, "id_key", "left_semi"), manifest, hash_size, compute)).persist()
     known = [c for c in ("mtime_ns", "size") if c in hashed.columns]
     made = hashed.select("rel_path", *known, hashing.hash_to_hex(F.col("hash_words")).alias("hash"), F.lit(hash_size).alias("hash_size"))
     return Consolidation(replace.id_replace_plan(hashed, small, large, hash_size, threshold), hashed, made)

@@ -65,6 +65,7 @@ def run_incremental(
     members = mips.dedupe_mips(mips.mip_members(after))
     groups = mips.with_state(mips.mip_base(mips.mip_groups(members), after))
     groups = groups.withColumn("skip", F.lit(False)) if manifest is None else mips.mip_skip(groups, manifest, dry_run)
+    groups = groups.persist()  # the patch plan, the summary and the next manifest all read it
     patches = mips.mip_patch_plan(groups)
     contents = replace.composed_sources(replacements, patches)
     copies = delta_ops.mirror_plan(after) if clean else delta_ops.copy_changed_plan(after, dst, compare)

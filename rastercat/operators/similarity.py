@@ -165,16 +165,11 @@ def best_large_of_distinct(hashed: DataFrame, small: int = 256, large: int = 256
     if small > large:
         return best_large(id_candidates(hashed, small, large, hash_size))
     s, l = _sides(hashed, small, large)
-    stands = _standing(l)
-    # By bands first: whoever has a hash within the bands' reach has its best there. The others are compared in blocks.
-    reach = min(hash_size * hash_size // LEAST_BAND_BITS - 1, hash_size * hash_size)
-    lows, highs = s.select("id_key", "small_words").distinct(), stands.select("id_key", F.col("large_words").alias("hash_words"))
-    near = hamming_join(lows.withColumnRenamed("small_words", "hash_words"), highs, reach, hash_size, by=("id_key",)).withColumnsRenamed({"l_words": "small_words", "r_words": "large_words"})
-    rest = lows.join(near.select("id_key", "small_words").distinct(), ["id_key", "small_words"], "left_anti").withColumnRenamed("small_words", "l_words")
-    ordered = stands.select("id_key", F.col("large_words").alias("r_words"), F.col("largest.less").alias("less"), F.col("largest.large_path").alias("path"))
-    far = _grid(rest, ordered, ("id_key",), ("less", "path"), hash_size, k=1).withColumnsRenamed({"l_words": "small_words", "r_words": "large_words"})
-    pairs = near.unionByName(far.select("id_key", "small_words", "large_words", "hamming"))
-    return _expanded(s, pairs.join(stands, ["id_key", "large_words"]))
+    lows = s.select("id_key", F.col("small_words").alias("l_words")).distinct()
+    highs = _standing(l).select("id_key", F.col("large_words").alias("r_words"), F.col("largest.less").alias("less"), F.col("largest.large_path").alias("path"), "first_path")
+    near = _grid(lows, highs, ("id_key",), ("less", "path", "first_path"), hash_size, k=1)
+    largest = F.struct("less", F.col("path").alias("large_path")).alias("largest")
+    return _expanded(s, near.select("id_key", F.col("l_words").alias("small_words"), "first_path", largest, "hamming"))
 
 
 def best_large_near(hashed: DataFrame, small: int = 256, large: int = 256, hash_size: int = 8, threshold: int = 6) -> DataFrame:
