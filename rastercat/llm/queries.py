@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rastercat.llm import decontaminate, exact_dedup, licences, minhash, mixing, pii, quality, repeats, toxicity, url_filter
+from rastercat.llm import decontaminate, exact_dedup, licences, merkle, minhash, mixing, pii, quality, repeats, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_mix": mixing.op8_mix,
         "op9_licences": licences.op9_licences,
         "op10_quality": quality.op10_quality,
+        "op11_merkle": merkle.op11_merkle,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontaminate": decontaminate.ORACLE_SQL,
         "op6_minhash": minhash.ORACLE_SQL,
         "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op11_merkle": merkle.ORACLE_SQL,
     }
