@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rastercat.llm import decontaminate, exact_dedup, licences, merkle, minhash, mixing, pii, quality, repeats, toxicity, url_filter
+from rastercat.llm import decontaminate, exact_dedup, licences, merkle, minhash, mixing, pii, quality, repeats, toxicity, url_filter, vector_codes
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_licences": licences.op9_licences,
         "op10_quality": quality.op10_quality,
         "op11_merkle": merkle.op11_merkle,
+        "op12_vector_codes": vector_codes.op12_vector_codes,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_minhash": minhash.ORACLE_SQL,
         "op7_exact_dedup": exact_dedup.ORACLE_SQL,
         "op11_merkle": merkle.ORACLE_SQL,
+        "op12_vector_codes": vector_codes.ORACLE_SQL,
     }
