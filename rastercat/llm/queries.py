@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rastercat.llm import decontaminate, exact_dedup, licences, merkle, minhash, mixing, pii, quality, repeats, toxicity, url_filter, vector_codes
+from rastercat.llm import decontaminate, exact_dedup, licences, merkle, minhash, mixing, pii, quality, repeats, token_files, toxicity, url_filter, vector_codes
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_quality": quality.op10_quality,
         "op11_merkle": merkle.op11_merkle,
         "op12_vector_codes": vector_codes.op12_vector_codes,
+        "op13_token_files": token_files.op13_token_files,
     }
 
 

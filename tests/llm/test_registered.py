@@ -12,6 +12,7 @@ COLUMNS = {
     "op8_mix": ["doc_id", "size", "source_size", "target", "taken", "position"],
     "op9_licences": ["doc_id", "path", "own_licence", "own_score", "licence", "inherited_from"],
     "op10_quality": ["doc_id", "held_out", "score", "predicted"],
+    "op13_token_files": ["doc_id", "start", "n_tokens", "ids_crc32"],
 }
 
 
