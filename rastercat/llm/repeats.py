@@ -297,6 +297,48 @@ def _tagged(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(7), F.col("text"))})
 
 
+def _islands(ranges: DataFrame) -> DataFrame:
+    """(t1, t2, ranges): the unions of a text's ranges(t1, t2, first, end), in order, packed as start << 32 | end.
+
+    Copies of a text give equal ranges, which are combined before they move; a text's ranges are
+    merged in one pass over their order, so what is collected is as small as what is removed is whole.
+    """
+    dealt = ranges.select("t1", "t2", "first", "end").distinct().repartition("t1", "t2").sortWithinPartitions("t1", "t2", "first")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, done = None, []  # the text that goes on in the next batch, and its islands so far, the last one as far as it is seen
+
+        def made(texts: list) -> pa.RecordBatch:
+            lists = [[(a << 32) | b for a, b in islands] for _, islands in texts]
+            return pa.RecordBatch.from_arrays([pa.array([t[k] for t, _ in texts], pa.int64()) for k in (0, 1)] + [pa.array(lists, pa.list_(pa.int64()))], names=["t1", "t2", "ranges"])
+
+        for batch in batches:
+            t1, t2, first, end = (batch.column(k).to_numpy() for k in range(4))
+            cuts = [0, *(np.flatnonzero((t1[1:] != t1[:-1]) | (t2[1:] != t2[:-1])) + 1).tolist(), len(t1)]
+            closed = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                text, own, far = (int(t1[a]), int(t2[a])), first[a:b], np.maximum.accumulate(end[a:b])
+                if text != open_:
+                    if open_ is not None:
+                        closed.append((open_, done))
+                    open_, done = text, []
+                if done:
+                    far = np.maximum(far, done[-1][1])
+                fresh = np.concatenate([[not done or own[0] > done[-1][1]], own[1:] > far[:-1]])
+                starts = np.flatnonzero(fresh)
+                if not fresh[0]:
+                    done[-1] = (done[-1][0], int(far[starts[0] - 1] if len(starts) else far[-1]))
+                done += list(zip(own[starts].tolist(), far[np.append(starts[1:], len(own)) - 1].tolist(), strict=True)) if len(starts) else []
+            if closed:
+                yield made(closed)
+        if open_ is not None:
+            yield made([(open_, done)])
+
+    return dealt.mapInArrow(work, "t1 long, t2 long, ranges array<long>")
+
+
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(t1, t2, ranges), stored: byte ranges (start << 32 | end) of each text, of which every byte is in a window that also starts elsewhere."""
     texts = _tagged(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).filter(F.octet_length("text") >= window)
@@ -328,8 +370,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
     if not contexts.filter("hot").isEmpty():
         counted, more = _counted(contexts.filter("hot").dropDuplicates(["h", "t1", "t2", "place"]), window, gram)
         ranges = ranges.union(counted)
-    packed = F.shiftleft(F.col("first"), 32).bitwiseOR(F.col("end"))
-    out = stored(ranges.groupBy("t1", "t2").agg(F.collect_set(packed).alias("ranges")), "ranges")
+    out = stored(_islands(ranges), "ranges")
     dropped(rows, classes_, kinds, contexts, *more)
     return out
 

@@ -4,6 +4,8 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from rastercat.llm import repeats as op
 from tests.llm.helpers import documents, odd_rows, words
@@ -86,3 +88,27 @@ def test_colliding_anchor_hashes_are_told_apart_by_bytes():
 
 def test_empty_table(spark):
     assert op.without_repeats(documents(spark, [])).count() == 0
+
+
+def test_long_texts_of_one_byte_and_long_copies(spark):
+    """Ranges of one text are merged in linear time, whatever their number."""
+    copy = words(random.Random(5), 400_000, 10**6)
+    rows = [(1, "a" * 1_000_000), (2, copy), (3, copy + "x"), (4, "b" * 199)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in op.without_repeats(df).collect()}
+    n = len(copy)
+    assert got == {1: (1_000_000, 1_000_000, 1), 2: (n, n, 1), 3: (n + 1, n, 1), 4: (199, 0, 0)}
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 60), st.integers(1, 9)), max_size=40))
+def test_islands_equal_covered_places(spark, ranges):
+    df = spark.createDataFrame([(t, -t, a, a + n) for t, a, n in ranges] + [(9, 9, 1, 2)] * 3, "t1 long, t2 long, first long, end long")
+    got = {r["t1"]: [(x >> 32, x & 0xFFFFFFFF) for x in r["ranges"]] for r in op._islands(df).collect()}
+    for t in {t for t, *_ in ranges}:
+        covered = sorted({k for u, a, n in ranges if u == t for k in range(a, a + n)})
+        runs = [[k, k + 1] for i, k in enumerate(covered) if not i or covered[i - 1] != k - 1]
+        for run in runs:
+            while run[1] in covered:
+                run[1] += 1
+        assert got[t] == [tuple(r) for r in runs]
