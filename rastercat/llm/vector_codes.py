@@ -2,10 +2,10 @@
 
 The nearest entry of every part is exact. Lower bounds go from coarse to fine: a part and an entry are
 cut into blocks; the squared distance is at least the sum over the blocks of the squared differences
-of the block sums over the block's length, plus the squared difference of the norms of what is left when the means
-are taken off. Entries whose bound is above the exact distance to the most promising one can't be
-nearest; the rest is bounded with blocks half as long, and what survives gets exact whole distances.
-Bounds are floating point, with a margin far above their error, so the filter only ever keeps too much.
+of the block sums over the block's length, plus the squared difference of the norms of what is left when
+the means are taken off. Entries whose bound is above the exact distance to the most promising one
+can't be nearest; blocks half as long bound the rest and choose a more promising one, and what
+survives gets exact whole distances. Bounds are floating point, with a margin far above their error, so the filter only ever keeps too much.
 
 A round is one pass over the vectors: a task sums its parts by entry, and the sums of all tasks meet in
 as many rows as the codebooks have numbers. Codebooks are parts x entries x width whole numbers
@@ -34,7 +34,7 @@ from rastercat.llm.storage import dropped, stored
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 #: Vectors compared at once in a task.
-CHUNK = 4096
+CHUNK = 1024
 #: Relative margin of a bound.
 MARGIN = 1e-6
 #: Labels with more than one in so many rows are broadcast, so fewer than that.
@@ -99,20 +99,21 @@ class Entries:
         """(index, squared distance) of each row's nearest entry, the lower index of equals."""
         if not len(x) or not x.shape[1]:
             return np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
-        rows, entries = np.repeat(np.arange(len(x)), len(self.entries)), np.tile(np.arange(len(self.entries)), len(x))
-        norms, limit = (x.astype(np.float64) ** 2).sum(1), None
+        norms = (x.astype(np.float64) ** 2).sum(1)
+        margin = MARGIN * (norms + self.norms.max())
+        limit, left = np.full(len(x), np.inf), np.ones((len(x), len(self.entries)), bool)
         for block, sums, rests in self.levels:
             own, rest = _means(x, block)
-            if limit is None:  # every entry
-                least = (own**2).sum(1)[:, None] - 2 * own @ sums.T + (sums**2).sum(1) + (rest[:, None] - rests) ** 2
-                guess = least.argmin(1)
-                limit = ((x - self.entries[guess]) ** 2).sum(1)[:, None] + MARGIN * (norms[:, None] + self.norms)
-                rows, entries = np.nonzero(least <= limit)
-            else:
-                least = ((own[rows] - sums[entries]) ** 2).sum(1) + (rest[rows] - rests[entries]) ** 2
-                near = least <= limit[rows, entries]
-                rows, entries = rows[near], entries[near]
-        exact = ((x[rows] - self.entries[entries]) ** 2).sum(1)
+            least = own @ (-2 * sums.T)
+            least += (sums**2).sum(1) + rests**2
+            least -= np.outer(2 * rest, rests)
+            least += ((own**2).sum(1) + rest**2)[:, None]
+            guess = least.argmin(1)  # the most promising entry: its exact distance is the limit
+            limit = np.minimum(limit, ((x - self.entries[guess]) ** 2).sum(1) + margin)
+            left &= least <= limit[:, None]
+        rows, entries = np.nonzero(left)
+        apart = x[rows] - self.entries[entries]
+        exact = np.einsum("ij,ij->i", apart, apart)
         least = np.minimum.reduceat(exact, np.searchsorted(rows, np.arange(len(x))))
         hits = np.flatnonzero(exact == least[rows])
         first = hits[np.concatenate([[True], rows[hits][1:] != rows[hits][:-1]])]
