@@ -11,8 +11,8 @@ A file is what Spark's text sink commits: blocks as they are, each followed by a
 knows its length. So files go wherever Spark writes, and a lost executor's file is written again.
 
 A document is encoded word by word: white space never takes part in a token, so each distinct
-word is encoded once a worker and remembered; an ASCII word is cut as the tokenizer cuts it, and its
-pieces are remembered as well.
+word is encoded once a worker and remembered; a word of Latin letters is cut as the tokenizer cuts
+it, and its pieces are remembered as well.
 
 Defined cases: a null text is an empty one, which has only the end id; null ids come first; rows of one id are
 ordered by a hash of their text, and equal rows are written once each. An empty table writes files
@@ -23,6 +23,7 @@ block is as large as its last document makes it.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
 import uuid
@@ -45,13 +46,26 @@ BLOCK, STRIDE = 1 << 18, 256
 #: A pair gets a rule if it occurs so often; rounds and rules in a round at most.
 FREQUENT, ROUNDS, RULES = 8, 6, 1 << 12
 #: Words and pieces that a worker remembers, in bytes of keys and ids about; then it forgets all.
-REMEMBERED = 1 << 25
+REMEMBERED = 1 << 27
 WIDE = np.dtype("<u4")
 
 
 # --- ids -------------------------------------------------------------------------------------------------
 
-_PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Words of Latin letters that no normalisation changes but lower case; how the tokenizer cuts them when they are lower case.
+_PLAIN = re.compile(r"[\0-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]+").fullmatch
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xc0-\xd6\xd8-\xf6\xf8-\u017f]+|[0-9]|[^a-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u017f]+").findall
+
+
+class _Known(dict):
+    """Ids of words; a word that isn't known gets none and is noted."""
+
+    def __init__(self) -> None:
+        self.missed: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> bytes:
+        self.missed.append(word)
+        return b""
 
 
 class Words:
@@ -60,49 +74,62 @@ class Words:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
-        self.marks = [s.encode() for s in self.special]
-        self.mark = self.tokenizer.token_to_id(self.special[0]) if self.special else None
-        self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, bytes] = {}
-        self.size = 0
+        self.mark = self.tokenizer.token_to_id(self.special[0])
+        ending = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[k for t, k in self.tokenizer.get_vocab().items() if t.endswith(ending)]] = True
+        self.known, self.pieces, self.size = _Known(), {}, 0
 
     def encoded(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text."""
-        lists = [t.split() for t in texts]
         if self.size > REMEMBERED:
-            self.known.clear()
-            self.pieces.clear()
-            self.size = 0
-        missing = set().union(*lists).difference(self.known)
-        if missing:
-            self._learn(missing)
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, words)) for words in lists]
+            self.known, self.pieces, self.size = _Known(), {}, 0
+        out, missed, ids = [], self.known.missed, self.known.__getitem__
+        for text in texts:
+            words = text.split()
+            got = b"".join(map(ids, words))
+            if missed:
+                self._learn(set(missed))
+                missed.clear()
+                got = b"".join(map(ids, words))
+            out.append(got)
+        return out
 
     def _learn(self, words: set[bytes]) -> None:
-        plain = [w for w in words if w.isascii() and not any(m in w for m in self.marks)]
-        cut = [_PIECES.findall(w.lower()) for w in plain]
-        self._encode(self.pieces, list(set().union(*cut).difference(self.pieces)))
+        cut, rest = {}, []
+        for w in words:
+            text = w.decode()
+            if any(s in text for s in self.special):
+                self.known[w] = self._ids(text).tobytes()
+            elif _PLAIN(text):
+                cut[w] = _PIECES(text.lower())
+            else:
+                rest.append(w)
+        new = list(set().union(*cut.values()).difference(self.pieces))
+        for k in range(0, len(new), 2000):
+            self._remember(self.pieces, new[k : k + 2000], new[k : k + 2000], " ")
         ids = self.pieces.__getitem__
-        for w, p in zip(plain, cut, strict=True):
-            self.known[w] = b"".join(map(ids, p))
-        self._encode(self.known, list(words.difference(plain)))
+        for w, pieces in cut.items():
+            self.known[w] = b"".join(map(ids, pieces))
+        for k in range(0, len(rest), 2000):
+            self._remember(self.known, rest[k : k + 2000], [w.decode() for w in rest[k : k + 2000]], self.special[0])
         self.size += sum(map(len, words)) + 100 * len(words)
 
-    def _encode(self, into: dict[bytes, bytes], words: list[bytes]) -> None:
-        """Many words in one text, with a special token, which the tokenizer cuts at first, between them."""
-        odd = [w for w in words if self.mark is None or any(m in w for m in self.marks)]
-        for w in odd:
-            into[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, WIDE).tobytes()
-        rest = [w for w in words if w not in into]
-        for k in range(0, len(rest), 2000):
-            some = rest[k : k + 2000]
-            text = self.special[0].join(w.decode() for w in some)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, WIDE)
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
-            data = ids.tobytes()
-            for w, a, b in zip(some, [0, *(e + 1 for e in ends[:-1])], ends, strict=True):
-                into[w] = data[4 * a : 4 * b]
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, WIDE)
+
+    def _remember(self, into: dict, keys: list, texts: list[str], between: str) -> None:
+        """Many texts as one: pieces with a space between them, each of which ends with the only id that can end one; words with a special token, which the tokenizer cuts at first."""
+        ids = self._ids(between.join(texts))
+        if between == " ":
+            ends = np.flatnonzero(self.last[ids]) + 1
+            starts = ends[:-1]
+        else:
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            starts = ends[:-1] + 1
+        data = ids.tobytes()
+        for key, a, b in zip(keys, [0, *starts.tolist()], ends.tolist(), strict=True):
+            into[key] = data[4 * a : 4 * b]
 
 
 @functools.cache
