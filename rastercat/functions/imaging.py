@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,16 +148,19 @@ def _image(row, prefix: str = "") -> np.ndarray:
 
 
 def hash_images(images: DataFrame, hash_size: int = 8) -> DataFrame:
-    """images(rel_path, width, height, channels, data, more) to the same without pixels, with hash_size and hash_words."""
-    kept = [f for f in images.schema if f.name not in ("data", "channels")]
+    """images(rel_path, width, height, channels, data, more) to the same without pixels, with hash_size and hash_words; null where there is no data."""
+    kept = [f.name for f in images.schema if f.name not in ("data", "channels")]
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [average_hash(gray(_image(row)), hash_size) for row in batch.to_dict("records")]
-            yield batch[[f.name for f in kept]].assign(hash_size=hash_size, hash_words=words)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return images.mapInPandas(work, f"{fields}, hash_size int, hash_words array<bigint>")
+            column = {f.name: batch.column(k) for k, f in enumerate(batch.schema)}
+            shapes = zip(*(column[c].to_pylist() for c in ("height", "width", "channels")), strict=True)
+            words = [average_hash(gray(np.frombuffer(x.as_buffer(), np.uint8).reshape(shape)), hash_size) if x.is_valid else None for x, shape in zip(column["data"], shapes, strict=True)]
+            made = [pa.array([hash_size] * len(words), pa.int32()), pa.array(words, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*(column[c] for c in kept), *made], names=[*kept, "hash_size", "hash_words"])
+
+    fields = ", ".join(f"`{c}` {images.schema[c].dataType.simpleString()}" for c in kept)
+    return images.mapInArrow(work, f"{fields}, hash_size int, hash_words array<bigint>")
 
 
 def _pair_batches(pairs: DataFrame, schema: str, made: Callable[[np.ndarray, np.ndarray], dict]) -> DataFrame:

@@ -5,27 +5,19 @@ A manifest that is missing, broken or of an unknown version is an empty one.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastercat.functions import hashing, paths
+from rastercat.sources.scratch import shared_folder
 
 MIP_VERSIONS, HASH_VERSIONS = (1, 2), (1,)
 _MIP = "version int, groups map<string, struct<base: string, base_mtime_ns: bigint, base_size: bigint, mips: array<struct<path: string, mtime_ns: bigint>>>>"
 _HASH = "version int, entries map<string, struct<mtime_ns: bigint, size: bigint, hash: string, hash_size: int>>"
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, a local one for a session in one process, an error on a cluster."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-
-
 def _visible(spark: SparkSession, path: str) -> str | None:
     """A path that Spark's readers list, or None where there is none: they pass over hidden files, so a hidden one is copied, file to file."""
     hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
@@ -34,7 +26,7 @@ def _visible(spark: SparkSession, path: str) -> str | None:
         return None
     if not source.getName().startswith((".", "_")):
         return path
-    copy = hadoop.Path(_shared_folder(spark), f"manifest-{uuid.uuid4().hex}.json")
+    copy = hadoop.Path(shared_folder(spark), f"manifest-{uuid.uuid4().hex}.json")
     hadoop.FileUtil.copy(source.getFileSystem(conf), source, copy.getFileSystem(conf), copy, False, conf)
     return copy.toString()
 
