@@ -44,7 +44,7 @@ from rastercat.llm.storage import shared_folder, stored
 VOCABULARY, END = "word_bpe_49k.json", 1
 BLOCK, STRIDE = 1 << 18, 256
 #: A pair gets a rule if it occurs so often; rounds and rules in a round at most.
-FREQUENT, ROUNDS, RULES = 8, 6, 1 << 12
+FREQUENT, ROUNDS, RULES = 8, 5, 1 << 13
 #: Words and pieces that a worker remembers, in bytes of keys and ids about; then it forgets all.
 REMEMBERED = 1 << 27
 WIDE = np.dtype("<u4")
@@ -57,17 +57,6 @@ _PLAIN = re.compile(r"[\0-\x7f\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]+").ful
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xc0-\xd6\xd8-\xf6\xf8-\u017f]+|[0-9]|[^a-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u017f]+").findall
 
 
-class _Known(dict):
-    """Ids of words; a word that isn't known gets none and is noted."""
-
-    def __init__(self) -> None:
-        self.missed: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> bytes:
-        self.missed.append(word)
-        return b""
-
-
 class Words:
     """Ids of words, as bytes of 32-bit numbers, each encoded once."""
 
@@ -78,22 +67,20 @@ class Words:
         ending = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[k for t, k in self.tokenizer.get_vocab().items() if t.endswith(ending)]] = True
-        self.known, self.pieces, self.size = _Known(), {}, 0
+        self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.size = 0
 
     def encoded(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text."""
+        """The ids of each text. Of words that occur again in these texts, one is looked up among all that are known."""
         if self.size > REMEMBERED:
-            self.known, self.pieces, self.size = _Known(), {}, 0
-        out, missed, ids = [], self.known.missed, self.known.__getitem__
-        for text in texts:
-            words = text.split()
-            got = b"".join(map(ids, words))
-            if missed:
-                self._learn(set(missed))
-                missed.clear()
-                got = b"".join(map(ids, words))
-            out.append(got)
-        return out
+            self.known, self.pieces, self.size = {}, {}, 0
+        lists = [text.split() for text in texts]
+        words = set().union(*lists)
+        if missing := words.difference(self.known):
+            self._learn(missing)
+        ids = dict(zip(words, map(self.known.__getitem__, words), strict=True)).__getitem__
+        return [b"".join(map(ids, some)) for some in lists]
 
     def _learn(self, words: set[bytes]) -> None:
         cut, rest = {}, []
