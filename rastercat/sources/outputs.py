@@ -18,7 +18,9 @@ def write_matches_csv(matches: DataFrame, path: str) -> None:
 
 def planned_contents(plan: DataFrame, contents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, failed): rel_path, mtime_ns and content of each planned file from contents(rel_path, mtime_ns, content); plans without a source fail."""
-    sources = contents.select(F.col("rel_path").alias("src_path"), "mtime_ns", "content")
+    wanted = plan.select("src_path").distinct()
+    # Only contents that are planned move; where the plan is small, and Spark sends it to them, no others are dealt.
+    sources = contents.select(F.col("rel_path").alias("src_path"), "mtime_ns", "content").join(wanted, "src_path", "left_semi")
     joined = plan.join(sources, "src_path", "left")
     rows = joined.filter("content is not null").select(F.col("dst_path").alias("rel_path"), "mtime_ns", "content")
     failed = joined.filter("content is null").select(F.col("dst_path").alias("rel_path"), F.concat(F.lit("no source "), F.col("src_path")).alias("message"))

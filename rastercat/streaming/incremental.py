@@ -53,11 +53,13 @@ def stream_refresh(
 ) -> StreamingQuery:
     """``refresh`` of every micro-batch: ``contents`` adds the content of the files that a catalogue lists; snapshots hold the result.
 
-    A batch that comes again after a failure ends in the same rows. ``trigger`` as in ``stream_incremental``.
+    Mip groups and hashes go from batch to batch with mid, so only groups that changed are patched and only images
+    that changed are hashed. A batch that comes again after a failure ends in the same rows and the same state.
+    ``trigger`` as in ``stream_incremental``.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        got = refresh(contents(newest_listing(batch)), mid_root, dst_root, transform, **options)
+        got = refresh(contents(newest_listing(batch)), mid_root, dst_root, transform, batch=(checkpoint, batch_id), **options)
         if report:
             report(got, batch_id)
 

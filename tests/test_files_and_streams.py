@@ -135,7 +135,7 @@ def test_sync_to_snapshots_and_folders(spark, tmp_path):
     snapshots.apply_sync(plan.limit(1), newer, root)
     assert rows() == [("a", 2 * 10**18, 2, b"AA"), ("x/y", 10**18, 1, b"B")]
     assert len(snapshots.versions(spark, root)) == 3
-    (tmp_path / "table/versions/half").mkdir()  # a run that was stopped before its version was logged
+    (tmp_path / "table/data/half").mkdir()  # a run that was stopped before its version was logged
     snapshots.drop_old_versions(spark, root, keep=1)
     assert len(snapshots.versions(spark, root)) == 1 and rows()[0][3] == b"AA"
     failed = outputs.apply_sync_to_folder(plan, contents, str(tmp_path / "files"))
