@@ -63,6 +63,7 @@ class Words:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
+        self.marked = re.compile("|".join(map(re.escape, self.special))).search
         self.mark = self.tokenizer.token_to_id(self.special[0])
         ending = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -72,21 +73,28 @@ class Words:
         self.size = 0
 
     def encoded(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text. Of words that occur again in these texts, one is looked up among all that are known."""
+        """The ids of each text."""
         if self.size > REMEMBERED:
             self.known, self.pieces, self.size = {}, {}, 0
-        lists = [text.split() for text in texts]
-        words = set().union(*lists)
-        if missing := words.difference(self.known):
+        found, missing, get = [], set(), self.known.get
+        for text in texts:
+            words = text.split()
+            ids = list(map(get, words))
+            holes = {k: words[k] for k, x in enumerate(ids) if x is None}
+            missing.update(holes.values())
+            found.append((ids, holes))
+        if missing:
             self._learn(missing)
-        ids = dict(zip(words, map(self.known.__getitem__, words), strict=True)).__getitem__
-        return [b"".join(map(ids, some)) for some in lists]
+        for ids, holes in found:
+            for k, word in holes.items():
+                ids[k] = self.known[word]
+        return [b"".join(ids) for ids, _ in found]
 
     def _learn(self, words: set[bytes]) -> None:
         cut, rest = {}, []
         for w in words:
             text = w.decode()
-            if any(s in text for s in self.special):
+            if self.marked(text):
                 self.known[w] = self._ids(text).tobytes()
             elif _PLAIN(text):
                 cut[w] = _PIECES(text.lower())
