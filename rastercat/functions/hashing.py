@@ -76,3 +76,19 @@ def _bit_range(words: Column, start: int, end: int) -> Column:
         low, high = max(start, w * WORD) - w * WORD, min(end, (w + 1) * WORD) - w * WORD
         parts.append(F.shiftright(words[w], low).bitwiseAND(F.lit((1 << (high - low)) - 1)).cast("string"))
     return F.concat_ws(".", *parts)
+
+
+def band_numbers(words: Column, many: int, hash_size: int = 8) -> list[tuple[Column, int]]:
+    """``many`` bands of the bits as numbers, each with its width, which is 62 at most."""
+    bits = hash_size * hash_size
+    cuts = [bits * k // many for k in range(many + 1)]
+    return [(_number(words, a, b), b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _number(words: Column, start: int, end: int) -> Column:
+    total = F.lit(0).cast("bigint")
+    for w in range(start // WORD, (end - 1) // WORD + 1):
+        low, high = max(start, w * WORD) - w * WORD, min(end, (w + 1) * WORD) - w * WORD
+        part = F.shiftright(words[w], low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("bigint"))
+        total = total.bitwiseOR(F.shiftleft(part, w * WORD + low - start))
+    return total

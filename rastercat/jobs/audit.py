@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from rastercat.functions import hashing, imaging
-from rastercat.operators import report, similarity
+from rastercat.operators import report, similarity, verify
 from rastercat.sources import catalog
 
 
@@ -40,7 +40,7 @@ def audit_similar(
     matches = found
     if images is not None:
         columns = found.columns
-        matches = similarity.within_diff(imaging.diff_pairs(similarity.with_pixels(found.drop("diff"), images)), diff_limit).select(*columns)
+        matches = similarity.within_diff(verify.measured(found.drop("diff"), images), diff_limit).select(*columns)
     top = None
     if top_k:
         top = similarity.top_k_high(hashed, top_k, base_size, hash_size, limit)
@@ -48,7 +48,7 @@ def audit_similar(
             lost = found.select("low_path").join(matches.select("low_path"), "low_path", "left_anti")
             top = top.join(lost, "low_path", "left_anti")
         if images is not None:
-            measured = imaging.diff_pairs(similarity.with_pixels(top, images)).select("low_path", "high_path", "diff")
+            measured = verify.measured(top.select("low_path", "high_path"), images)
             top = top.join(measured, ["low_path", "high_path"], "left")
     return Audit(matches, top, report.gallery_index(matches), similarity.match_bands(matches), report.audit_summary(hashed, matches, base_size))
 

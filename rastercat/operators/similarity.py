@@ -7,17 +7,24 @@ to distinct hashes first and expanded after the join.
 
 from __future__ import annotations
 
+import itertools
+import math
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rastercat.functions import hashing, paths
+from rastercat.sources.scratch import stored
 
 #: Narrower bands let nearly everything through; then distinct hashes are compared in a grid of blocks.
 LEAST_BAND_BITS = 6
 #: Hashes on either side of a block, about.
 BLOCK = 20_000
+#: Ways to turn bits of a band in one step at most.
+MASKS = 2000
 
 
 def with_dims(df: DataFrame) -> DataFrame:
@@ -86,7 +93,8 @@ def _grid(left: DataFrame, right: DataFrame, by: tuple[str, ...], order: tuple[s
     many = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
     if by:
         sizes = left.groupBy(*by).agg(F.count("*").alias("l")).join(right.groupBy(*by).agg(F.count("*").alias("r")), list(by))
-        grid = sizes.select(*by, many(F.col("l")).alias("__rows"), many(F.col("r")).alias("__columns"))
+        # Stored, so that the joins below are plain ones, whose large keys adaptive execution can split.
+        grid = stored(sizes.select(*by, many(F.col("l")).alias("__rows"), many(F.col("r")).alias("__columns")), "grid")
         left, right = (side.join(grid, list(by)) for side in (left, right))
     else:
         shape = {"__rows": many(F.lit(left.count())), "__columns": many(F.lit(right.count()))}
@@ -123,6 +131,53 @@ def _grid(left: DataFrame, right: DataFrame, by: tuple[str, ...], order: tuple[s
     return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(compared, schema)
 
 
+# --- nearest, exactly --------------------------------------------------------------------------------
+
+
+def nearest(left: DataFrame, right: DataFrame, by: tuple[str, ...], order: tuple[str, ...], hash_size: int, k: int, block: int = BLOCK) -> DataFrame:
+    """(*by, l_words, r_words, *order, hamming): the k least right(*by, r_words, *order) rows of each left(*by, l_words) row, by (hamming, *order), whatever the distance.
+
+    Bits are cut into bands about as wide as the number of right hashes needs. Two hashes that differ in fewer than
+    bands * (s + 1) bits differ in s bits at most of one band. So step s joins on bands with exactly s bits turned, the least k
+    so far are kept, and a left hash whose k-th is that near is done: later steps see only what is left. Where turning more bits
+    would cost as much as comparing, the rest goes to a grid of blocks; so do sides that are one block.
+    """
+    left, right = stored(left, "nearest-left"), stored(right, "nearest-right")
+    n_left, n_right = left.count(), right.count()
+    if n_left * n_right <= block * block or not n_left * n_right:
+        return _least(_grid(left, right, by, order, hash_size, k=k, block=block), by, order, k)
+    bits = hash_size * hash_size
+    bands = max(1, bits // max(LEAST_BAND_BITS, min(31, math.ceil(math.log2(n_right)))))
+    cut = hashing.band_numbers(F.col("r_words"), bands, hash_size)
+    entries = F.array(*(value for value, _ in cut))
+    sides = right.select(*by, "r_words", *order, F.posexplode(entries).alias("__band", "__value"))
+    crowd = max(1.0, n_right / 2 ** min(width for _, width in cut))
+    best, waiting, done = None, left, []
+    for turned in range(bits + 1):
+        masks = [[sum(1 << i for i in some) for some in itertools.combinations(range(width), turned)] for _, width in cut if math.comb(width, turned) <= MASKS]
+        if len(masks) < bands or 4 * sum(map(len, masks)) * crowd > n_right:
+            break
+        values = [value for value, _ in hashing.band_numbers(F.col("l_words"), bands, hash_size)]
+        probes = F.array(*(F.array(*(value.bitwiseXOR(F.lit(m).cast("bigint")) for m in own)) for value, own in zip(values, masks, strict=True)))
+        asked = waiting.select(*by, "l_words", F.posexplode(probes).alias("__band", "__some")).select(*by, "l_words", "__band", F.explode("__some").alias("__value"))
+        met = asked.join(sides, [*by, "__band", "__value"]).select(*by, "l_words", "r_words", *order, hashing.hamming(F.col("l_words"), F.col("r_words"), hash_size).alias("hamming"))
+        met = met.distinct() if best is None else met.unionByName(best).distinct()
+        best = stored(_least(met, by, order, k), "nearest")
+        proved = bands * (turned + 1) - 1
+        near = best.filter(F.col("hamming") <= proved).groupBy(*by, "l_words").count().filter(F.col("count") >= k).select(*by, "l_words")
+        done.append(best.join(near, [*by, "l_words"], "left_semi"))
+        waiting = stored(waiting.join(near, [*by, "l_words"], "left_anti"), "nearest-waiting")
+        best = best.join(near, [*by, "l_words"], "left_anti")
+        if waiting.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+    return reduce(DataFrame.unionByName, done, _least(_grid(waiting, right, by, order, hash_size, k=k, block=block), by, order, k))
+
+
+def _least(pairs: DataFrame, by: tuple[str, ...], order: tuple[str, ...], k: int) -> DataFrame:
+    first = Window.partitionBy(*by, "l_words").orderBy("hamming", *order, "r_words")
+    return pairs.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= k).drop("__n").select(*by, "l_words", "r_words", *order, "hamming")
+
+
 # --- within ID groups ----------------------------------------------------------------------------------
 
 
@@ -167,7 +222,7 @@ def best_large_of_distinct(hashed: DataFrame, small: int = 256, large: int = 256
     s, l = _sides(hashed, small, large)
     lows = s.select("id_key", F.col("small_words").alias("l_words")).distinct()
     highs = _standing(l).select("id_key", F.col("large_words").alias("r_words"), F.col("largest.less").alias("less"), F.col("largest.large_path").alias("path"), "first_path")
-    near = _grid(lows, highs, ("id_key",), ("less", "path", "first_path"), hash_size, k=1)
+    near = nearest(lows, highs, ("id_key",), ("less", "path", "first_path"), hash_size, 1)
     largest = F.struct("less", F.col("path").alias("large_path")).alias("largest")
     return _expanded(s, near.select("id_key", F.col("l_words").alias("small_words"), "first_path", largest, "hamming"))
 
@@ -211,19 +266,19 @@ def nearest_high(hashed: DataFrame, base_size: int = 1024, threshold: int = 6, h
     """Match rows: per low the closest high, if within the threshold; ties go to the larger, then by name.
 
     The best within the threshold is the best of all whenever that is a match, so bands find the same.
-    Beyond the reach of bands, lows without a match are compared in blocks that keep each one's best.
+    Beyond the reach of bands each low's best is searched with a growing radius.
     """
     lows, highs = _low_high(hashed, base_size, limit)
     stands = highs.groupBy("high_words").agg(F.min(F.struct((-F.col("high_dim")).alias("less"), "high_name", "high_path", "high_w", "high_h")).alias("high"))
     hashing.check_threshold(threshold, hash_size)
     bits = hash_size * hash_size
-    own, highs_ = lows.select(F.col("low_words").alias("hash_words")).distinct(), stands.select(F.col("high_words").alias("hash_words"))
-    near = hamming_join(own, highs_, min(threshold, bits // LEAST_BAND_BITS - 1), hash_size)
-    if bits // (threshold + 1) < LEAST_BAND_BITS:
-        rest = own.withColumnRenamed("hash_words", "l_words").join(near.select("l_words").distinct(), "l_words", "left_anti")
+    own = lows.select(F.col("low_words").alias("hash_words")).distinct()
+    if bits // (threshold + 1) >= LEAST_BAND_BITS:
+        near = hamming_join(own, stands.select(F.col("high_words").alias("hash_words")), threshold, hash_size)
+    else:
         order = stands.select(F.col("high_words").alias("r_words"), F.col("high.less").alias("less"), F.col("high.high_name").alias("name"), F.col("high.high_path").alias("path"))
-        far = _grid(rest, order, (), ("less", "name", "path"), hash_size, k=1).filter(F.col("hamming") <= threshold)
-        near = near.unionByName(far.select("l_words", "r_words", "hamming"))
+        near = nearest(own.withColumnRenamed("hash_words", "l_words"), order, (), ("less", "name", "path"), hash_size, 1).filter(F.col("hamming") <= threshold)
+        near = near.select("l_words", "r_words", "hamming")
     ranked = near.join(stands, near["r_words"] == stands["high_words"]).groupBy("l_words").agg(F.min(F.struct("hamming", "high")).alias("best"))
     return lows.join(ranked, F.col("low_words") == F.col("l_words")).select(
         "low_path", "low_name", "low_w", "low_h",
@@ -236,8 +291,7 @@ def nearest_high(hashed: DataFrame, base_size: int = 1024, threshold: int = 6, h
 def top_k_high(hashed: DataFrame, k: int, base_size: int = 1024, hash_size: int = 8, limit: int | None = None, block: int = BLOCK) -> DataFrame:
     """Per low its k closest highs by (distance, name), whatever the distance: low_path, rank, high_path, hamming.
 
-    Of equal hashes only k highs can be among them. Distinct hashes of lows are compared with highs in
-    a grid of blocks that keep k each; the rest is one small window.
+    Of equal hashes only k highs can be among them; those are searched for distinct hashes of lows, with a growing radius.
     """
     if k < 0:
         raise ValueError("k must not be negative")
@@ -248,9 +302,9 @@ def top_k_high(hashed: DataFrame, k: int, base_size: int = 1024, hash_size: int
     rows = highs.select(F.col("high_words").alias("r_words"), "high_name", (-F.col("high_dim")).alias("less"), "high_path")
     first = Window.partitionBy("r_words").orderBy(*order)
     rows = rows.withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= k).drop("__n")
-    found = _grid(lows.select(F.col("low_words").alias("l_words")).distinct(), rows, (), order, hash_size, k=k, block=block)
+    found = nearest(lows.select(F.col("low_words").alias("l_words")).distinct(), rows, (), order, hash_size, k, block)
     best = Window.partitionBy("l_words").orderBy("hamming", *order)
-    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(best))
     return lows.join(ranked, F.col("low_words") == F.col("l_words")).select("low_path", "rank", "high_path", "hamming")
 
 

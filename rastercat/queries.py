@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rastercat import fixtures as fx
-from rastercat.functions import hashing, imaging, paths
+from rastercat.functions import hashing, imaging, paths, resample
 from rastercat.jobs.audit import audit_similar
 from rastercat.jobs.consolidate import consolidate_variants
 from rastercat.jobs.incremental import run_incremental
@@ -380,6 +380,54 @@ def a5_replacement_summary(spark, d):
     return replace.replacement_summary(replace.id_replace_plan(fx.hashed(spark, d)))
 
 
+# --- resampling -------------------------------------------------------------------------------------------------
+
+#: Fixed-point weights of a line of n pixels for one of m, as a filter of the given reach has them.
+_WEIGHTS = """
+{name}_raw AS (SELECT i, x, {kernel} AS w FROM (SELECT i, x, abs((x - (i + 0.5) * {scale} + 0.5) / greatest({scale}, 1.0)) AS a FROM (
+  SELECT i, unnest(range(greatest(0, CAST(trunc((i + 0.5) * {scale} - {reach} * greatest({scale}, 1.0) + 0.5) AS INT)), least({size}, CAST(trunc((i + 0.5) * {scale} + {reach} * greatest({scale}, 1.0) + 0.5) AS INT)))) AS x
+  FROM (SELECT unnest(range({to})) AS i)))),
+{name} AS (SELECT i, x, CAST(trunc(w / t * 4194304.0 + CASE WHEN w / t < 0 THEN -0.5 ELSE 0.5 END) AS BIGINT) AS w FROM {name}_raw JOIN (SELECT i, sum(w) AS t FROM {name}_raw GROUP BY i) USING (i))"""
+_LANCZOS = "CASE WHEN a = 0 THEN 1.0 WHEN a < 3 THEN sin(pi() * a) / (pi() * a) * (sin(pi() * a / 3) / (pi() * a / 3)) ELSE 0.0 END"
+_BICUBIC = "CASE WHEN a < 1 THEN (1.5 * a - 2.5) * a * a + 1 WHEN a < 2 THEN (((a - 5) * a + 8) * a - 4) * -0.5 ELSE 0.0 END"
+_RESIZED = """
+across AS (SELECT tex_id, channel, y, i AS x, greatest(0, least(255, (CAST(sum(v * w) AS BIGINT) + 2097152) >> 22)) AS v FROM source JOIN across_w USING (x) GROUP BY tex_id, channel, y, i),
+down AS (SELECT tex_id, channel, i AS y, across.x, greatest(0, least(255, (CAST(sum(v * w) AS BIGINT) + 2097152) >> 22)) AS v FROM across JOIN down_w ON down_w.x = across.y GROUP BY tex_id, channel, i, across.x)
+SELECT tex_id, {channel}string_agg(v, ',' ORDER BY y, x) AS pixels FROM down GROUP BY tex_id, channel"""
+
+
+def _resize_sql(planes, width, height, kind, channel):
+    kernel, reach = (_LANCZOS, 3) if kind == "lanczos" else (_BICUBIC, 2)
+    weights = [_WEIGHTS.format(name=n, kernel=kernel, reach=reach, size=8, to=to, scale=f"(8 / {to}.0)") for n, to in (("across_w", width), ("down_w", height))]
+    source = " UNION ALL ".join(f"SELECT tex_id, '{c}' AS channel, (k - 1) // 8 AS y, (k - 1) % 8 AS x, {value} AS v FROM textures, (SELECT unnest(range(1, 65)) AS k)" for c, value in planes.items())
+    return _RESIZED.format(channel=channel), (fx.TEXTURES, f"source AS ({source})", *weights)
+
+
+def _resized(spark, d, planes, width, height, kind):
+    rows = resample.pixels_of(fx.textures(spark, d).select("tex_id", "px"), planes, F.lit(8), F.lit(8), ("tex_id",))
+    made = resample.plane(resample.resized(rows, width, height, kind, ("tex_id", "channel")), ("tex_id", "channel"))
+    return made.select("tex_id", "channel", F.array_join(F.transform("pixels", lambda v: v.cast("string")), ",").alias("pixels"))
+
+
+_GRAY_SQL, _GRAY_CTES = _resize_sql({"gray": "px[k]"}, 5, 5, "lanczos", "")
+
+
+@_query("i2_resize_gray", _GRAY_SQL, *_GRAY_CTES)
+def i2_resize_gray(spark, d):
+    """Gray planes in the size of a 25-bit hash."""
+    return _resized(spark, d, {"gray": F.col("px")}, 5, 5, "lanczos").drop("channel")
+
+
+_RGB_SQL, _RGB_CTES = _resize_sql({"red": "px[k]", "green": "255 - px[k]", "blue": "px[65 - k]"}, 11, 6, "bicubic", "channel, ")
+
+
+@_query("i6_resize_rgb", _RGB_SQL, *_RGB_CTES)
+def i6_resize_rgb(spark, d):
+    """Three channels, wider and lower than they were."""
+    planes = {"red": F.col("px"), "green": F.transform("px", lambda p: 255 - p), "blue": F.reverse("px")}
+    return _resized(spark, d, planes, 11, 6, "bicubic")
+
+
 # --- hash reuse -------------------------------------------------------------------------------------------------
 
 @_query("j5_reuse_hashes", f"SELECT rel_path, {fx.HEX} AS hash, {_REUSED} AS reused FROM hashed", fx.TEXTURES)
