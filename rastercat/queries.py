@@ -392,7 +392,8 @@ _LANCZOS = "CASE WHEN a = 0 THEN 1.0 WHEN a < 3 THEN sin(pi() * a) / (pi() * a)
 _BICUBIC = "CASE WHEN a < 1 THEN (1.5 * a - 2.5) * a * a + 1 WHEN a < 2 THEN (((a - 5) * a + 8) * a - 4) * -0.5 ELSE 0.0 END"
 _RESIZED = """
 across AS (SELECT tex_id, channel, y, i AS x, greatest(0, least(255, (CAST(sum(v * w) AS BIGINT) + 2097152) >> 22)) AS v FROM source JOIN across_w USING (x) GROUP BY tex_id, channel, y, i),
-down AS (SELECT tex_id, channel, i AS y, across.x, greatest(0, least(255, (CAST(sum(v * w) AS BIGINT) + 2097152) >> 22)) AS v FROM across JOIN down_w ON down_w.x = across.y GROUP BY tex_id, channel, i, across.x)
+down AS (SELECT tex_id, channel, i AS y, across.x, greatest(0, least(255, (CAST(sum(v * w) AS BIGINT) + 2097152) >> 22)) AS v FROM across JOIN down_w ON down_w.x = across.y GROUP BY tex_id, channel, i, across.x)"""
+_PLANES = """
 SELECT tex_id, {channel}string_agg(v, ',' ORDER BY y, x) AS pixels FROM down GROUP BY tex_id, channel"""
 
 
@@ -400,7 +401,7 @@ def _resize_sql(planes, width, height, kind, channel):
     kernel, reach = (_LANCZOS, 3) if kind == "lanczos" else (_BICUBIC, 2)
     weights = [_WEIGHTS.format(name=n, kernel=kernel, reach=reach, size=8, to=to, scale=f"(8 / {to}.0)") for n, to in (("across_w", width), ("down_w", height))]
     source = " UNION ALL ".join(f"SELECT tex_id, '{c}' AS channel, (k - 1) // 8 AS y, (k - 1) % 8 AS x, {value} AS v FROM textures, (SELECT unnest(range(1, 65)) AS k)" for c, value in planes.items())
-    return _RESIZED.format(channel=channel), (fx.TEXTURES, f"source AS ({source})", *weights)
+    return _PLANES.format(channel=channel), (fx.TEXTURES, f"source AS ({source})", *weights, _RESIZED)
 
 
 def _resized(spark, d, planes, width, height, kind):

@@ -18,6 +18,11 @@ from rastercat.sources import catalog, manifests, outputs, snapshots
 from rastercat.streaming.incremental import LISTING, stream_incremental, stream_refresh
 
 
+@pytest.fixture(autouse=True)
+def few_buckets(monkeypatch):
+    monkeypatch.setattr(snapshots, "BUCKETS", 4)
+
+
 def png(width, height, pixels, kind):
     """kind: 0 gray, 2 RGB, 4 gray and alpha, 6 RGBA."""
     channels = {0: 1, 2: 3, 4: 2, 6: 4}[kind]
