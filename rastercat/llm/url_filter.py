@@ -6,9 +6,9 @@ be split. Viterbi splits the letter runs of host labels and path parts ('cheappi
 likely words; multinomial naive Bayes, trained on the pages that a rule judges, scores the words of
 the others.
 
-Both models are whole and stay tables: every word and every token counts, whatever its rank. The
-substrings of each distinct run of letters are joined with the words' counts, so a run's row carries
-the words that it needs; the odds of tokens are summed by part (a run in its place) and joined to
+Both models are whole and stay tables: every word and every token counts, whatever its rank and length. The
+substrings of each distinct run of letters that have the length of a word, and that a filter of the
+lexicon lets through, are joined with the words' counts, so a run's row carries the words that it needs; the odds of tokens are summed by part (a run in its place) and joined to
 pages by part. Keys that are frequent on the larger side of a join - the first ``HOT`` - are joined
 by a broadcast, all others by a shuffle; the results are the same for every ``HOT``. A run of any
 length is split whole. Rules are a small table, joined by each of a host's parent domains that is as
@@ -27,18 +27,22 @@ import itertools
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rastercat.llm.exact_dedup import BinaryFuse, build_filters
 from rastercat.llm.storage import stored
 
 #: Frequent keys that a join broadcasts; the others are joined by a shuffle.
 HOT = 50_000
-LONGEST_WORD = 24
 #: Rows of substrings in a batch, about.
 BATCH = 50_000
+#: Words of a lexicon that a filter of 1.2 bytes each is made for, which tasks hold; of a larger one all substrings are joined.
+SCREENED = 1 << 21
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: What a page does not show, and names that are no words; each alternative is entered once and runs in linear time.
@@ -81,17 +85,25 @@ class Segmenter:
     def __init__(self, counts: dict[str, int], total: int | None = None):
         self.total = (sum(counts.values()) if total is None else total) + 1
         self.cost = {w: math.log(self.total / n) for w, n in counts.items()}
+        self.lengths = sorted(set(map(len, counts)))
         self.split = functools.lru_cache(1 << 16)(self._split)
 
     def _split(self, run: str) -> tuple[str, ...]:
-        unknown = math.log(self.total)
-        best = [(0.0, 0)]
+        """Known words of any length, and between them unknown ones, which cost as much as a word that never occurs and more for each letter.
+
+        The best start of an unknown word that ends here is the best one for every end, so one is kept.
+        """
+        unknown, letter = math.log(self.total), 2.3
+        best, free = [(0.0, 0)], (0.0, 0)
         for end in range(1, len(run) + 1):
-            options = []
-            for start in range(max(0, end - LONGEST_WORD), end):
-                word = run[start:end]
-                options.append((best[start][0] + self.cost.get(word, unknown + 2.3 * len(word)), start))
-            best.append(min(options))
+            option = (free[0] + unknown + letter * end, free[1])
+            for n in self.lengths:
+                if n > end:
+                    break
+                if (cost := self.cost.get(run[end - n : end])) is not None:
+                    option = min(option, (best[end - n][0] + cost, end - n))
+            best.append(option)
+            free = min(free, (option[0] - letter * end, end))
         words, end = [], len(run)
         while end:
             words.append(run[best[end][1] : end])
@@ -118,11 +130,12 @@ def with_parts(rows: DataFrame) -> DataFrame:
     return rows.withColumn("parts", F.concat(named("h"), named("p"))).drop("__h", "__p")
 
 
-def substrings(run: str) -> Iterator[str]:
-    """Every part of a run that can be a word; one that is repeated may come again."""
-    for first in range(0, len(run), BATCH // LONGEST_WORD):
-        starts = range(first, min(first + BATCH // LONGEST_WORD, len(run)))
-        yield from {run[i : i + k] for i in starts for k in range(2, min(LONGEST_WORD, len(run) - i) + 1)}
+def substrings(run: str, lengths: list[int]) -> Iterator[str]:
+    """Every part of a run that has the length of a word; one that is repeated may come again."""
+    step = max(1, BATCH // max(1, len(lengths)))
+    for first in range(0, len(run), step):
+        starts = range(first, min(first + step, len(run)))
+        yield from {run[i : i + k] for i in starts for k in lengths if i + k <= len(run)}
 
 
 def visible(html: Column) -> Column:
@@ -134,7 +147,7 @@ def visible(html: Column) -> Column:
 def lexicon(pages: DataFrame) -> DataFrame:
     """word, n: every word of all pages' visible text with its count."""
     words = pages.select(F.explode(F.split(F.translate(visible(F.col("html")), UPPER, LOWER), r"[^\p{L}]+")).alias("word"))
-    return stored(words.filter(F.length("word").between(2, LONGEST_WORD)).groupBy("word").agg(F.count("*").alias("n")), "lexicon")
+    return stored(words.filter(F.length("word") >= 2).groupBy("word").agg(F.count("*").alias("n")), "lexicon")
 
 
 def looked_up(many: DataFrame, table: DataFrame, key: str, hot: int) -> DataFrame:
@@ -145,16 +158,35 @@ def looked_up(many: DataFrame, table: DataFrame, key: str, hot: int) -> DataFram
     return many.join(F.broadcast(few), key).unionByName(rest)
 
 
+def _screen(words: DataFrame) -> tuple | None:
+    """A binary-fuse filter of the words, which lets few other substrings through; None if there are too many words to hold one, or none."""
+    n = words.count()
+    if not 0 < n <= SCREENED:
+        return None
+    made = build_filters(words.select(F.xxhash64("word").alias("key")), 1).first()
+    return made["seed"], made["segment"], made["segments"], bytes(made["prints"])
+
+
 def splits(runs: DataFrame, words: DataFrame, hot: int = HOT) -> DataFrame:
     """run, words of each row of runs(run_id, run), split by the counts of words(word, n)."""
 
+    longest = runs.agg(F.max(F.length("run"))).first()[0] or 0
+    fitting = words.filter(F.length("word") <= longest)
+    lengths = sorted(r[0] for r in fitting.select(F.length("word")).distinct().collect())  # no more than the longest run has letters
+    screen = _screen(fitting)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = ((i, w) for batch in batches for i, run in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in substrings(run))
+        has = screen and BinaryFuse(*screen[:3], np.frombuffer(screen[3], np.uint8)).has
+        pairs = ((i, w) for batch in batches for i, run in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in substrings(run, lengths))
         while some := list(itertools.islice(pairs, BATCH)):
+            if has:
+                keys = np.array([xxhash.xxh64_intdigest(w, 42) for _, w in some], np.uint64)
+                some = [x for x, hit in zip(some, has(keys).tolist(), strict=True) if hit]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.string())], names=["run_id", "word"])
 
     total = words.agg(F.sum("n")).first()[0] or 0
-    known = looked_up(runs.select("run_id", "run").mapInArrow(cut, "run_id long, word string"), words, "word", hot)
+    many = stored(runs.select("run_id", "run").mapInArrow(cut, "run_id long, word string"), "substrings")
+    known = looked_up(many, fitting, "word", hot)
     known = known.groupBy("run_id").agg(F.collect_set(F.struct("word", "n")).alias("counts"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -93,7 +93,7 @@ def test_lexicon_of_the_tables(spark):
 def brute(rows, got):
     """Scores of judged rows by whole counts of words and tokens, in plain Python."""
     shown = re.compile(r"<[^<>]*>|&[a-z]+;|\w+(?:\.\w+)+")
-    counts = Counter(w for _, _, html in rows for w in re.split(r"[^a-zé]+", shown.sub(" ", html or "").lower()) if 2 <= len(w) <= 24)
+    counts = Counter(w for _, _, html in rows for w in re.split(r"[^a-zé]+", shown.sub(" ", html or "").lower()) if len(w) >= 2)
     segmenter, rules = url_filter.Segmenter(counts), dict(url_filter.RULES)
     pages, tokens = Counter(), {"allow": Counter(), "block": Counter()}
     for r in got:
@@ -126,7 +126,28 @@ def test_scores_equal_brute_force(spark, hot):
 def test_long_runs_are_split_whole():
     s = url_filter.Segmenter({"cheap": 50, "pills": 40})
     assert s.split("cheappills" * 100) == ("cheap", "pills") * 100
-    assert set(url_filter.substrings("abc" * 3000)) == {("abc" * 10)[i : i + k] for i in range(3) for k in range(2, 25)}
+    assert set(url_filter.substrings("abc" * 3000, list(range(2, 25)))) == {("abc" * 10)[i : i + k] for i in range(3) for k in range(2, 25)}
+    assert list(url_filter.substrings("abc", [2, 5])) in (["ab", "bc"], ["bc", "ab"]) and not list(url_filter.substrings("abc", []))
+    long = "rindfleischetikettierungsueberwachungsaufgabe"
+    s = url_filter.Segmenter({"cheap": 50, long: 2})
+    assert s.split("cheap" + long + "cheap") == ("cheap", long, "cheap") and s.split("q" * 100 + "cheap") == ("q" * 100, "cheap")
+
+
+@pytest.mark.parametrize("screened", [0, 1 << 21])
+def test_long_words_of_the_lexicon_are_found(spark, monkeypatch, screened):
+    """With a filter of the lexicon and without one."""
+    monkeypatch.setattr(url_filter, "SCREENED", screened)
+    long = "rindfleischetikettierungsueberwachungsaufgabe"
+    words = spark.createDataFrame([("cheap", 50), ("pills", 40), (long, 2), ("x" * 300, 1)], "word string, n long")
+    runs = [f"cheap{long}pills", "pills", "q", long * 3, "cheappills" * 50]
+    got = {r["run"]: tuple(r["words"]) for r in url_filter.splits(spark.createDataFrame(list(enumerate(runs)), "run_id long, run string"), words).collect()}
+    whole = url_filter.Segmenter({"cheap": 50, "pills": 40, long: 2, "x" * 300: 1})
+    assert got == {run: whole.split(run) for run in runs} and got[runs[0]] == ("cheap", long, "pills")
+
+
+def test_splits_without_words(spark):
+    none = spark.createDataFrame([], "word string, n long")
+    assert [tuple(r["words"]) for r in url_filter.splits(spark.createDataFrame([(1, "abc")], "run_id long, run string"), none).collect()] == [("abc",)]
 
 
 def test_no_pages(spark):
