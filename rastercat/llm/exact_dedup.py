@@ -6,6 +6,8 @@ themselves; one digest of each group is screened by the filter of its shard. Wha
 through, and every digest with several rows, goes to the exact bucket of its digest, where whole
 texts are compared. So a filter's false positive costs one comparison and changes nothing.
 
+``build_snapshot`` keeps filters and buckets with a snapshot, and ``screen_batch`` reads them for each batch that comes.
+
 Defined cases: a null text counts as empty and all empty texts are equal; a null doc_id is an id
 that sorts last; rows with equal doc_id and text are all ``kept`` by ``duplicate_groups`` if they
 are the row that stays (they can't be told apart), and ``deduplicated`` returns one of them. Empty
@@ -214,6 +216,57 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     return left.select(*(column(c) for c in docs.columns))
 
 
+# --- snapshots that stay -----------------------------------------------------------------------------
+
+#: Buckets of a snapshot that is written.
+BUCKETS = 256
+
+
+def _distinct(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """digest, norm, n and best of each distinct normalised text."""
+    text = normalised(F.col("text"))
+    rows = docs.select("doc_id", text.alias("norm"), digest(text).alias("digest"), F.length(F.coalesce("text", F.lit(""))).alias("n_points"))
+    same = rows.groupBy("digest", "norm", "doc_id").agg(F.count("*").alias("n_same"), F.max("n_points").alias("n_points"))
+    return same.groupBy("digest", "norm").agg(F.sum("n_same").alias("n"), _best().alias("best"))
+
+
+def build_snapshot(docs: DataFrame, path: str, digest: Callable[[Column], Column] = sha256, buckets: int = BUCKETS, shard: int = SHARD) -> None:
+    """Write docs(doc_id, text) as an immutable snapshot below path, which must not exist: its filters, and its distinct texts in exact buckets by digest."""
+    rows = _distinct(docs, digest).withColumn("key", F.xxhash64("digest"))
+    placed = rows.withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int")).select("key", "digest", "norm", F.col("best.doc_id").alias("doc_id"), "bucket")
+    placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(f"{path}/buckets")
+    keys = docs.sparkSession.read.schema(placed.schema).parquet(f"{path}/buckets").select("key")
+    shards = max(1, math.ceil(keys.count() / shard))
+    build_filters(keys, shards).withColumns({"shards": F.lit(shards), "buckets": F.lit(buckets)}).write.parquet(f"{path}/filters")
+
+
+def screen_batch(batch: DataFrame, path: str, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """One row for each row of batch(doc_id, text) against the snapshot at path: doc_id, keep_id, group_size, kept, in_snapshot.
+
+    A text of the snapshot is not kept, and keep_id is the snapshot's row; of equal new texts the best one stays.
+    group_size counts the batch's rows. The batch reads the snapshot's filters; of its buckets only those of
+    digests that a filter lets through are opened, and there texts are compared byte by byte.
+    """
+    spark = batch.sparkSession
+    filters = spark.read.parquet(f"{path}/filters")
+    groups = stored(_distinct(batch, digest).withColumn("key", F.xxhash64("digest")), "batch-groups")
+    hits = groups.limit(0).select("key")
+    there = filters.select("shards", "buckets").first()  # none of a snapshot without rows
+    if there:
+        hits = stored(screened(groups.select("key").distinct(), filters.drop("shards", "buckets"), there["shards"]), "batch-hits")
+    wanted = [r[0] for r in hits.select(F.pmod("key", F.lit(there["buckets"])).cast("int")).distinct().collect()] if there else []  # as many as there are buckets
+    known = spark.createDataFrame([], f"digest binary, norm string, doc_id {batch.schema['doc_id'].dataType.simpleString()}")
+    if wanted:
+        rows = spark.read.parquet(f"{path}/buckets").filter(F.col("bucket").isin(*wanted))
+        known = rows.join(hits, "key", "left_semi").select("digest", "norm", "doc_id")
+    known = known.select("digest", "norm", F.col("doc_id").alias("old_id"), F.lit(True).alias("old"))
+    named = groups.join(known, ["digest", "norm"], "left").select("digest", "norm", "n", "best", "old_id", F.coalesce("old", F.lit(False)).alias("old"))
+    text = normalised(F.col("text"))
+    rows = batch.select("doc_id", text.alias("norm"), digest(text).alias("digest")).join(named, ["digest", "norm"])
+    keep = F.when(F.col("old"), F.col("old_id")).otherwise(F.col("best.doc_id"))
+    return rows.select("doc_id", keep.alias("keep_id"), F.col("n").alias("group_size"), (~F.col("old") & F.col("doc_id").eqNullSafe(F.col("best.doc_id"))).alias("kept"), F.col("old").alias("in_snapshot"))
+
+
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """Every row of documents with the row that stays for it."""
     groups = duplicate_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -59,3 +59,41 @@ def test_filters_have_all_keys_and_few_others(n):
     fuse = op.BinaryFuse.build(np.concatenate([keys, keys[:1]]))
     assert fuse.has(keys).all() and int(keys[0]) in fuse
     assert fuse.has(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)).mean() < 0.02
+
+
+def screened_brute(old, new):
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    rank = lambda r: (-len(r[1] or ""), r[0] is None, r[0] or 0)
+    best = lambda rows, t: min((r for r in rows if norm(r[1]) == t), key=rank, default=None)
+    out = []
+    for r in new:
+        there, first = best(old, norm(r[1])), best(new, norm(r[1]))
+        out.append((r[0], there[0] if there else first[0], sum(norm(x[1]) == norm(r[1]) for x in new), not there and r[0] == first[0], bool(there)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("digest", [op.sha256, lambda text: F.unhex(F.substring(F.sha2(text, 256), 1, 1))])
+@pytest.mark.parametrize("cut", [0, 12, 20, 100])
+def test_batches_against_a_snapshot(spark, tmp_path, digest, cut):
+    """Also an empty snapshot and an empty batch, and digests of 4 bits."""
+    old, new = odd_rows()[:cut], odd_rows()[cut:] + odd_rows()[3 : 8 if cut < 100 else 3]
+    op.build_snapshot(documents(spark, old), str(tmp_path / "s"), digest, buckets=8, shard=4)
+    got = op.screen_batch(documents(spark, new), str(tmp_path / "s"), digest)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == screened_brute(old, new)
+
+
+def test_a_batch_opens_only_buckets_of_positives(spark, tmp_path):
+    """All other buckets are taken away; without positives, all of them."""
+    old = [(i, f"text number {i}", *[None] * 6) for i in range(400)]
+    op.build_snapshot(documents(spark, old), str(tmp_path / "s"), buckets=64)
+    new = [(900, "text number 7", *[None] * 6), *((1000 + i, f"new text {i}", *[None] * 6) for i in range(5))]
+    bucket = spark.createDataFrame([("textnumber7",)], "t string").select(F.pmod(F.xxhash64(op.sha256(F.col("t"))), F.lit(64))).first()[0]
+    filters = spark.read.parquet(str(tmp_path / "s/filters")).drop("shards", "buckets")
+    keys = spark.createDataFrame([(re.sub(" ", "", r[1]),) for r in new], "t string").select(F.xxhash64(op.sha256(F.col("t"))).alias("key"))
+    through = {r["key"] % 64 for r in op.screened(keys, filters, 1).collect()}
+    assert bucket in through and len(through) <= 3
+    for folder in (tmp_path / "s/buckets").glob("bucket=*"):
+        if int(folder.name.split("=")[1]) not in through:
+            folder.rename(tmp_path / folder.name)
+    got = {r["doc_id"]: (r["keep_id"], r["kept"], r["in_snapshot"]) for r in op.screen_batch(documents(spark, new), str(tmp_path / "s")).collect()}
+    assert got == {900: (7, False, True)} | {1000 + i: (1000 + i, True, False) for i in range(5)}
