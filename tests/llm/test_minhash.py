@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -77,6 +78,27 @@ def test_pairs_just_above_the_threshold_are_found(spark):
     assert got == 400
 
 
+def test_pairs_in_crowded_buckets_are_found(spark):
+    """Recall where it is at stake: 300 pairs at 0.80 to 0.82 among texts that share half of their shingles with all the others.
+
+    Most buckets then hold dozens of members that are no near copies, and their hub is far from both of a pair, so a
+    pair is found by blocks and the signature screen alone.
+    """
+    rng, rows, common = random.Random(11), [], [f"c{i}" for i in range(100)]
+    shingles = lambda words: set(itertools.pairwise(words))
+    for k in range(300):
+        for own in range(rng.randrange(14, 20), 0, -1):
+            shared = common + [f"p{k}x{i}" for i in range(31)]
+            a, b = ([*shared, *(f"{side}{k}x{i}" for i in range(own))] for side in "ab")
+            sim = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+            if sim >= 0.8:
+                break
+        assert 0.8 <= sim <= 0.83
+        rows += [(2 * k, " ".join(a), *[None] * 6), (2 * k + 1, " ".join(b), *[None] * 6)]
+    got = {r["doc_id"]: r["component_id"] for r in op.near_duplicates(documents(spark, rows), block=20_000, block_rows=64).collect()}
+    assert got == {d: d - d % 2 for d in range(600)}
+
+
 def test_ids_of_text(spark):
     rows = [("b", "one two three"), ("a", "one two three"), (None, "one two three"), ("c", "other words here"), ("b", "One two three")]
     docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id string, text string, __gone string, gone string")
