@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import re
 import struct
 import uuid
@@ -63,9 +64,12 @@ class Words:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
+        self.lead = os.path.commonprefix(self.special).encode()
         self.marked = re.compile("|".join(map(re.escape, self.special))).search
         self.mark = self.tokenizer.token_to_id(self.special[0])
         ending = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+        if not ending or not self.special:
+            raise ValueError("a tokenizer that marks ends of words and has a special token is needed")
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[k for t, k in self.tokenizer.get_vocab().items() if t.endswith(ending)]] = True
         self.known: dict[bytes, bytes] = {}
@@ -94,9 +98,9 @@ class Words:
         cut, rest = {}, []
         for w in words:
             text = w.decode()
-            if self.marked(text):
+            if self.lead in w and self.marked(text):
                 self.known[w] = self._ids(text).tobytes()
-            elif _PLAIN(text):
+            elif w.isascii() or _PLAIN(text):
                 cut[w] = _PIECES(text.lower())
             else:
                 rest.append(w)

@@ -42,6 +42,11 @@ def test_words_of_any_text(texts):
     assert [ids(x) for x in words.encoded([t.encode() for t in texts])] == [plain(t) for t in texts]
 
 
+def test_other_kinds_of_tokenizers_raise():
+    with pytest.raises(ValueError, match="ends of words"):
+        op.Words(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_words_are_forgotten_when_there_are_many(monkeypatch):
     monkeypatch.setattr(op, "REMEMBERED", 500)
     words = op.Words(PATH)
