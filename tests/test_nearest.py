@@ -68,7 +68,7 @@ def test_the_grid_holds_only_what_is_left(spark, monkeypatch):
 def test_nearest_of_empty_sides(spark):
     l = spark.createDataFrame([([1, 2],)], "l_words array<bigint>")
     r = spark.createDataFrame([], "r_words array<bigint>, path string")
-    assert similarity.nearest(l, r, (), ("path",), 8, 1, block=0).count() == 0
+    assert similarity.nearest(l, r, (), ("path",), 8, 1, block=1).count() == 0
     assert similarity.nearest(l.limit(0), r, (), ("path",), 8, 1).count() == 0
 
 
