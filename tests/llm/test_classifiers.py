@@ -102,6 +102,29 @@ def test_the_sample_is_bounded_in_words(spark):
     assert toxicity.fit(docs, labels, F.lit(True), words=1).constant is None or len(got)
 
 
+def test_every_labelled_row_is_learned_from(spark):
+    """A word that only the last toxic rows have, 3,000 others coming first by a hash of the id."""
+    rng = random.Random(6)
+    rows, labels, toxic = [], [], 0
+    for n, r in enumerate(spark.range(7000).orderBy(F.xxhash64("id")).collect()):
+        bad = ""
+        if n % 2:
+            toxic += 1
+            bad = " foul" if toxic <= 3000 else " vile"
+        rows.append((r["id"], words(rng, 6) + bad, None, None, None, None, None, None))
+        labels.append((r["id"], 1, n % 2))
+    model = toxicity.fit(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), F.lit(True))
+    probes = documents(spark, [(i, words(rng, 6) + (" vile" if i % 2 else ""), None, None, None, None, None, None) for i in range(200)])
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(probes, model).collect()}
+    assert np.mean([(got[i] >= 0.5) == (i % 2 == 1) for i in got]) > 0.95
+
+
+def test_shards_do_not_depend_on_the_layout(spark):
+    docs, labels = corpus(spark, 200)
+    a, b = (toxicity.fit(d, labels, F.lit(True), rows=20) for d in (docs, docs.repartition(7, F.rand(3))))
+    assert all(np.array_equal(x.terms, y.terms) and np.array_equal(x.cuts, y.cuts) for x, y in zip(a.models, b.models, strict=True))
+
+
 @pytest.mark.parametrize("name, label, least", [("op5_toxicity", "toxic", 0.94), ("op10_quality", "quality", 0.94)])
 def test_held_out_rows_of_the_tables(spark, name, label, least):
     """Of labels that were not learned from, how well scores order the classes."""
