@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,12 @@ LEAST_BAND_BITS = 6
 BLOCK = 20_000
 #: Ways to turn bits of a band in one step at most.
 MASKS = 2000
+#: Comparisons that take as long as a joined row.
+JOINED = 500
+#: So many blocks are compared at once, without a search: a block takes a task about half a second.
+FEW = 16
+#: Least distances of a row that are found by scanning it; more are by a partial sort.
+SCANS = 256
 
 
 def with_dims(df: DataFrame) -> DataFrame:
@@ -78,18 +86,43 @@ def hamming_join(left: DataFrame, right: DataFrame, threshold: int, hash_size: i
     return near.select("l_words", "r_words", *by, "hamming").distinct()
 
 
-def _packed(words: pd.Series, hash_size: int) -> np.ndarray:
-    return np.array(words.tolist(), np.int64).reshape(-1, hashing.n_words(hash_size)).astype(np.uint32)
-
-
-def _grid(left: DataFrame, right: DataFrame, by: tuple[str, ...], order: tuple[str, ...], hash_size: int, k: int | None = None, within: int | None = None, block: int = BLOCK) -> DataFrame:
-    """(*by, l_words, r_words, *order, hamming) of pairs of left(*by, l_words) and right(*by, r_words, *order) rows of one value of ``by``.
-
-    With ``k``, each left row's k least right rows by (hamming, *order) in every block that it is in, so
-    the k least of all are among them; with ``within``, every pair within that distance. Both sides of
-    a group are dealt to a grid of blocks of bounded size, and a task holds one block: nothing goes
-    through the driver, and a very large group is many blocks.
-    """
+def _packed(words: pa.ChunkedArray, hash_size: int) -> np.ndarray:
+    """Hashes as numbers of 64 bits: a row for each two words, a column for each hash."""
+    n = hashing.n_words(hash_size)
+    flat = words.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, n).astype(np.uint64)
+    flat = np.pad(flat, ((0, 0), (0, n % 2)))
+    return (flat[:, 0::2] | flat[:, 1::2] << np.uint64(32)).T.copy()
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, distances of some rows of a to all of b): as many rows at once as a processor's cache holds."""
+    step = max(1, 160_000 // max(1, b.shape[1]))
+    for first in range(0, a.shape[1], step):
+        own = a[:, first : first + step, None]
+        d = np.bitwise_count(own[0] ^ b[0])
+        for k in range(1, len(a)):
+            d = d.astype(np.uint16) + np.bitwise_count(own[k] ^ b[k])
+        yield first, d
+
+
+def _first_of(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, distances) of the k least of each row; of equal ones the first. d is written to."""
+    rows, many = np.arange(len(d)), d.shape[1]
+    if k >= many:
+        return np.tile(np.arange(many), (len(d), 1)), d
+    if k > SCANS:
+        j = np.argpartition(d.astype(np.int64) * many + np.arange(many), k - 1, axis=1)[:, :k]
+        return j, d[rows[:, None], j]
+    j, least = np.empty((len(d), k), np.int64), np.empty((len(d), k), d.dtype)
+    for n in range(k):
+        j[:, n] = d.argmin(1)
+        least[:, n] = d[rows, j[:, n]]
+        d[rows, j[:, n]] = np.iinfo(d.dtype).max
+    return j, least
+
+
+def _dealt(left: DataFrame, right: DataFrame, by: tuple[str, ...], keys: tuple[str, str], block: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with their cell of a grid, and the cell's columns: rows and columns of ``block`` rows of a group, about, dealt by the hash of their key."""
     many = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
     if by:
         sizes = left.groupBy(*by).agg(F.count("*").alias("l")).join(right.groupBy(*by).agg(F.count("*").alias("r")), list(by))
@@ -99,36 +132,47 @@ def _grid(left: DataFrame, right: DataFrame, by: tuple[str, ...], order: tuple[s
     else:
         shape = {"__rows": many(F.lit(left.count())), "__columns": many(F.lit(right.count()))}
         left, right = left.withColumns(shape), right.withColumns(shape)
-    one = lambda words, n: F.pmod(F.xxhash64(words), F.col(n)).cast("int")
+    one = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cell = [*by, "__row", "__column"]
-    left = left.withColumn("__row", one("l_words", "__rows")).withColumn("__column", each("__columns")).select(*cell, "l_words")
-    right = right.withColumn("__column", one("r_words", "__columns")).withColumn("__row", each("__rows")).select(*cell, "r_words", *order)
+    left = left.withColumn("__row", one(keys[0], "__rows")).withColumn("__column", each("__columns")).drop("__rows", "__columns")
+    right = right.withColumn("__column", one(keys[1], "__columns")).withColumn("__row", each("__rows")).drop("__rows", "__columns")
     right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of its own, where both sides come from one table
+    return left, right, [*by, "__row", "__column"]
+
 
-    def compared(lows: pd.DataFrame, highs: pd.DataFrame) -> pd.DataFrame:
-        if not len(lows) or not len(highs):
-            return pd.DataFrame(columns=[*by, "l_words", "r_words", *order, "hamming"])
-        highs = highs.sort_values(list(order), kind="stable") if order else highs
-        a, b = _packed(lows["l_words"], hash_size), _packed(highs["r_words"], hash_size)
+def _grid(left: DataFrame, right: DataFrame, by: tuple[str, ...], order: tuple[str, ...], hash_size: int, k: int | None = None, within: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(*by, l_words, r_words, *order, hamming) of pairs of left(*by, l_words) and right(*by, r_words, *order) rows of one value of ``by``.
+
+    With ``k``, each left row's k least right rows by (hamming, *order) in every block that it is in, so
+    the k least of all are among them; with ``within``, every pair within that distance. Both sides of
+    a group are dealt to a grid of blocks of bounded size, and a task holds one block: nothing goes
+    through the driver, and a very large group is many blocks.
+    """
+    left, right, cell = _dealt(left.select(*by, "l_words"), right.select(*by, "r_words", *order), by, ("l_words", "r_words"), block)
+
+    def compared(lows: pa.Table, highs: pa.Table) -> pa.Table:
+        fields = [*(lows.schema.field(c) for c in (*by, "l_words")), *(highs.schema.field(c) for c in ("r_words", *order)), pa.field("hamming", pa.int32())]
+        if not lows.num_rows or not highs.num_rows:
+            return pa.schema(fields).empty_table()
+        if order:  # it breaks ties
+            highs = highs.take(pc.sort_indices(highs.select(order), [(c, "ascending") for c in order], null_placement="at_start"))
         low, high, distance = [], [], []
-        for first in range(0, len(a), 256):
-            d = np.bitwise_count(a[first : first + 256, None] ^ b).sum(2).astype(np.int64)
+        for first, d in _distances(_packed(lows["l_words"], hash_size), _packed(highs["r_words"], hash_size)):
             if within is not None:
                 i, j = np.nonzero(d <= within)
+                least = d[i, j]
             else:
-                key = d * len(b) + np.arange(len(b))  # the order of highs breaks ties
-                j = np.argpartition(key, k - 1, axis=1)[:, :k] if k < len(b) else np.tile(np.arange(len(b)), (len(d), 1))
-                i, j = np.repeat(np.arange(len(d)), j.shape[1]), j.ravel()
+                j, least = _first_of(d, k)
+                i = np.repeat(np.arange(len(d)), j.shape[1])
             low.append(i + first)
-            high.append(j)
-            distance.append(d[i, j])
-        low, high = lows.iloc[np.concatenate(low)].reset_index(drop=True), highs.iloc[np.concatenate(high)].reset_index(drop=True)
-        return pd.concat([low[[*by, "l_words"]], high[["r_words", *order]], pd.Series(np.concatenate(distance), name="hamming")], axis=1)
+            high.append(j.ravel())
+            distance.append(least.ravel().astype(np.int32))
+        low, high = lows.take(pa.array(np.concatenate(low))), highs.take(pa.array(np.concatenate(high)))
+        return pa.Table.from_arrays([*(low[c] for c in (*by, "l_words")), *(high[c] for c in ("r_words", *order)), pa.array(np.concatenate(distance))], schema=pa.schema(fields))
 
     types = {f.name: f.dataType.simpleString() for side in (left, right) for f in side.schema}
     schema = ", ".join(f"`{c}` {types[c]}" for c in (*by, "l_words", "r_words", *order)) + ", hamming int"
-    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(compared, schema)
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(compared, schema)
 
 
 # --- nearest, exactly --------------------------------------------------------------------------------
@@ -137,29 +181,37 @@ def _grid(left: DataFrame, right: DataFrame, by: tuple[str, ...], order: tuple[s
 def nearest(left: DataFrame, right: DataFrame, by: tuple[str, ...], order: tuple[str, ...], hash_size: int, k: int, block: int = BLOCK) -> DataFrame:
     """(*by, l_words, r_words, *order, hamming): the k least right(*by, r_words, *order) rows of each left(*by, l_words) row, by (hamming, *order), whatever the distance.
 
-    Bits are cut into bands about as wide as the number of right hashes needs. Two hashes that differ in fewer than
+    Bits are cut into bands about as wide as the number of right hashes of a group needs. Two hashes that differ in fewer than
     bands * (s + 1) bits differ in s bits at most of one band. So step s joins on bands with exactly s bits turned, the least k
     so far are kept, and a left hash whose k-th is that near is done: later steps see only what is left. Where turning more bits
-    would cost as much as comparing, the rest goes to a grid of blocks; so do sides that are one block.
+    would cost as much as comparing, the rest goes to a grid of blocks; so do sides that are a few blocks. The ways to turn
+    bits are rows of a broadcast table: as columns, the plan of two turned bits took more memory than a driver has.
     """
     left, right = stored(left, "nearest-left"), stored(right, "nearest-right")
-    n_left, n_right = left.count(), right.count()
-    if n_left * n_right <= block * block or not n_left * n_right:
+    n_left = left.count()
+    if by:
+        sizes = left.groupBy(*by).agg(F.count("*").alias("l")).join(right.groupBy(*by).agg(F.count("*").alias("r")), list(by))
+        pairs = sizes.agg(F.sum(F.col("l") * F.col("r"))).first()[0] or 0
+    else:
+        pairs = n_left * right.count()
+    if pairs <= FEW * block * block:
         return _least(_grid(left, right, by, order, hash_size, k=k, block=block), by, order, k)
-    bits = hash_size * hash_size
-    bands = max(1, bits // max(LEAST_BAND_BITS, min(31, math.ceil(math.log2(n_right)))))
+    met_by_each, bits = pairs / n_left, hash_size * hash_size
+    bands = max(1, bits // max(LEAST_BAND_BITS, min(31, math.ceil(math.log2(met_by_each)))))
     cut = hashing.band_numbers(F.col("r_words"), bands, hash_size)
     entries = F.array(*(value for value, _ in cut))
     sides = right.select(*by, "r_words", *order, F.posexplode(entries).alias("__band", "__value"))
-    crowd = max(1.0, n_right / 2 ** min(width for _, width in cut))
+    crowd = max(1.0, met_by_each / 2 ** min(width for _, width in cut))
     best, waiting, done = None, left, []
-    for turned in range(bits + 1):
-        masks = [[sum(1 << i for i in some) for some in itertools.combinations(range(width), turned)] for _, width in cut if math.comb(width, turned) <= MASKS]
-        if len(masks) < bands or 4 * sum(map(len, masks)) * crowd > n_right:
+    for turned in range(min(width for _, width in cut) + 1):
+        ways = [math.comb(width, turned) for _, width in cut]
+        if max(ways) > MASKS or JOINED * sum(ways) * crowd > met_by_each:
             break
-        values = [value for value, _ in hashing.band_numbers(F.col("l_words"), bands, hash_size)]
-        probes = F.array(*(F.array(*(value.bitwiseXOR(F.lit(m).cast("bigint")) for m in own)) for value, own in zip(values, masks, strict=True)))
-        asked = waiting.select(*by, "l_words", F.posexplode(probes).alias("__band", "__some")).select(*by, "l_words", "__band", F.explode("__some").alias("__value"))
+        masks = [(band, sum(1 << i for i in some)) for band, (_, width) in enumerate(cut) for some in itertools.combinations(range(width), turned)]
+        turns = F.broadcast(left.sparkSession.createDataFrame(masks, "__band int, __mask bigint"))
+        own = F.array(*(value for value, _ in hashing.band_numbers(F.col("l_words"), bands, hash_size)))
+        asked = waiting.select(*by, "l_words", F.posexplode(own).alias("__band", "__own")).join(turns, "__band")
+        asked = asked.select(*by, "l_words", "__band", F.col("__own").bitwiseXOR(F.col("__mask")).alias("__value"))
         met = asked.join(sides, [*by, "__band", "__value"]).select(*by, "l_words", "r_words", *order, hashing.hamming(F.col("l_words"), F.col("r_words"), hash_size).alias("hamming"))
         met = met.distinct() if best is None else met.unionByName(best).distinct()
         best = stored(_least(met, by, order, k), "nearest")

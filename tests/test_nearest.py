@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,46 @@ def test_the_grid_holds_only_what_is_left(spark, monkeypatch):
     assert got == want and len(seen) == 1 and 0 < seen[0] <= sum(d > 4 for d in want.values())
 
 
+def test_steps_are_rows_not_columns(spark, monkeypatch):
+    """The plan of a step that turns two bits of each band is as large as that of one that turns none."""
+    rng, plans, seen = random.Random(5), [], []
+    right = [rng.getrandbits(64) for _ in range(3000)]
+    left = sorted({near(rng, 64, h) for h in right[:200]})
+    monkeypatch.setattr(similarity, "JOINED", 4, raising=False)
+    stored, grid = similarity.stored, similarity._grid
+    plan = lambda df: len(df._jdf.queryExecution().analyzed().toJSON())
+    monkeypatch.setattr(similarity, "stored", lambda df, name: (plans.append(plan(df)) if name == "nearest" else None) or stored(df, name))
+    monkeypatch.setattr(similarity, "_grid", lambda l, *args, **more: seen.append(l.count()) or grid(l, *args, **more))
+    l = spark.createDataFrame([(words(h, 2),) for h in left], "l_words array<bigint>")
+    r = spark.createDataFrame([(words(h, 2), str(k)) for k, h in enumerate(right)], "r_words array<bigint>, path string")
+    got = {tuple(x["l_words"]): x["hamming"] for x in similarity.nearest(l, r, (), ("path",), 8, 1, block=50).collect()}
+    want = {tuple(words(h, 2)): min((h ^ x).bit_count() for x in right) for h in left}
+    assert got == want and len(plans) == 3 and max(plans) < 3 * plans[0]
+    assert len(seen) == 1 and 0 < seen[0] <= sum(d > 14 for d in want.values())
+
+
+@pytest.mark.parametrize("hash_size, by, k", [(8, True, 1), (8, False, 3), (4, False, 2), (16, True, 2), (5, True, 3)])
+def test_steps_equal_brute_force(spark, monkeypatch, hash_size, by, k):
+    """As many steps as there are, whatever they cost."""
+    monkeypatch.setattr(similarity, "JOINED", 0, raising=False)
+    left, right, l, r = sides(spark, hash_size, 2, 30, 90, hash_size + k)
+    if not by:
+        left, l, r = sorted({(0, h) for _, h in left}), l.select("l_words").distinct(), r.drop("g")
+    got = similarity.nearest(l, r, ("g",) if by else (), ("o", "path"), hash_size, k, 5)
+    rows = [(*((x["g"],) if by else ()), tuple(x["l_words"]), tuple(x["r_words"]), x["o"], x["path"], x["hamming"]) for x in got.collect()]
+    assert sorted(rows) == brute(left, right, k, hash_size, by)
+
+
+@pytest.mark.parametrize("n, k", [(7, 7), (300, 3), (300, 299), (600, 400)])
+def test_least_of_rows(n, k):
+    """Distances above 255, too; of equal ones the first columns."""
+    rng = np.random.default_rng(n + k)
+    d = rng.integers(0, 20, (9, n)).astype(np.uint16) * 14
+    want = np.argsort(d, axis=1, kind="stable")[:, :k]
+    j, least = similarity._first_of(d.copy(), k)
+    assert (np.sort(j, 1) == np.sort(want, 1)).all() and (least == np.take_along_axis(d, j, 1)).all()
+
+
 def test_nearest_of_empty_sides(spark):
     l = spark.createDataFrame([([1, 2],)], "l_words array<bigint>")
     r = spark.createDataFrame([], "r_words array<bigint>, path string")
