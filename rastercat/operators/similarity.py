@@ -25,6 +25,10 @@ from rastercat.sources.scratch import stored
 LEAST_BAND_BITS = 6
 #: Hashes on either side of a block, about.
 BLOCK = 20_000
+#: Rows on either side of a cell of listed pairs, about: what a merge join keeps in memory as it is.
+CELL = 3500
+#: Tasks that cells are dealt to at most; of more cells, a task gets several, one after another.
+MOST_TASKS = 10_000
 #: Ways to turn bits of a band in one step at most.
 MASKS = 2000
 #: Comparisons that take as long as a joined row.
@@ -122,22 +126,28 @@ def _first_of(d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _dealt(left: DataFrame, right: DataFrame, by: tuple[str, ...], keys: tuple[str, str], block: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides with their cell of a grid, and the cell's columns: rows and columns of ``block`` rows of a group, about, dealt by the hash of their key."""
+    """Both sides with their cell of a grid, and the cell's columns: rows and columns of ``block`` rows of a group, about, dealt by the hash of their key.
+
+    Both are dealt to as many partitions as there are cells: cells are small as tables, so by size alone a few tasks would get all.
+    """
     many = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
     if by:
         sizes = left.groupBy(*by).agg(F.count("*").alias("l")).join(right.groupBy(*by).agg(F.count("*").alias("r")), list(by))
         # Stored, so that the joins below are plain ones, whose large keys adaptive execution can split.
         grid = stored(sizes.select(*by, many(F.col("l")).alias("__rows"), many(F.col("r")).alias("__columns")), "grid")
         left, right = (side.join(grid, list(by)) for side in (left, right))
+        cells = grid.agg(F.sum(F.col("__rows").cast("bigint") * F.col("__columns"))).first()[0] or 1
     else:
-        shape = {"__rows": many(F.lit(left.count())), "__columns": many(F.lit(right.count()))}
-        left, right = left.withColumns(shape), right.withColumns(shape)
+        rows, columns = (max(1, -(-side.count() // block)) for side in (left, right))
+        left, right = (side.withColumns({"__rows": F.lit(rows), "__columns": F.lit(columns)}) for side in (left, right))
+        cells = rows * columns
     one = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = left.withColumn("__row", one(keys[0], "__rows")).withColumn("__column", each("__columns")).drop("__rows", "__columns")
     right = right.withColumn("__column", one(keys[1], "__columns")).withColumn("__row", each("__rows")).drop("__rows", "__columns")
     right = right.select(*(F.col(c).alias(c) for c in right.columns))  # columns of its own, where both sides come from one table
-    return left, right, [*by, "__row", "__column"]
+    cell = [*by, "__row", "__column"]
+    return *(side.repartition(min(cells, MOST_TASKS), *cell) for side in (left, right)), cell
 
 
 def _grid(left: DataFrame, right: DataFrame, by: tuple[str, ...], order: tuple[str, ...], hash_size: int, k: int | None = None, within: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -234,12 +244,52 @@ def _least(pairs: DataFrame, by: tuple[str, ...], order: tuple[str, ...], k: int
 
 
 def id_candidates(hashed: DataFrame, small: int = 256, large: int = 256, hash_size: int = 8) -> DataFrame:
-    """All small x large pairs that share id_key, with their distance; groups that lack a side give none, nor do self-pairs."""
-    s, l = _sides(hashed, small, large)
-    pairs = s.join(l, "id_key").filter("small_path <> large_path")
+    """All small x large pairs that share id_key, with their distance; groups that lack a side give none, nor do self-pairs.
+
+    A group is paired in cells of about ``CELL`` rows a side, which are the join's keys: no task gets more of a large
+    group than a few cells, and a task keeps one cell's side in memory. Only the result grows with the pairs.
+    """
+    s, l, cell = _dealt(*_sides(hashed, small, large), ("id_key",), ("small_path", "large_path"), CELL)
+    pairs = s.join(l, cell).drop("__row", "__column").filter("small_path <> large_path")
     return pairs.withColumn("hamming", hashing.hamming(F.col("small_words"), F.col("large_words"), hash_size))
 
 
+def best_candidates(hashed: DataFrame, small: int = 256, large: int = 256, hash_size: int = 8, block: int = BLOCK) -> DataFrame:
+    """Of ``id_candidates`` what ``best_large`` may choose, without listing the others: each small's best in every block of its group.
+
+    All pairs are compared, in a grid of blocks of bounded size, a task each; a small image has a row for each block.
+    """
+    s, l, cell = _dealt(*_sides(hashed, small, large), ("id_key",), ("small_path", "large_path"), block)
+
+    def compared(lows: pa.Table, highs: pa.Table) -> pa.Table:
+        fields = [lows.schema.field("id_key"), lows.schema.field("small_path"), highs.schema.field("large_path"), highs.schema.field("area"), pa.field("hamming", pa.int32())]
+        if not lows.num_rows or not highs.num_rows:
+            return pa.schema(fields).empty_table()
+        highs = highs.take(pc.sort_indices(highs, [("area", "descending"), ("large_path", "ascending")], null_placement="at_start"))
+        scanned = pc.rank(highs["large_path"], tiebreaker="dense").to_numpy().astype(np.int64)
+        both = pc.is_in(lows["small_path"], highs["large_path"].combine_chunks()).to_numpy(zero_copy_only=False)
+        names = highs["large_path"].to_numpy() if both.any() else None
+        low, high, distance = [], [], []
+        for first, d in _distances(_packed(lows["small_words"], hash_size), _packed(highs["large_words"], hash_size)):
+            none = np.iinfo(d.dtype).max
+            for i in np.flatnonzero(both[first : first + len(d)]):  # no image replaces itself
+                d[i, names == lows["small_path"][int(first + i)].as_py()] = none
+            j = d.argmin(1)
+            least = d[np.arange(len(d)), j]
+            if len(same := np.flatnonzero(least == 0)):  # at distance 0 the first scanned wins whatever its area
+                j[same] = np.where(d[same] == 0, scanned, len(scanned) + 1).argmin(1)
+            found = np.flatnonzero(least < none)
+            low.append(found + first)
+            high.append(j[found])
+            distance.append(least[found].astype(np.int32))
+        low, high = lows.take(pa.array(np.concatenate(low))), highs.take(pa.array(np.concatenate(high)))
+        return pa.Table.from_arrays([low["id_key"], low["small_path"], high["large_path"], high["area"], pa.array(np.concatenate(distance))], schema=pa.schema(fields))
+
+    types = {f.name: f.dataType.simpleString() for side in (s, l) for f in side.schema}
+    schema = ", ".join(f"{c} {types[c]}" for c in ("id_key", "small_path", "large_path", "area")) + ", hamming int"
+    return s.groupBy(*cell).cogroup(l.groupBy(*cell)).applyInArrow(compared, schema)
+
+
 def usable_groups(hashed: DataFrame, small: int = 256, large: int = 256) -> DataFrame:
     """id_key of groups that have both sides: what is worth hashing."""
     sized = classify_size(hashed, small, large)
@@ -270,7 +320,7 @@ def best_large_of_distinct(hashed: DataFrame, small: int = 256, large: int = 256
     task, however many hashes it has.
     """
     if small > large:
-        return best_large(id_candidates(hashed, small, large, hash_size))
+        return best_large(best_candidates(hashed, small, large, hash_size))
     s, l = _sides(hashed, small, large)
     lows = s.select("id_key", F.col("small_words").alias("l_words")).distinct()
     highs = _standing(l).select("id_key", F.col("large_words").alias("r_words"), F.col("largest.less").alias("less"), F.col("largest.large_path").alias("path"), "first_path")
@@ -282,7 +332,7 @@ def best_large_of_distinct(hashed: DataFrame, small: int = 256, large: int = 256
 def best_large_near(hashed: DataFrame, small: int = 256, large: int = 256, hash_size: int = 8, threshold: int = 6) -> DataFrame:
     """The best pairs that are within the threshold, by bands inside each ID group: for groups too large to pair all their hashes."""
     if small > large:
-        return best_large(id_candidates(hashed, small, large, hash_size)).filter(F.col("hamming") <= threshold)
+        return best_large(best_candidates(hashed, small, large, hash_size)).filter(F.col("hamming") <= threshold)
     s, l = _sides(hashed, small, large)
     stands = _standing(l)
     near = hamming_join(s.select("id_key", F.col("small_words").alias("hash_words")), stands.select("id_key", F.col("large_words").alias("hash_words")), threshold, hash_size, by=("id_key",))

@@ -323,7 +323,7 @@ def j8_id_candidates(spark, d):
 
 @_query("w1_best_large", "SELECT small_path, large_path, hamming FROM best", fx.TEXTURES, _CANDIDATES)
 def w1_best_large(spark, d):
-    return similarity.best_large(similarity.id_candidates(fx.hashed(spark, d)))
+    return similarity.best_large(similarity.best_candidates(fx.hashed(spark, d)))
 
 
 @_query("w1_best_large_of_distinct", "SELECT small_path, large_path, hamming FROM best", fx.TEXTURES, _CANDIDATES)

@@ -162,6 +162,35 @@ def test_best_beyond_the_reach_of_bands(spark):
     assert pairs(similarity.nearest_high(df, threshold=64), "low_path", "high_path", "hamming") == sorted((n, m, d) for n, (d, _, m) in high.items())
 
 
+@pytest.mark.parametrize("small, block", [(256, 4), (256, 20_000), (3000, 4), (3000, 20_000)])
+def test_candidates_in_blocks_equal_brute_force(spark, monkeypatch, small, block):
+    """Many equal distances and hashes, groups of several blocks, images that are small and large, one alone in its group."""
+    rng = np.random.default_rng(small + block)
+    rows = [(f"a-{i % 3}-{i:03d}.png", int(rng.choice([64, 300, 2048])), 64, int(rng.integers(0, 8))) for i in range(90)] + [("a-9-x.png", 300, 300, 1)]
+    df = hashed(spark, rows)
+    monkeypatch.setattr(similarity, "CELL", block, raising=False)
+    value = {r["name"]: r["hash_words"] for r in df.collect()}
+    far = lambda n, m: sum((x ^ y).bit_count() for x, y in zip(value[n], value[m], strict=True))
+    area = {n: w * h for n, w, h, _ in rows}
+    want = sorted((n, m, far(n, m)) for n, w, *_ in rows for m, v, *_ in rows if w < small and v >= 256 and n != m and n.split("-")[1] == m.split("-")[1])
+    assert pairs(similarity.id_candidates(df, small), "small_path", "large_path", "hamming") == want
+    best = {}
+    for n, m, d in sorted(want, key=lambda x: (x[2], -area[x[1]] if x[2] else 0, x[1])):
+        best.setdefault(n, (n, m, d))
+    got = similarity.best_candidates(df, small, block=block)
+    assert pairs(similarity.best_large(got), "small_path", "large_path", "hamming") == sorted(best.values())
+    assert pairs(similarity.best_large_of_distinct(df, small), "small_path", "large_path", "hamming") == sorted(best.values())
+    assert got.count() < len(want) and set(pairs(got, "small_path", "large_path", "hamming")) <= set(want)
+
+
+def test_pairs_of_a_large_group_are_many_tasks(spark):
+    """One group, whose rows are few megabytes: its pairs are made by as many tasks as it has cells."""
+    n = similarity.CELL if hasattr(similarity, "CELL") else 3500
+    rows = spark.range(4 * n).selectExpr("concat('t-1-', lpad(id, 6, '0'), '.png') AS rel_path", "'1' AS id_key", "CAST(if(id % 2 = 0, 64, 512) AS INT) AS width", "64 AS height", "CAST(64 * 512 AS BIGINT) AS area", "array(id, id * 7) AS hash_words")
+    found = similarity.id_candidates(rows).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in found) == 4 * n * n and max(r["count"] for r in found) < 4 * n * n
+
+
 @pytest.mark.parametrize("hash_size, threshold", [(8, 0), (8, 3), (8, 20), (4, 9), (16, 12)])
 def test_bands_equal_brute_force(spark, hash_size, threshold):
     rng = np.random.default_rng(threshold)
