@@ -60,12 +60,13 @@ def with_cache_files(df: DataFrame) -> DataFrame:
 
 def mip_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mip chains: several files of one name stand for colliding numbers; their scan order is rel_path."""
-    rows = table(spark, sf_dir, "lineitem").selectExpr(
+    rows = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "CAST(l_quantity AS BIGINT) AS size", "unix_micros(CAST(l_shipdate AS TIMESTAMP)) * 1000 AS mtime_ns")
+    one = rows.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.max("size").alias("size"), F.max("mtime_ns").alias("mtime_ns"))
+    one = one.selectExpr(
         "concat('d', l_orderkey % 7) AS dir",
         "concat('t-', l_orderkey, '-s', CASE WHEN l_linenumber = 1 THEN '' ELSE concat('-mip', l_linenumber - 1) END, '.png') AS name",
-        "l_partkey", "l_suppkey", "l_orderkey", "CAST(l_quantity AS BIGINT) AS size", "unix_micros(CAST(l_shipdate AS TIMESTAMP)) * 1000 AS mtime_ns",
+        "l_partkey", "l_suppkey", "l_orderkey", "size", "mtime_ns",
     )
-    one = rows.groupBy("dir", "name", "l_partkey", "l_suppkey", "l_orderkey").agg(F.max("size").alias("size"), F.max("mtime_ns").alias("mtime_ns"))
     pad = lambda c: F.lpad(F.col(c).cast("string"), 9, "0")
     rows = one.withColumn("rel_path", F.concat_ws("/", "dir", pad("l_partkey"), pad("l_suppkey"), "name"))
     return rows.withColumns({"stem": paths.stem(F.col("name")), "ext": paths.extension(F.col("name"))})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rastercat.functions import paths
 
-KEYS = ["dir", "prefix", "suffix", "ext"]
+KEYS = ["dir", "base_name", "prefix", "suffix", "ext"]
 
 
 def mip_members(catalog: DataFrame) -> DataFrame:
@@ -17,8 +17,13 @@ def mip_members(catalog: DataFrame) -> DataFrame:
 
 
 def dedupe_mips(members: DataFrame, scan_order: tuple[str, ...] = ("rel_path",)) -> DataFrame:
-    """One file for each group and number: the last scanned. The files of a group come together, so that ``mip_groups`` needs no other shuffle."""
-    members = members.repartition(*KEYS)
+    """One file for each group and number: the last scanned.
+
+    The files of a group come together, by what ``mip_base`` looks up, so that neither it nor ``mip_groups`` moves them
+    again. Keys that follow from a name are made anew where it arrives, instead of being moved.
+    """
+    moved = members.drop("prefix", "mip", "suffix", "mip_key", "gid").repartition("dir", "base_name")
+    members = paths.with_mip_keys(moved.withColumnRenamed("base_name", "__base")).drop("base_name").withColumnRenamed("__base", "base_name")
     last = Window.partitionBy(*KEYS, "mip").orderBy(*(F.col(c).desc() for c in scan_order))
     return members.withColumn("__n", F.row_number().over(last)).filter("__n = 1").drop("__n")
 
@@ -32,7 +37,6 @@ def mip_groups(members: DataFrame) -> DataFrame:
     return members.groupBy(*KEYS).agg(
         F.first("gid").alias("gid"),
         F.first("mip_key").alias("mip_key"),
-        F.first("base_name").alias("base_name"),
         F.count("*").alias("n_mips"),
         F.min("mip").alias("min_mip"),
         F.max("mip").alias("max_mip"),
@@ -58,8 +62,13 @@ def mip_gaps(groups: DataFrame) -> DataFrame:
 def mip_base(groups: DataFrame, catalog: DataFrame) -> DataFrame:
     """Groups with base: the file of their directory that has exactly base_name, or else the member of least number; and its base_mtime and base_size, where known.
 
-    The wanted name has the lower-case extension and is looked up by case.
+    The wanted name has the lower-case extension and is looked up by case. A base is a mip file itself only where a name
+    has two mip numbers; while no file of the catalogue has such a name, only the others are moved and looked up.
     """
+    stem = paths.stem(F.col("name"))
+    twice = paths.is_mip(stem) & paths.is_mip(F.concat(paths.mip_prefix(stem), paths.mip_suffix(stem)))
+    if catalog.filter(twice).isEmpty():
+        catalog = catalog.filter(~paths.is_mip(stem))
     known = [c for c in ("mtime_ns", "size") if c in catalog.columns and c in groups.schema["members"].dataType.elementType.names]
     files = catalog.select("dir", F.col("name").alias("base_name"), F.struct("rel_path", *known).alias("found")).groupBy("dir", "base_name").agg(F.min("found").alias("found"))
     first = F.get("members", F.lit(0))
@@ -79,17 +88,21 @@ def mip_skip(state: DataFrame, manifest: DataFrame, dry_run: bool = False) -> Da
     Base time and size, the set of mip paths and each mip's time must agree; a group without mips in
     the manifest, or with a base that is no string, never skips. The base's path is not compared.
     """
-    known = manifest.select("gid", F.col("base").alias("m_base"), F.col("base_mtime").alias("m_mtime"), F.col("base_size").alias("m_size"), F.sort_array("mips").alias("m_mips"))
-    joined = state.join(known, "gid", "left")
+    known = manifest.select("gid", F.col("base").isNotNull().alias("m_base"), F.col("base_mtime").alias("m_mtime"), F.col("base_size").alias("m_size"), F.sort_array("mips").alias("m_mips"))
+    columns = state.columns
+    if "members" in columns:  # they have all that mips has: paths are moved once
+        joined = with_state(state.drop("mips").join(known, "gid", "left"))
+    else:
+        joined = state.join(known, "gid", "left")
     same: Column = (
-        F.col("m_base").isNotNull()
+        F.col("m_base")
         & (F.col("base_mtime") == F.col("m_mtime"))
         & (F.col("base_size") == F.col("m_size"))
         & (F.size("m_mips") > 0)
         & (F.col("mips") == F.col("m_mips"))
     )
     skip = F.lit(False) if dry_run else F.coalesce(same, F.lit(False))
-    return joined.withColumn("skip", skip).drop("m_base", "m_mtime", "m_size", "m_mips")
+    return joined.withColumn("skip", skip).select(*columns, "skip")
 
 
 def same_path_sets(a: Column, b: Column) -> Column:

@@ -13,6 +13,7 @@ from rastercat.jobs.audit import audit_similar
 from rastercat.jobs.consolidate import consolidate_variants
 from rastercat.jobs.incremental import run_incremental
 from rastercat.operators import delta, mips, replace, report, similarity
+from rastercat.sources.scratch import dropped, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, tuple[Query, str]] = {}
@@ -235,8 +236,15 @@ def _members(spark, d):
     return mips.dedupe_mips(mips.mip_members(fx.mip_files(spark, d)))
 
 
-def _groups(spark, d):
-    return mips.mip_base(mips.mip_groups(_members(spark, d)), fx.mip_files(spark, d))
+def _files(spark, d):
+    """Mip files as a table, without what follows from their paths."""
+    return stored(fx.mip_files(spark, d).select("rel_path", "dir", "mtime_ns", "size"), "files")
+
+
+def _groups(files):
+    name = paths.file_name(F.col("rel_path"))
+    files = files.withColumns({"name": name, "stem": paths.stem(name), "ext": paths.extension(name)})
+    return mips.mip_base(mips.mip_groups(mips.dedupe_mips(mips.mip_members(files))), files)
 
 
 @_query("w4_dedupe_mips", "SELECT gid, mip, rel_path FROM members", fx.MIPS)
@@ -263,7 +271,7 @@ def a3_mip_gaps(spark, d):
 
 @_query("j4_mip_base", "SELECT gid, base_name, base FROM groups", fx.MIPS)
 def j4_mip_base(spark, d):
-    return _groups(spark, d).select("gid", "base_name", "base")
+    return _groups(_files(spark, d)).select("gid", "base_name", "base")
 
 
 _MANIFEST = """
@@ -273,7 +281,10 @@ skips AS (SELECT state.*, coalesce(left(gid, 2) <> 'd4' AND base_mtime = base_mt
 
 
 def _state(spark, d):
-    return mips.with_state(_groups(spark, d))
+    files = _files(spark, d)
+    groups = stored(_groups(files), "groups")
+    dropped(files)
+    return mips.with_state(groups)
 
 
 def _old_groups(state):

@@ -22,11 +22,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or _own_folder()
 
 
+#: Whether Spark removes what a query has shuffled when the query ends; else it stays until the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table: what reads it neither makes it again nor depends on lost executors."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a table: what reads it neither makes it again nor depends on lost executors. What was shuffled for it is removed."""
+    spark = df.sparkSession
+    path, before = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 

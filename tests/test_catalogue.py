@@ -1,5 +1,7 @@
 """Catalogue operators on literal rows: each decision that could go either way."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from rastercat.functions import paths
 from rastercat.jobs.incremental import run_incremental
 from rastercat.operators import delta, mips, replace, report, similarity
+from rastercat.sources.scratch import stored
 
 
 def catalog(spark, rows):
@@ -66,6 +69,41 @@ def test_mip_groups_bases_and_gaps(spark):
     assert "d/u-mip00.png" not in [r[0] for r in pairs(mips.mip_patch_plan(groups), "dst_path")]
 
 
+def test_bases_that_are_mip_files(spark):
+    """A name with two mip numbers has a mip file as its base, whichever other files there are."""
+    plain = [("d/t.png", 1, 1), ("d/t-mip1.png", 1, 1), ("e/t-mip1.png", 1, 1), ("e/t.PNG", 1, 1)]
+    want = [("d/t-mip1.png", "d/t.png")]
+    for files, more in ((plain, []), ([*plain, ("d/t-mip1-mip2.png", 1, 1), ("e/u-MIP3-mip2.png", 1, 1)], [("d/t-mip1-mip2.png", "d/t-mip1.png")])):
+        df = catalog(spark, files)
+        groups = mips.mip_base(mips.mip_groups(mips.dedupe_mips(mips.mip_members(df))), df)
+        assert pairs(mips.mip_patch_plan(groups), "dst_path", "src_path") == sorted(want + more)
+
+
+def test_mip_groups_are_moved_once(spark):
+    """Files of a group come together once; looking up their base moves neither groups nor other mip files."""
+    files = stored(catalog(spark, [(f"d/t{i}{end}.png", 1, 1) for i in range(50) for end in ("", "-mip1", "-mip2")]), "files")
+    based = mips.mip_base(mips.mip_groups(mips.dedupe_mips(mips.mip_members(files))), files)
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = based._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+    assert plan.count("Exchange hashpartitioning") == 2 and based.count() == 50
+
+
+def test_what_a_stored_table_shuffled_is_removed(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count(".data")
+    before, conf = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    made = stored(spark.range(1000).repartition(3, "id"), "rows")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and made.count() == 1000 == made.filter("id >= 0").count()
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == conf
+
+
 def state_of(spark, files):
     members = mips.dedupe_mips(mips.mip_members(files))
     return mips.with_state(mips.mip_base(mips.mip_groups(members), files))
